@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import net
 from ..functions.vocab import ICMP, ICMPV6, PROTOCOL_NAMES, TCP, TCP_SYN_BIT
-from .joins import lookup_join
+from .joins import covering, lookup_join
 
 # Tier names, highest priority first; the last one stands for "no usable rate".
 SAMPLING_TIERS = ["record", "options", "exporter", "global", "unsampled"]
@@ -20,13 +20,10 @@ def admit_exporters(flows: DataFrame, networks: DataFrame) -> DataFrame:
     """
     if networks.limit(1).count() == 0:
         return flows
-    from .joins import covering
-
     exporters = flows.select("exporter").distinct()
     address = net.unmap(net.parse_address(F.col("exporter")))
-    parsed = exporters.withColumn("_a", address).select(
-        "exporter", F.col("_a.family").alias("e_family"), F.col("_a.hi").alias("e_hi"), F.col("_a.lo").alias("e_lo")
-    ).where("e_family IS NOT NULL").withColumn("e_len", net.width(F.col("e_family")))
+    parsed = exporters.select("exporter", F.inline(F.array(address)).alias("e_family", "e_hi", "e_lo"))
+    parsed = parsed.where("e_family IS NOT NULL").withColumn("e_len", net.width(F.col("e_family")))
     allowed = covering(parsed, networks, ("e_family", "e_hi", "e_lo", "e_len"), "semi").select("exporter")
     return lookup_join(flows, allowed, ["exporter"], "left_semi")
 
