@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import net
 
 # One decoded record. Fields outside this list are ignored, missing ones are NULL.
-RECORD_SCHEMA = T.StructType.fromDDL(
+RECORD_SCHEMA = (
     "flow_id BIGINT, ts TIMESTAMP, src_addr STRING, dst_addr STRING, src_port INT, dst_port INT, protocol INT, "
     "tcp_flags INT, raw_bytes BIGINT, raw_packets BIGINT, sampling_record BIGINT, sampling_options BIGINT, "
     "exporter STRING, observation_domain_id BIGINT, sequence_number BIGINT, input_interface BIGINT, "

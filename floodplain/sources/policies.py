@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import net
 from ..functions.text import parse_duration_ms, parse_magnitude, render_duration
@@ -24,7 +23,7 @@ _ENTRY = (
     "holdDown: STRING, eventUpdateInterval: STRING, severity: STRING, executionMode: STRING, priority: INT, "
     "labels: MAP<STRING, STRING>, version: BIGINT"
 )
-DOCUMENT_SCHEMA = T.StructType.fromDDL(
+DOCUMENT_SCHEMA = (
     "schemaVersion INT, defaults STRUCT<cooldown: STRING, holdDown: STRING, eventUpdateInterval: STRING, "
     "severity: STRING, executionMode: STRING, clearPercent: INT>, "
     f"tenants ARRAY<STRUCT<tenant: STRING, prefixes: ARRAY<STRING>>>, policies ARRAY<STRUCT<{_ENTRY}>>"
