@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import net
-from .joins import BROADCAST_ROWS, MAX_CHAINED_LENGTHS, lengths_of, longest_prefix_match, lookup_join
+from .joins import BROADCAST_ROWS, MAX_CHAINED_LENGTHS, lengths_of, longest_prefix_match, lookup_join, nested_pairs
 
 
 def _families(flows: DataFrame) -> dict[str, tuple[str, str, str]]:
@@ -106,21 +106,13 @@ def validate_prefixes(prefixes: DataFrame) -> DataFrame:
         "position", F.lit("error").alias("level"), F.lit("duplicate").alias("code"),
         F.lit(None).cast("int").alias("other_len"),
     )
-    # Accepted entries only: each probes its own network at every registered shorter length.
-    accepted = numbered.where("position = first").drop("first", "too_long")
-    lengths = accepted.select("family", F.col("prefix_len").alias("n")).distinct()
-    probes = accepted.join(F.broadcast(lengths), "family").where("n < prefix_len")  # at most 162 lengths
-    p_hi, p_lo = net.masked(F.col("family"), F.col("hi"), F.col("lo"), F.col("n"))
-    probes = probes.select("family", F.col("position").alias("inner_at"), F.col("prefix_len").alias("inner_len"),
-                           "n", p_hi.alias("p_hi"), p_lo.alias("p_lo"))
-    broader = accepted.select("family", F.col("prefix_len").alias("n"), F.col("hi").alias("p_hi"),
-                              F.col("lo").alias("p_lo"), F.col("position").alias("outer_at"))
-    nested = lookup_join(probes, broader, ["family", "n", "p_hi", "p_lo"], "inner", salt_from=["inner_at"])
-    inner_later = F.col("inner_at") > F.col("outer_at")
+    accepted = numbered.where("position = first").withColumnsRenamed({"hi": "net_hi", "lo": "net_lo"})
+    nested = nested_pairs(accepted, ["position"])
+    inner_later = F.col("inner_position") > F.col("outer_position")
     warnings = nested.select(
-        F.when(inner_later, F.col("inner_at")).otherwise(F.col("outer_at")).alias("position"),
+        F.when(inner_later, F.col("inner_position")).otherwise(F.col("outer_position")).alias("position"),
         F.lit("warning").alias("level"),
         F.when(inner_later, F.lit("inside_broader")).otherwise(F.lit("contains_narrower")).alias("code"),
-        F.when(inner_later, F.col("n")).otherwise(F.col("inner_len")).alias("other_len"),
+        F.when(inner_later, F.col("outer_len")).otherwise(F.col("inner_len")).alias("other_len"),
     )
     return too_long.unionByName(duplicates).unionByName(warnings)

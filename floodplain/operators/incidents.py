@@ -13,7 +13,7 @@ from .detect import EVENT_SCHEMA_VERSION
 from .folds import ordered_fold
 from .joins import lookup_join
 
-KEY = ["tenant", "scope_type", "target", "direction", "family"]
+KEY = ["tenant_id", "target_type", "target_id", "direction", "family"]
 SILENT_AFTER_S, RECOVERY_S, CLOSURE_S = 300, 300, 1800
 
 # --- gates ------------------------------------------------------------------
@@ -176,6 +176,7 @@ def _key_parts(df: DataFrame) -> DataFrame:
 def incidents_of(log: DataFrame) -> DataFrame:
     df = log.where("record = 'incident'").withColumn("i", F.from_json("body", INCIDENT_BODY))
     df = _key_parts(df.select("correlation_key", "incident_id", "i.*"))
+    df = df.withColumnsRenamed({"tenant": "tenant_id", "scope_type": "target_type", "target": "target_id"})
     for name in TIMES:
         df = df.withColumn(name, F.timestamp_micros(name))
     return df.withColumn("evidence_omitted", F.col("evidence_observed") - F.col("evidence_retained"))
@@ -232,17 +233,16 @@ def assign_numbers(incidents: DataFrame, prefix: str = "INC", start: DataFrame |
     opening minute, after the counts of earlier minutes were summed up.
     ``start`` gives each tenant's last number of an earlier run.
     """
-    minute = F.date_trunc("minute", F.col("opened_at"))
-    df = incidents.withColumn("_minute", minute)
-    counts = df.groupBy("tenant", "_minute").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("tenant").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("tenant").alias("_tenant"), F.col("_minute").alias("_at"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("tenant", "_minute").orderBy("opened_at", "incident_id")
-    ranked = df.withColumn("_rank", F.row_number().over(inside))
-    joined = ranked.join(offsets, (F.col("tenant") == F.col("_tenant")) & (F.col("_minute") == F.col("_at")), "left")
+    tenant = "tenant_id"
+    df = incidents.withColumn("_minute", F.date_trunc("minute", F.col("opened_at")))
+    counts = df.groupBy(tenant, "_minute").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(tenant).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(tenant, "_minute", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(tenant, "_minute").orderBy("opened_at", "incident_id")
+    joined = df.withColumn("_rank", F.row_number().over(inside)).join(offsets, [tenant, "_minute"], "left")
     number = F.col("_rank") + F.col("_offset")
     if start is not None:
-        joined = lookup_join(joined, start.select("tenant", "last_number"), ["tenant"], "left")
+        joined = lookup_join(joined, start.select(tenant, "last_number"), [tenant], "left")
         number = number + F.coalesce("last_number", F.lit(0))
     text = F.when(number <= 999_999, F.lpad(number.cast("string"), 6, "0")).otherwise(number.cast("string"))
     named = joined.withColumn("sequence_number", number.cast("bigint")).withColumn(

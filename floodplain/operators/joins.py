@@ -7,7 +7,7 @@ in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import net
@@ -63,7 +63,7 @@ def lengths_of(prefixes: DataFrame) -> list[tuple[int, int, int]]:
 def longest_prefix_match(
     df: DataFrame,
     prefixes: DataFrame,
-    sides: dict[str, tuple[str, str, str]],
+    sides: dict[str, tuple[str, ...]],
     value: list[str],
     broadcast_rows: int = BROADCAST_ROWS,
     max_lengths: int = MAX_CHAINED_LENGTHS,
@@ -71,8 +71,9 @@ def longest_prefix_match(
 ) -> DataFrame:
     """Add, per side, the struct of the most specific prefix holding its address.
 
-    ``sides`` maps the new column to its (family, hi, lo) columns. The struct has
-    the ``value`` columns and ``prefix_len``; it is NULL where nothing matches.
+    ``sides`` maps the new column to its (family, hi, lo) columns, and optionally
+    the column of a prefix's own length, past which entries do not cover it. The
+    struct has the ``value`` columns and ``prefix_len``, NULL where nothing matches.
     """
     lengths = lengths_of(prefixes) if lengths is None else lengths
     registry = _registry(prefixes, value)
@@ -83,12 +84,14 @@ def longest_prefix_match(
 
 def _chained(df, registry, sides, lengths):
     """One broadcast hash join per length, longest first: no shuffle, no row copies."""
-    for side, (family, hi, lo) in sides.items():
+    for side, (family, hi, lo, *own_length) in sides.items():
         found: dict[int, list[Column]] = {4: [], 6: []}
         for fam, length, _ in lengths:
             mask_hi, mask_lo = net.mask_halves(fam, length)
             name = f"_{side}_{fam}_{length}"
             same = F.col(family) == fam
+            if own_length:
+                same = same & (F.col(own_length[0]) >= length)
             keys = {"lo": F.when(same, F.col(lo).bitwiseAND(F.lit(mask_lo)))}
             if fam == 6:
                 keys["hi"] = F.when(same, F.col(hi).bitwiseAND(F.lit(mask_hi)))
@@ -116,33 +119,35 @@ def _by_distinct_address(df, registry, sides, lengths, broadcast_rows):
     through a salted key.
     """
     addresses = None
-    for family, hi, lo in sides.values():
-        part = df.select(F.col(family).alias("a_family"), F.col(hi).alias("a_hi"), F.col(lo).alias("a_lo"))
+    for family, hi, lo, *own_length in sides.values():
+        longest = F.col(own_length[0]).cast("int") if own_length else F.lit(128)
+        part = df.select(F.col(family).alias("a_family"), F.col(hi).alias("a_hi"), F.col(lo).alias("a_lo"), longest.alias("a_len"))
         addresses = part if addresses is None else addresses.unionByName(part)
     addresses = addresses.where("a_family IS NOT NULL AND a_hi IS NOT NULL AND a_lo IS NOT NULL").distinct()
     choices = F.when(
         F.col("a_family") == 4, F.array(*[F.lit(n) for f, n, _ in lengths if f == 4]).cast("array<int>")
     ).otherwise(F.array(*[F.lit(n) for f, n, _ in lengths if f == 6]).cast("array<int>"))
-    probes = addresses.withColumn("len", F.explode(choices))
+    probes = addresses.withColumn("len", F.explode(choices)).where("len <= a_len")
     n_hi, n_lo = net.masked(F.col("a_family"), F.col("a_hi"), F.col("a_lo"), F.col("len"))
     probes = probes.withColumn("n_hi", n_hi).withColumn("n_lo", n_lo).withColumn("family", F.col("a_family"))
     small = sum(rows for _, _, rows in lengths) <= broadcast_rows
     hits = lookup_join(
         probes, registry, ["family", "len", "n_hi", "n_lo"], "inner", salt_from=["a_hi", "a_lo"], small=small
     )
-    matched = hits.groupBy("a_family", "a_hi", "a_lo").agg(F.max_by("entry", "len").alias("entry"))
-    for side, (family, hi, lo) in sides.items():
+    matched = hits.groupBy("a_family", "a_hi", "a_lo", "a_len").agg(F.max_by("entry", "len").alias("entry"))
+    for side, (family, hi, lo, *own_length) in sides.items():
+        longest = F.col(own_length[0]).cast("int") if own_length else F.lit(128)
         table = matched.select(
             F.col("a_family").alias(f"_{side}_f"), F.col("a_hi").alias(f"_{side}_h"),
-            F.col("a_lo").alias(f"_{side}_l"), F.col("entry").alias(side),
+            F.col("a_lo").alias(f"_{side}_l"), F.col("a_len").alias(f"_{side}_n"), F.col("entry").alias(side),
         ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         plain = [c for c, t in df.dtypes if not t.startswith(("map", "struct", "array"))]
         df = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
         condition = (
             (F.col(family) == F.col(f"_{side}_f")) & (F.col(hi) == F.col(f"_{side}_h"))
-            & (F.col(lo) == F.col(f"_{side}_l")) & (df["_salt"] == table["_salt"])
+            & (F.col(lo) == F.col(f"_{side}_l")) & (longest == F.col(f"_{side}_n")) & (df["_salt"] == table["_salt"])
         )
-        df = df.join(table, condition, "left").drop(f"_{side}_f", f"_{side}_h", f"_{side}_l", df["_salt"], table["_salt"])
+        df = df.join(table, condition, "left").drop(f"_{side}_f", f"_{side}_h", f"_{side}_l", f"_{side}_n", df["_salt"], table["_salt"])
     return df
 
 
@@ -181,3 +186,35 @@ def covering(requests: DataFrame, networks: DataFrame, cols: tuple[str, str, str
     held = lookup_join(probes, registry, on, "left_semi", salt_from=["c_hi", "c_lo"]).select(key).distinct()
     how = {"semi": "left_semi", "anti": "left_anti"}[kind]
     return keyed.join(held, key, how).drop(key)
+
+
+def nested_pairs(entries: DataFrame, keep: list[str]) -> DataFrame:
+    """Pairs of networks where one lies inside a shorter one: ``inner_*`` and ``outer_*``.
+
+    Each entry looks itself up once per registered shorter length.
+    """
+    hi, lo = net.masked(F.col("family"), F.col("net_hi"), F.col("net_lo"), F.col("prefix_len"))
+    table = entries.select("family", "prefix_len", hi.alias("hi"), lo.alias("lo"), *keep)
+    lengths = table.select("family", F.col("prefix_len").alias("n")).distinct()
+    probes = table.join(F.broadcast(lengths), "family").where("n < prefix_len")  # at most 162 lengths
+    p_hi, p_lo = net.masked(F.col("family"), F.col("hi"), F.col("lo"), F.col("n"))
+    inner = probes.select("family", "n", p_hi.alias("p_hi"), p_lo.alias("p_lo"), F.col("prefix_len").alias("inner_len"),
+                          *[F.col(c).alias(f"inner_{c}") for c in keep])
+    outer = table.select("family", F.col("prefix_len").alias("n"), F.col("hi").alias("p_hi"), F.col("lo").alias("p_lo"),
+                         *[F.col(c).alias(f"outer_{c}") for c in keep])
+    salt_from = [f"inner_{c}" for c in keep]
+    return lookup_join(inner, outer, ["family", "n", "p_hi", "p_lo"], "inner", salt_from=salt_from).withColumnRenamed("n", "outer_len")
+
+
+def first_rows(df: DataFrame, group: list[str], order: list, keep: int, rank: str = "_rank", slices: int = 64) -> DataFrame:
+    """The first ``keep`` rows of each group, with their position in ``rank``.
+
+    Ranked in hash slices of a group first, so that a huge group is never sorted
+    in one task; at most ``slices * keep`` rows of a group reach the second step.
+    """
+    plain = [c for c, t in df.dtypes if not t.startswith(("map", "struct", "array"))]
+    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*plain), F.lit(slices)))
+    first = Window.partitionBy(*group, "_slice").orderBy(*order)
+    kept = sliced.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= keep).drop("_r", "_slice")
+    second = Window.partitionBy(*group).orderBy(*order)
+    return kept.withColumn(rank, F.row_number().over(second)).where(F.col(rank) <= keep)

@@ -7,11 +7,12 @@ network or exporter collapses before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import net
 from ..functions.vocab import INT64_MAX, TCP, UDP
+from .joins import first_rows
 from .normalize import is_icmp, is_tcp_syn
 
 COUNTERS = [
@@ -234,17 +235,10 @@ def cap_dimension(flows: DataFrame, keys: list[str], max_entries: int, seconds:
     """The most recently updated keys of each window, at most ``max_entries``.
 
     This is the bound a resident process keeps for its memory. Spark spills, so
-    rollups are uncapped unless a caller asks. The ranking runs in two steps:
-    within hash slices of a window, then over the survivors of the slices.
+    rollups are uncapped unless a caller asks.
     """
     latest = with_window(flows, seconds).groupBy("window_start", *keys).agg(F.max("ts").alias("last_update"))
-    order = [F.desc("last_update"), *keys]
-    sliced = latest.withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(64)))
-    first = Window.partitionBy("window_start", "_slice").orderBy(*order)
-    kept = sliced.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= max_entries)
-    second = Window.partitionBy("window_start").orderBy(*order)
-    ranked = kept.withColumn("recency", F.row_number().over(second)).where(F.col("recency") <= max_entries)
-    return ranked.drop("_slice", "_r")
+    return first_rows(latest, ["window_start"], [F.desc("last_update"), *keys], max_entries, "recency")
 
 
 def active_entities(classified: DataFrame, asof: Column, ttl_seconds: int = 300,

@@ -247,11 +247,11 @@ def test_segments_change_nothing(spark, with_commands, swept):
 
 
 def test_numbers_are_gapless_per_tenant(spark):
-    df = spark.createDataFrame([(t, f"{t}{i}", i * 37 % 100) for t in ("a", "b") for i in range(100)], "tenant string, incident_id string, m long")
+    df = spark.createDataFrame([(t, f"{t}{i}", i * 37 % 100) for t in ("a", "b") for i in range(100)], "tenant_id string, incident_id string, m long")
     df = df.withColumn("opened_at", F.timestamp_seconds(F.col("m") * 25))
     rows = inc.assign_numbers(df).collect()
     for tenant in "ab":
-        own = sorted((r["opened_at"], r["incident_id"], r["sequence_number"], r["incident_number"]) for r in rows if r["tenant"] == tenant)
+        own = sorted((r["opened_at"], r["incident_id"], r["sequence_number"], r["incident_number"]) for r in rows if r["tenant_id"] == tenant)
         assert [r[2] for r in own] == list(range(1, 101)) and own[0][3] == "INC-1970-000001"
 
 
@@ -259,4 +259,4 @@ def test_at_most_one_active_incident_per_key(spark):
     events = as_events(spark, [r for s in range(10) for r in random_events(100 + s, f"10.0.1.{s}")])
     incidents = inc.incidents_of(inc.correlate(events))
     assert inc.duplicate_active(incidents, inc.KEY).count() == 0
-    assert incidents.where("tenant <> 'acme' OR target NOT LIKE '10.0.1.%' OR family <> 4").count() == 0
+    assert incidents.where("tenant_id <> 'acme' OR target_id NOT LIKE '10.0.1.%' OR family <> 4").count() == 0
