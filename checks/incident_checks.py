@@ -301,7 +301,7 @@ def queries():
         "iq11_purge_outbox": lambda s, d: iq.purge_queue(queue(s, d), now(), "published", "published_at", 7).select("id"),
         "iq11_purge_dead_letters": lambda s, d: iq.purge_dead_letters(queue(s, d), now()).select("id"),
         "snk4_export": lambda s, d: iq.export_incidents(
-            iq.filter_incidents(orders(s, d), "acme").where("incident_id < 500"), timeline(s, d), notes(s, d), detections(s, d), max_rows=10).select(
+            iq.filter_incidents(orders(s, d), "acme"), timeline(s, d), notes(s, d), detections(s, d), max_rows=10).select(
             "incident_id", F.get_json_object("document", "$.truncated.timeline").alias("cut"),
             F.get_json_object("document", "$.timeline[0].timeline_id").alias("first_entry"), F.get_json_object("document", "$.incident.state").alias("state")),
         "mit1_guard": lambda s, d: mit.guard_check(mitigations(s, d).withColumnRenamed("tenant_id", "tenant"), allowlist(s, d)).select("mitigation_id", "refusal"),
@@ -458,7 +458,7 @@ def oracle_sql():
         "iq11_purge_dead_letters": f"SELECT o_orderkey AS id FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderdate <= {STAMP} - INTERVAL 90 DAYS)",
         "snk4_export": f"""WITH {ctes('incidents', 'timeline')} SELECT i.incident_id, CASE WHEN count(t.timeline_id) > 10 THEN 'true' ELSE 'false' END AS cut,
             CAST(min(t.timeline_id) AS VARCHAR) AS first_entry, i.state FROM incidents i LEFT JOIN timeline t USING (incident_id)
-            WHERE tenant_id = 'acme' AND i.incident_id < 500 GROUP BY i.incident_id, i.state""",
+            WHERE tenant_id = 'acme' GROUP BY i.incident_id, i.state""",
         "mit1_guard": f"""{MIT}, c AS (SELECT m.*, {covering} AS e FROM mitigations m) SELECT mitigation_id, CASE
             WHEN e IS NULL OR split_part(e, ';', 1) <> tenant_id THEN 'mitigation.not_allowlisted'
             WHEN NOT list_contains(string_split(split_part(e, ';', 2), ','), action) THEN 'mitigation.action_not_allowed'

@@ -60,14 +60,14 @@ def screen_snapshots(selected: DataFrame, arrival: str, disabled: str = "disable
     return screened.withColumn("ignored", F.coalesce("_early", late)).drop("_early")
 
 
-def fold_rows(evaluated: DataFrame) -> DataFrame:
+def fold_rows(evaluated: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Evaluated snapshots in the form the state machine takes."""
     watched = evaluated.where(F.col("mode") != "disabled").withColumn("scope_key", scope_key())
     return watched.select(
         "scope_key", F.unix_micros("window_end").alias("t"), F.lit(True).alias("is_snapshot"), "over",
         F.col("all_below_clear").alias("below"), F.when(F.col("over"), F.to_json("matched")).alias("crossed"),
         "policy_id", F.col("policy_version").cast("bigint").alias("policy_version"), *TIMERS,
-        F.to_json(F.struct(*PAYLOAD)).alias("payload"),
+        F.to_json(F.struct(*PAYLOAD)).alias("payload"), *keep,
     )
 
 

@@ -60,7 +60,7 @@ FOLD_INPUT = ["t", "newest", "is_event", "repeat", "any_commands", "body"]
 OUT_SCHEMA = ("correlation_key STRING, segment BIGINT, record STRING, t BIGINT, n BIGINT, incident_id STRING, ref STRING, body STRING")
 
 
-def case_rows(gated: DataFrame, commands: DataFrame | None = None) -> DataFrame:
+def case_rows(gated: DataFrame, commands: DataFrame | None = None, keep: list[str] = ()) -> DataFrame:
     """Events that pass the gate, and commands, in the form the fold takes."""
     events = gated.where(F.col("gate").isNull() | (F.col("gate") == "duplicate")).withColumn("correlation_key", correlation_key())
     events = events.withColumn("metrics", F.transform("matched", lambda r: r["metric"]))
@@ -68,7 +68,7 @@ def case_rows(gated: DataFrame, commands: DataFrame | None = None) -> DataFrame:
         "correlation_key", "tenant", F.unix_micros("observed_at").alias("t"), F.lit(True).alias("is_event"),
         (F.coalesce("gate", F.lit("")) == "duplicate").alias("repeat"), F.col("sequence").cast("bigint").alias("at_sequence"),
         F.col("event_id").alias("at_id"), (F.col("kind") == "ended").alias("ended"), "detection_id",
-        F.to_json(F.struct(*EVENT_FACTS)).alias("body"),
+        F.to_json(F.struct(*EVENT_FACTS)).alias("body"), *keep,
     )
     if commands is not None:
         more = commands.withColumn("correlation_key", correlation_key()).select(

@@ -70,22 +70,37 @@ def sums() -> list[Column]:
     return [saturating_sum(c) for c in COUNTERS]
 
 
-def with_window(flows: DataFrame, seconds: int) -> DataFrame:
-    """Add ``window_start``: tumbling windows aligned to the epoch, on arrival time."""
-    return flows.withColumn("window_start", F.window(F.col("ts").cast("timestamp"), f"{seconds} seconds")["start"])
+def event_time(df: DataFrame) -> Column:
+    """``ts`` as an instant; left as it is where it already is one, to keep its watermark."""
+    return F.col("ts") if dict(df.dtypes)["ts"] == "timestamp" else F.col("ts").cast("timestamp")
+
+
+def window_key(df: DataFrame, seconds: int) -> Column:
+    """Tumbling window aligned to the epoch, on arrival time, as ``_w``.
+
+    A batch groups by the plain start; a stream needs the window itself, which
+    carries the watermark.
+    """
+    window = F.window(event_time(df), f"{seconds} seconds")
+    return (window if df.isStreaming else window["start"]).alias("_w")
+
+
+def finish_window(grouped: DataFrame) -> DataFrame:
+    start = F.col("_w.start") if grouped.isStreaming else F.col("_w")
+    return grouped.select(start.alias("window_start"), *[c for c in grouped.columns if c != "_w"])
 
 
 def _rollup(flows: DataFrame, seconds: int, keys: list[Column], names: list[str]) -> DataFrame:
-    contributed = with_window(flows, seconds).select("window_start", *keys, *contributions())
-    return contributed.groupBy("window_start", *names).agg(*sums())
+    contributed = flows.select(window_key(flows, seconds), *keys, *contributions())
+    return finish_window(contributed.groupBy("_w", *names).agg(*sums()))
 
 
 def _two_sided(flows: DataFrame, seconds: int, keys: Column, names: list[str]) -> DataFrame:
     """One row per side; a flow whose sides share the key counts twice."""
-    contributed = with_window(flows, seconds).select("window_start", keys.alias("_keys"), *contributions())
-    sided = contributed.select("window_start", F.explode("_keys").alias("_key"), *COUNTERS)
-    sided = sided.select("window_start", *[F.col(f"_key.{n}").alias(n) for n in names], *COUNTERS)
-    return sided.groupBy("window_start", *names).agg(*sums())
+    contributed = flows.select(window_key(flows, seconds), keys.alias("_keys"), *contributions())
+    sided = contributed.select("_w", F.explode("_keys").alias("_key"), *COUNTERS)
+    sided = sided.select("_w", *[F.col(f"_key.{n}").alias(n) for n in names], *COUNTERS)
+    return finish_window(sided.groupBy("_w", *names).agg(*sums()))
 
 
 def _side_address(side: str) -> tuple[Column, Column, Column]:
@@ -207,15 +222,13 @@ def rollup_all(classified: DataFrame, seconds: int, lengths4: list[int] = (), le
     for column, name in (("input_interface", "input"), ("output_interface", "output")):
         entries.append(optional(F.col(column).isNotNull(), key(
             "interface", label=F.col("exporter"), number=F.col(column), direction=F.lit(name))))
-    contributed = with_window(classified, seconds).select(
-        "window_start", F.array_compact(F.array(*entries)).alias("_keys"), *contributions()
-    )
-    wide = contributed.select("window_start", F.explode("_keys").alias("_key"), *COUNTERS)
-    wide = wide.select("window_start", *[F.col(f"_key.{n}").alias(n) for n in _WIDE], *COUNTERS)
-    return wide.groupBy("window_start", *_WIDE).agg(*sums())
+    contributed = classified.select(window_key(classified, seconds), F.array_compact(F.array(*entries)).alias("_keys"), *contributions())
+    wide = contributed.select("_w", F.explode("_keys").alias("_key"), *COUNTERS)
+    wide = wide.select("_w", *[F.col(f"_key.{n}").alias(n) for n in _WIDE], *COUNTERS)
+    return finish_window(wide.groupBy("_w", *_WIDE).agg(*sums()))
 
 
-def dimension_of(wide: DataFrame, dimension: str) -> DataFrame:
+def dimension_of(wide: DataFrame, dimension: str, keep: list[str] = ()) -> DataFrame:
     """One dimension of ``rollup_all`` in the shape its own rollup has."""
     df = wide.where(F.col("dimension") == dimension)
     shapes = {
@@ -228,7 +241,7 @@ def dimension_of(wide: DataFrame, dimension: str) -> DataFrame:
         "exporter": [F.col("label").alias("exporter")],
         "interface": [F.col("label").alias("exporter"), F.col("number").alias("interface_index"), "direction"],
     }
-    return df.select("window_start", *shapes[dimension], *COUNTERS)
+    return df.select("window_start", *shapes[dimension], *COUNTERS, *keep)
 
 
 def cap_dimension(flows: DataFrame, keys: list[str], max_entries: int, seconds: int) -> DataFrame:
@@ -237,7 +250,7 @@ def cap_dimension(flows: DataFrame, keys: list[str], max_entries: int, seconds:
     This is the bound a resident process keeps for its memory. Spark spills, so
     rollups are uncapped unless a caller asks.
     """
-    latest = with_window(flows, seconds).groupBy("window_start", *keys).agg(F.max("ts").alias("last_update"))
+    latest = finish_window(flows.groupBy(window_key(flows, seconds), *keys).agg(F.max("ts").alias("last_update")))
     return first_rows(latest, ["window_start"], [F.desc("last_update"), *keys], max_entries, "recency")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import net
 from ..functions.rates import bits_per_second, per_second
 from ..functions.vocab import METRIC_ORDER
-from .rollup import COUNTERS, contributions, sums
+from .rollup import COUNTERS, contributions, event_time, sums
 
 SCOPE_TYPES = ["host", "prefix", "slash24", "hostgroupTotal"]
 UNATTRIBUTED = "unattributed"
@@ -111,7 +111,7 @@ def snapshots(classified: DataFrame, window_ms: int, scope_types: list[str] = tu
               exporters: str = "exact") -> DataFrame:
     """One row per scope and finished window; a scope without traffic has no row."""
     scoped = expand_scopes(classified, scope_types)
-    window = F.window(F.col("ts").cast("timestamp"), f"{window_ms} milliseconds")
+    window = F.window(event_time(scoped), f"{window_ms} milliseconds")
     count = sketch_exporters() if exporters == "sketch" else F.count_distinct("exporter")
     grouped = scoped.groupBy(window.alias("w"), *SCOPE).agg(
         *sums(), F.bool_or("has_protocol").alias("protocol_seen"), F.bool_or("has_tcp_flags").alias("tcp_flags_seen"),
