@@ -40,8 +40,14 @@ KEYS = {
 }
 
 
+# The flow columns the counters come from. Explodes carry these few and the
+# counters are worked out after them: fewer columns through the explode keep its
+# generated code small enough for the JIT compiler.
+RAW = ["bytes", "packets", "protocol", "tcp_flags", "fragmented", "forwarding_status_known", "dropped"]
+
+
 def contributions() -> list[Column]:
-    """What one flow adds to each counter, computed once before any explode."""
+    """What one flow adds to each counter."""
     protocol = F.coalesce(F.col("protocol"), F.lit(-1))
     part = lambda test, value: F.when(test, F.col(value)).otherwise(F.lit(0)).cast("bigint")
     dropped = F.col("forwarding_status_known") & F.col("dropped")
@@ -97,9 +103,8 @@ def _rollup(flows: DataFrame, seconds: int, keys: list[Column], names: list[str]
 
 def _two_sided(flows: DataFrame, seconds: int, keys: Column, names: list[str]) -> DataFrame:
     """One row per side; a flow whose sides share the key counts twice."""
-    contributed = flows.select(window_key(flows, seconds), keys.alias("_keys"), *contributions())
-    sided = contributed.select("_w", F.explode("_keys").alias("_key"), *COUNTERS)
-    sided = sided.select("_w", *[F.col(f"_key.{n}").alias(n) for n in names], *COUNTERS)
+    keyed = flows.select(window_key(flows, seconds), F.explode(keys).alias("_key"), *RAW).where("_key IS NOT NULL")
+    sided = keyed.select("_w", *[F.col(f"_key.{n}").alias(n) for n in names], *contributions())
     return finish_window(sided.groupBy("_w", *names).agg(*sums()))
 
 
@@ -144,7 +149,7 @@ def _networks(lengths4: list[int], lengths6: list[int]) -> Column:
 
     wanted = [(4, n) for n in lengths4] + [(6, n) for n in lengths6]
     entries = [entry(side, family, n) for family, n in wanted for side in ("src", "dst")]
-    return F.array_compact(F.array(*entries))
+    return F.array(*entries)
 
 
 def rollup_network(flows: DataFrame, seconds: int, lengths4: list[int], lengths6: list[int] = ()) -> DataFrame:
@@ -156,7 +161,7 @@ def rollup_network(flows: DataFrame, seconds: int, lengths4: list[int], lengths6
 
 def _either_side(src: str, dst: str, name: str) -> Column:
     wrap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias(name)))
-    return F.array_compact(F.array(wrap(src), wrap(dst)))
+    return F.array(wrap(src), wrap(dst))
 
 
 def rollup_hostgroup(classified: DataFrame, seconds: int) -> DataFrame:
@@ -179,7 +184,7 @@ def rollup_interface(flows: DataFrame, seconds: int) -> DataFrame:
             F.lit(direction).alias("direction"),
         ))
 
-    both = F.array_compact(F.array(entry("input_interface", "input"), entry("output_interface", "output")))
+    both = F.array(entry("input_interface", "input"), entry("output_interface", "output"))
     return _two_sided(flows, seconds, both, KEYS["interface"])
 
 
@@ -195,39 +200,93 @@ _WIDE = {
 }
 
 
+def _wide_key(dimension: str, **given: Column) -> Column:
+    given["dimension"] = F.lit(dimension)
+    return F.struct(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in _WIDE.items()])
+
+
+def _address_keys(fam: Column, hi: Column, lo: Column, hostgroup: Column, lengths4, lengths6) -> list[Column]:
+    """The dimensions that follow from one address alone."""
+    keys = [
+        _wide_key("host", family=fam, hi=hi, lo=lo),
+        F.when(fam == 4, _wide_key("slash24", family=fam, hi=F.lit(0), lo=lo.bitwiseAND(F.lit(net.mask_halves(4, 24)[1])))),
+        F.when(hostgroup.isNotNull(), _wide_key("hostgroup", label=hostgroup)),
+    ]
+    for family, n in [(4, n) for n in lengths4] + [(6, n) for n in lengths6]:
+        mask_hi, mask_lo = net.mask_halves(family, n)
+        keys.append(F.when(fam == family, _wide_key(
+            "network", family=fam, hi=hi.bitwiseAND(F.lit(mask_hi)), lo=lo.bitwiseAND(F.lit(mask_lo)), prefix_len=F.lit(n))))
+    return keys
+
+
+def _device_keys(fam: Column, exporter: Column, protocol: Column, incoming: Column, outgoing: Column) -> list[Column]:
+    """The dimensions of where and how a flow was seen."""
+    keys = [_wide_key("total"), _wide_key("family", family=fam), _wide_key("exporter", label=exporter),
+            F.when(protocol.isNotNull(), _wide_key("protocol", number=protocol))]
+    for index, name in ((incoming, "input"), (outgoing, "output")):
+        keys.append(F.when(index.isNotNull(), _wide_key("interface", label=exporter, number=index, direction=F.lit(name))))
+    return keys
+
+
+def _asn_key(asn: Column) -> Column:
+    return F.when(asn.isNotNull(), _wide_key("asn", number=asn))
+
+
 def rollup_all(classified: DataFrame, seconds: int, lengths4: list[int] = (), lengths6: list[int] = ()) -> DataFrame:
-    """All dimensions from one scan: explode the keys, aggregate once."""
-    def key(dimension: str, **given: Column) -> Column:
-        given["dimension"] = F.lit(dimension)
-        return F.struct(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in _WIDE.items()])
+    """All dimensions from one scan.
+
+    A batch aggregates each flow at five fine keys first (two hosts, two ASNs, one
+    device) and derives every other dimension from those sums: a /24, a network
+    or a hostgroup is a sum over its hosts. A stream aggregates once, flow by flow.
+    """
+    if classified.isStreaming:
+        return _all_at_once(classified, seconds, lengths4, lengths6)
+    fine = _fine_sums(classified, seconds)
+    col = F.col
+    keys = {
+        _HOST: _address_keys(col("family"), col("hi"), col("lo"), col("label"), lengths4, lengths6),
+        _ASN: [_asn_key(col("number"))],
+        _DEVICE: _device_keys(col("family"), col("label"), col("protocol"), col("number"), col("number2")),
+    }
+    derived = F.array(*[F.when(col("kind") == kind, key) for kind, listed in keys.items() for key in listed])
+    return _sum_wide(fine.select("_w", derived.alias("_keys"), *COUNTERS), COUNTERS, COUNTERS)
+
 
-    def optional(test: Column, struct: Column) -> Column:
-        return F.when(test, struct)
+_HOST, _ASN, _DEVICE = 0, 1, 2
+_FINE = {"kind": "int", "family": "int", "hi": "bigint", "lo": "bigint", "label": "string", "number": "bigint", "number2": "bigint", "protocol": "int"}
 
-    entries = [key("total"), key("family", family=F.col("family")), key("exporter", label=F.col("exporter"))]
-    entries.append(optional(F.col("protocol").isNotNull(), key("protocol", number=F.col("protocol"))))
+
+def _fine_sums(classified: DataFrame, seconds: int) -> DataFrame:
+    def key(kind: int, **given: Column) -> Column:
+        given["kind"] = F.lit(kind)
+        return F.struct(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in _FINE.items()])
+
+    col = F.col
+    keys = [key(_DEVICE, family=col("family"), label=col("exporter"), number=col("input_interface"), number2=col("output_interface"), protocol=col("protocol"))]
     for side in ("src", "dst"):
         fam, hi, lo = _side_address(side)
-        entries.append(key("host", family=fam, hi=hi, lo=lo))
-        entries.append(optional(fam == 4, key("slash24", family=fam, hi=F.lit(0),
-                                              lo=lo.bitwiseAND(F.lit(net.mask_halves(4, 24)[1])))))
-        entries.append(optional(F.col(f"{side}_asn").isNotNull(), key("asn", number=F.col(f"{side}_asn"))))
-        entries.append(optional(F.col(f"{side}_hostgroup").isNotNull(),
-                                key("hostgroup", label=F.col(f"{side}_hostgroup"))))
-        for family, n in [(4, n) for n in lengths4] + [(6, n) for n in lengths6]:
-            mask_hi, mask_lo = net.mask_halves(family, n)
-            entries.append(optional(fam == family, key(
-                "network", family=fam, hi=hi.bitwiseAND(F.lit(mask_hi)), lo=lo.bitwiseAND(F.lit(mask_lo)),
-                prefix_len=F.lit(n))))
-    for column, name in (("input_interface", "input"), ("output_interface", "output")):
-        entries.append(optional(F.col(column).isNotNull(), key(
-            "interface", label=F.col("exporter"), number=F.col(column), direction=F.lit(name))))
-    contributed = classified.select(window_key(classified, seconds), F.array_compact(F.array(*entries)).alias("_keys"), *contributions())
-    wide = contributed.select("_w", F.explode("_keys").alias("_key"), *COUNTERS)
-    wide = wide.select("_w", *[F.col(f"_key.{n}").alias(n) for n in _WIDE], *COUNTERS)
+        keys.append(key(_HOST, family=fam, hi=hi, lo=lo, label=col(f"{side}_hostgroup")))
+        keys.append(F.when(col(f"{side}_asn").isNotNull(), key(_ASN, number=col(f"{side}_asn"))))
+    exploded = classified.select(window_key(classified, seconds), F.explode(F.array(*keys)).alias("_key"), *RAW).where("_key IS NOT NULL")
+    named = exploded.select("_w", *[F.col(f"_key.{n}").alias(n) for n in _FINE], *contributions())
+    return named.groupBy("_w", *_FINE).agg(*sums())
+
+
+def _sum_wide(keyed: DataFrame, carried: list, values: list) -> DataFrame:
+    exploded = keyed.select("_w", F.explode("_keys").alias("_key"), *carried).where("_key IS NOT NULL")
+    wide = exploded.select("_w", *[F.col(f"_key.{n}").alias(n) for n in _WIDE], *values)
     return finish_window(wide.groupBy("_w", *_WIDE).agg(*sums()))
 
 
+def _all_at_once(classified: DataFrame, seconds: int, lengths4, lengths6) -> DataFrame:
+    col = F.col
+    keys = _device_keys(col("family"), col("exporter"), col("protocol"), col("input_interface"), col("output_interface"))
+    for side in ("src", "dst"):
+        keys += _address_keys(*_side_address(side), col(f"{side}_hostgroup"), lengths4, lengths6)
+        keys.append(_asn_key(col(f"{side}_asn")))
+    return _sum_wide(classified.select(window_key(classified, seconds), F.array(*keys).alias("_keys"), *RAW), RAW, contributions())
+
+
 def dimension_of(wide: DataFrame, dimension: str, keep: list[str] = ()) -> DataFrame:
     """One dimension of ``rollup_all`` in the shape its own rollup has."""
     df = wide.where(F.col("dimension") == dimension)
@@ -272,7 +331,7 @@ def active_entities(classified: DataFrame, asof: Column, ttl_seconds: int = 300,
         for kind, column in (("hostgroup", f"{side}_hostgroup"), ("asn", f"{side}_asn")):
             entries.append(F.when(F.col(column).isNotNull(),
                                   keyed(kind, F.col(column), F.lit(""), F.lit(""), F.lit(""))))
-    keys = recent.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
+    keys = recent.select(F.explode(F.array(*entries)).alias("e")).where("e IS NOT NULL")
     distinct = keys.select("e.*").distinct()
     return distinct.groupBy("entity").agg(F.count(F.lit(1)).alias("active"))
 

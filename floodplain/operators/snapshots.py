@@ -1,8 +1,8 @@
 """Detection snapshots: per scope and window, integer rates and completeness.
 
 One-sided and directional, unlike the rollups: a flow counts for the local end
-it touches. Two narrow explodes and one aggregation; a victim that draws a third
-of all flows is reduced map-side before the shuffle.
+it touches. A victim that draws a third of all flows is reduced map-side, before
+any shuffle, to one row per window and exporter.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import net
 from ..functions.rates import bits_per_second, per_second
 from ..functions.vocab import METRIC_ORDER
-from .rollup import COUNTERS, contributions, event_time, sums
+from .rollup import COUNTERS, RAW, contributions, event_time, sums
 
 SCOPE_TYPES = ["host", "prefix", "slash24", "hostgroupTotal"]
 UNATTRIBUTED = "unattributed"
@@ -24,6 +24,9 @@ _SCOPE_TYPES = {
     "scope_len": "int", "hostgroup": "string", "direction": "string",
 }
 
+# What one local end of a flow carries.
+_SIDE = ["tenant", "family", "hi", "lo", "hostgroup", "prefix_len", "direction"]
+
 # metric -> (counter, in bits); the three without a byte counter stay zero.
 RATE_OF = {
     "bps": "bytes", "pps": "packets", "fps": "flows", "tcpBps": "tcp_bytes", "tcpPps": "tcp_packets",
@@ -42,19 +45,22 @@ def _side(side: str, direction: str) -> Column:
 
 
 def sides() -> Column:
-    """The local ends a flow counts for: none, one or two."""
+    """The local ends a flow counts for: the array holds NULL for an end it does not.
+
+    A plain array literal keeps the explode inside generated code; the NULLs are
+    filtered after it.
+    """
     direction = F.col("direction")
-    into, out = _side("dst", "incoming"), _side("src", "outgoing")
-    return (
-        F.when(direction == "incoming", F.array(into))
-        .when(direction == "outgoing", F.array(out))
-        .when(direction == "internal", F.array(into, out))
+    return F.array(
+        F.when(direction.isin("incoming", "internal"), _side("dst", "incoming")),
+        F.when(direction.isin("outgoing", "internal"), _side("src", "outgoing")),
     )
 
 
 def scope_sides(classified: DataFrame) -> DataFrame:
     """One row per local end; flows without one are left out."""
-    return classified.select(*[c for c in classified.columns if c != "direction"], F.explode(sides()).alias("side"))
+    exploded = classified.select(*[c for c in classified.columns if c != "direction"], F.explode(sides()).alias("side"))
+    return exploded.where("side IS NOT NULL")
 
 
 def _scopes(side: Column, wanted: list[str]) -> Column:
@@ -73,7 +79,7 @@ def _scopes(side: Column, wanted: list[str]) -> Column:
         "slash24": scope("slash24", family == 4, F.lit(0), lo.bitwiseAND(F.lit(net.mask_halves(4, 24)[1])), F.lit(24)),
         "hostgroupTotal": scope("hostgroupTotal", side["hostgroup"].isNotNull(), hostgroup=side["hostgroup"]),
     }
-    return F.array_compact(F.array(*[all_scopes[kind] for kind in wanted]))
+    return F.array(*[all_scopes[kind] for kind in wanted])
 
 
 def scope_display() -> Column:
@@ -86,19 +92,42 @@ def scope_display() -> Column:
     )
 
 
-def expand_scopes(classified: DataFrame, scope_types: list[str] = tuple(SCOPE_TYPES)) -> DataFrame:
-    """Every (flow, scope) pair with the flow's contributions and facts."""
-    facts = [
+_FACTS = ["has_protocol", "has_tcp_flags", "is_fragmented", "has_forwarding", "sampled", "from_global", "sampling_rate", "exporter"]
+
+
+_CARRIED = ["sampling_rate", "sampling_source", "exporter"]
+
+
+def _ends(classified: DataFrame) -> DataFrame:
+    """One row per flow and local end, with the columns counters and facts come from."""
+    return classified.select("ts", F.explode(sides()).alias("_side"), *RAW, *_CARRIED).where("_side IS NOT NULL")
+
+
+def _facts() -> list[Column]:
+    return [
         F.col("protocol").isNotNull().alias("has_protocol"), F.col("tcp_flags").isNotNull().alias("has_tcp_flags"),
         F.coalesce(F.col("fragmented"), F.lit(False)).alias("is_fragmented"),
         F.coalesce(F.col("forwarding_status_known"), F.lit(False)).alias("has_forwarding"),
-        "sampling_rate", (F.col("sampling_source") == "global").alias("from_global"), "exporter",
+        (F.col("sampling_rate") > 1).alias("sampled"), (F.col("sampling_source") == "global").alias("from_global"),
+        F.col("sampling_rate"), F.col("exporter"),
     ]
-    names = ["has_protocol", "has_tcp_flags", "is_fragmented", "has_forwarding", "sampling_rate", "from_global", "exporter"]
-    flows = classified.select("ts", sides().alias("_sides"), *contributions(), *facts)
-    sided = flows.select("ts", F.explode("_sides").alias("_side"), *COUNTERS, *names)
-    scoped = sided.select("ts", F.explode(_scopes(F.col("_side"), list(scope_types))).alias("_scope"), *COUNTERS, *names)
-    return scoped.select("ts", *[F.col(f"_scope.{c}").alias(c) for c in SCOPE], *COUNTERS, *names)
+
+
+def expand_scopes(classified: DataFrame, scope_types: list[str] = tuple(SCOPE_TYPES)) -> DataFrame:
+    """Every (flow, scope) pair with the flow's contributions and facts."""
+    scoped = _scoped(_ends(classified), "ts", scope_types, [*RAW, *_CARRIED])
+    return scoped.select("ts", *SCOPE, *contributions(), *_facts())
+
+
+def _scoped(sided: DataFrame, time: str, scope_types, rest: list[str]) -> DataFrame:
+    scoped = sided.select(time, F.explode(_scopes(F.col("_side"), list(scope_types))).alias("_scope"), *rest)
+    scoped = scoped.where("_scope IS NOT NULL")
+    return scoped.select(time, *[F.col(f"_scope.{c}").alias(c) for c in SCOPE], *rest)
+
+
+def _merged() -> list[Column]:
+    flags = ["has_protocol", "has_tcp_flags", "is_fragmented", "has_forwarding", "sampled", "from_global"]
+    return [*sums(), *[F.bool_or(f).alias(f) for f in flags], F.max("sampling_rate").alias("sampling_rate")]
 
 
 def sketch_exporters() -> Column:
@@ -110,15 +139,18 @@ def sketch_exporters() -> Column:
 def snapshots(classified: DataFrame, window_ms: int, scope_types: list[str] = tuple(SCOPE_TYPES),
               exporters: str = "exact") -> DataFrame:
     """One row per scope and finished window; a scope without traffic has no row."""
-    scoped = expand_scopes(classified, scope_types)
-    window = F.window(event_time(scoped), f"{window_ms} milliseconds")
+    window = F.window(event_time(classified), f"{window_ms} milliseconds")
     count = sketch_exporters() if exporters == "sketch" else F.count_distinct("exporter")
-    grouped = scoped.groupBy(window.alias("w"), *SCOPE).agg(
-        *sums(), F.bool_or("has_protocol").alias("protocol_seen"), F.bool_or("has_tcp_flags").alias("tcp_flags_seen"),
-        F.bool_or("is_fragmented").alias("fragmentation_seen"), F.bool_or("has_forwarding").alias("forwarding_status_seen"),
-        F.bool_or(F.col("sampling_rate") > 1).alias("sampling_corrected"), F.bool_or("from_global").alias("sampling_used_global_default"),
-        F.max("sampling_rate").alias("sampling_max_rate"), count.cast("int").alias("exporters_observed"),
-    )
+    if classified.isStreaming:
+        scoped = expand_scopes(classified, scope_types)
+    else:
+        # Tenant, prefix and hostgroup follow from the address: sum per local end and
+        # exporter first, then add the ends up into their scopes.
+        ends = _ends(classified).select(window.alias("w"), *[F.col(f"_side.{c}").alias(c) for c in _SIDE], *contributions(), *_facts())
+        fine = ends.groupBy("w", *_SIDE, "exporter").agg(*_merged())
+        scoped = _scoped(fine.select("w", F.struct(*_SIDE).alias("_side"), *COUNTERS, *_FACTS), "w", scope_types, [*COUNTERS, *_FACTS])
+        window = F.col("w")
+    grouped = scoped.groupBy(window.alias("w"), *SCOPE).agg(*_merged(), count.cast("int").alias("exporters_observed"))
     rates = []
     for metric in METRIC_ORDER:
         counter = RATE_OF[metric]
@@ -131,8 +163,10 @@ def snapshots(classified: DataFrame, window_ms: int, scope_types: list[str] = tu
         rates.append(rate.alias(metric))
     return grouped.select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), F.lit(window_ms).cast("bigint").alias("window_ms"),
-        *SCOPE, scope_display().alias("scope_display"), *rates, "protocol_seen", "tcp_flags_seen", "fragmentation_seen",
-        "forwarding_status_seen", "sampling_corrected", "sampling_used_global_default", "sampling_max_rate",
+        *SCOPE, scope_display().alias("scope_display"), *rates, F.col("has_protocol").alias("protocol_seen"),
+        F.col("has_tcp_flags").alias("tcp_flags_seen"), F.col("is_fragmented").alias("fragmentation_seen"),
+        F.col("has_forwarding").alias("forwarding_status_seen"), F.col("sampled").alias("sampling_corrected"),
+        F.col("from_global").alias("sampling_used_global_default"), F.col("sampling_rate").alias("sampling_max_rate"),
         F.col("flows").alias("flows_observed"), "exporters_observed",
     )
 
