@@ -188,9 +188,8 @@ def six(df, *columns):
 
 def exporter_networks(spark):
     text = F.explode(F.array(F.lit("172.30.0.0/30"), F.lit("::ffff:172.30.0.6/128"), F.lit("172.30.0.8/32"))).alias("t")
-    cidr = net.parse_cidr(F.col("t"))
     return spark.range(1).select(text).select(
-        cidr["family"].alias("family"), cidr["hi"].alias("net_hi"), cidr["lo"].alias("net_lo"), cidr["prefix_len"].alias("prefix_len"))
+        F.inline(F.array(net.parse_cidr(F.col("t")))).alias("family", "net_hi", "net_lo", "prefix_len"))
 
 
 def sequenced(spark, sf):
@@ -199,17 +198,14 @@ def sequenced(spark, sf):
 
 
 def listed_prefixes(spark, sf):
-    """A prefix list with errors and nested entries, one entry per customer on top."""
+    """A prefix list with errors and nested entries, one entry per customer."""
     from .views import table
 
-    fixed = view(spark, sf, "prefixes").withColumn("position", F.monotonically_increasing_id())
     number = F.col("c_custkey")
     length = F.when(number % 50 == 0, F.lit(33)).otherwise((F.lit(16) + number % 17).cast("int"))
-    made = table(spark, sf, "customer").select(
+    return table(spark, sf, "customer").select(
         F.lit(4).alias("family"), length.alias("prefix_len"), F.lit(0).cast("bigint").alias("net_hi"),
         (F.lit(167772160).cast("bigint") + (number % 700) * 97).alias("net_lo"), number.alias("position"))
-    del fixed
-    return made
 
 
 LISTED_SQL = """listed AS (
@@ -221,9 +217,6 @@ LISTED_SQL = """listed AS (
 
 HOST_CONTAINS = "(b.lo // CAST(pow(2, 32 - a.n) AS BIGINT)) * CAST(pow(2, 32 - a.n) AS BIGINT) = a.lo AND a.n < b.n"
 
-CIRCLE = "CAST({} AS DOUBLE)"
-
-
 def queries():
     q = {
         "nrm1_resolve_sampling": lambda s, d: nrm.resolve_sampling(flows(s, d), view(s, d, "exporter_rates")).select(
