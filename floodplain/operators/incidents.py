@@ -11,7 +11,7 @@ from ..functions.vocab import AUTOMATIC_EDGES, INCIDENT_ACTIVE, OPERATOR_EDGES,
 from .case import EVIDENCE_MAX, POLICY_REFS_MAX, Case, CasePolicy
 from .detect import EVENT_SCHEMA_VERSION
 from .folds import ordered_fold
-from .joins import lookup_join
+from .joins import lookup_join, mark_first
 
 KEY = ["tenant_id", "target_type", "target_id", "direction", "family"]
 SILENT_AFTER_S, RECOVERY_S, CLOSURE_S = 300, 300, 1800
@@ -33,9 +33,9 @@ def gate_events(events: DataFrame, order: list[str] = ("observed_at", "sequence"
     """
     forged = (F.col("schema_version") > EVENT_SCHEMA_VERSION) | F.col("executed")
     observed = F.col("action") == "observed"
-    again = F.row_number().over(Window.partitionBy("tenant", "dedup_key", forged | observed).orderBy(*order)) > 1
-    gate = F.when(forged, F.lit("quarantined")).when(~observed & again, F.lit("duplicate")).when(observed, F.lit("observeOnly"))
-    return events.withColumn("gate", gate)
+    marked = mark_first(events.withColumn("_stopped", forged | observed), ["tenant", "dedup_key", "_stopped"], list(order))
+    gate = F.when(forged, F.lit("quarantined")).when(observed, F.lit("observeOnly")).when(~F.col("_first"), F.lit("duplicate"))
+    return marked.withColumn("gate", gate).drop("_first", "_stopped")
 
 
 def route_by_tenant(events: DataFrame, tenants: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,24 +90,33 @@ def segments(rows: DataFrame, policy: CasePolicy) -> DataFrame:
     detection reaches past it, and no operator has touched the key before. A hot
     key then folds in parallel; a key with commands stays whole from the first
     command on.
+
+    Decided on summaries of slots as long as that pause: a cut can only fall on
+    the first row of a slot, so no key is ever ordered row by row here.
     """
     settled = policy.settled_after()
-    rows = rows.withColumn("newest", F.max("t").over(Window.partitionBy("correlation_key")))
+    whole = Window.partitionBy("correlation_key")
+    slot = F.lit(0).cast("bigint") if settled is None else F.floor(F.col("t") / settled).cast("bigint")
+    df = rows.withColumn("_slot", slot)
+    head = F.struct(*ORDER, "is_event", "ended", "repeat")
+    slots = df.groupBy("correlation_key", "_slot").agg(
+        F.min(head).alias("_head"), F.max("t").alias("_last"), F.max(~F.col("is_event")).alias("_commands"))
+    slots = slots.withColumn("newest", F.max("_last").over(whole)).withColumn("any_commands", F.max("_commands").over(whole))
     if settled is None:
-        return rows.withColumn("segment", F.lit(0).cast("bigint")).withColumn(
-            "any_commands", F.max(~F.col("is_event")).over(Window.partitionBy("correlation_key")))
-    order = Window.partitionBy("correlation_key").orderBy(*ORDER)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    ends = F.max(F.when(F.col("is_event"), F.col("t"))).over(Window.partitionBy("correlation_key", "detection_id"))
-    df = rows.withColumn("_reaches", ends)
-    df = df.withColumn("_held", F.max("_reaches").over(before)).withColumn("_touched", F.max(~F.col("is_event")).over(before))
-    df = df.withColumn("any_commands", F.max(~F.col("is_event")).over(Window.partitionBy("correlation_key")))
-    fresh = (
-        F.col("is_event") & ~F.col("ended") & ~F.col("repeat") & (F.col("t") - F.lag("t").over(order) > settled)
-        & (F.col("_held") < F.col("t")) & ~F.coalesce("_touched", F.lit(False))
-    )
-    cut = F.sum(F.when(F.coalesce(fresh, F.lit(False)), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("segment", cut).drop("_reaches", "_held", "_touched")
+        cut = slots.withColumn("segment", F.lit(0).cast("bigint"))
+    else:
+        spans = df.where("is_event").groupBy("correlation_key", "detection_id").agg(F.min("_slot").alias("_slot"), F.max("t").alias("_until"))
+        reaches = spans.groupBy("correlation_key", "_slot").agg(F.max("_until").alias("_reach"))
+        order = whole.orderBy("_slot")
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        start = F.col("_head.t")
+        fresh = (
+            F.col("_head.is_event") & ~F.col("_head.ended") & ~F.col("_head.repeat") & (start - F.lag("_last").over(order) > settled)
+            & F.coalesce(F.max("_reach").over(before) < start, F.lit(True)) & ~F.coalesce(F.max("_commands").over(before), F.lit(False))
+        )
+        joined = slots.join(reaches, ["correlation_key", "_slot"], "left").withColumn("_fresh", F.coalesce(fresh, F.lit(False)))
+        cut = joined.withColumn("segment", F.sum(F.when(F.col("_fresh"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.join(cut.select("correlation_key", "_slot", "newest", "any_commands", "segment"), ["correlation_key", "_slot"]).drop("_slot")
 
 
 class CaseFold:

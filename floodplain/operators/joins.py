@@ -218,3 +218,18 @@ def first_rows(df: DataFrame, group: list[str], order: list, keep: int, rank: st
     kept = sliced.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= keep).drop("_r", "_slice")
     second = Window.partitionBy(*group).orderBy(*order)
     return kept.withColumn(rank, F.row_number().over(second)).where(F.col(rank) <= keep)
+
+
+def mark_first(df: DataFrame, keys: list, order: list, slices: int = 64) -> DataFrame:
+    """Add ``_first``: true on exactly one row of each group, the first by ``order``.
+
+    Works where one group of copies holds a large part of all rows: they are
+    ranked within slices by source partition, then only the slices' own firsts
+    against each other.
+    """
+    sliced = df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(slices)))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    ranked = sliced.withColumn("_ahead", F.row_number().over(inside) == 1)
+    apart = F.when(F.col("_ahead"), F.lit(-1)).otherwise(F.col("_slice"))
+    across = Window.partitionBy(*keys, apart).orderBy(*order)
+    return ranked.withColumn("_first", F.col("_ahead") & (F.row_number().over(across) == 1)).drop("_slice", "_ahead")

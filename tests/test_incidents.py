@@ -260,3 +260,12 @@ def test_at_most_one_active_incident_per_key(spark):
     incidents = inc.incidents_of(inc.correlate(events))
     assert inc.duplicate_active(incidents, inc.KEY).count() == 0
     assert incidents.where("tenant_id <> 'acme' OR target_id NOT LIKE '10.0.1.%' OR family <> 4").count() == 0
+
+
+def test_a_key_delivered_very_often_passes_once(spark):
+    copies = [(i, "same", "hot") for i in range(3000)] + [(i, f"e{i}", f"k{i}") for i in range(100)]
+    df = spark.createDataFrame(copies, "i long, event_id string, dedup_key string").repartition(8).select(
+        F.lit("acme").alias("tenant"), "event_id", "dedup_key", F.lit(1).alias("schema_version"), F.lit(False).alias("executed"),
+        F.lit("alerted").alias("action"), F.timestamp_seconds(F.lit(0)).alias("observed_at"), F.lit(0).cast("bigint").alias("sequence"))
+    counts = {r["gate"]: r["n"] for r in inc.gate_events(df).groupBy("gate").agg(F.count("*").alias("n")).collect()}
+    assert counts == {None: 101, "duplicate": 2999}
