@@ -419,6 +419,19 @@ def oracle_sql():
             WHERE state NOT IN ('resolved', 'closed') GROUP BY ALL HAVING count(*) > 1""",
         "inc20_known_tenants": f"{ARRIVALS} SELECT tenant, count(*) AS n FROM arrivals WHERE tenant <> 'initech' GROUP BY tenant",
         "inc20_refused_tenants": f"{ARRIVALS} SELECT tenant, count(*) AS refused FROM arrivals WHERE tenant = 'initech' GROUP BY tenant",
+        "inc22_report": f"""{first_start}, c AS (SELECT CASE WHEN opener IS NULL OR seq_no < opener THEN 'quarantined' WHEN seq_no = opener THEN 'created' ELSE 'updated' END AS key FROM o)
+            SELECT 'outcome' AS measure, key, count(*) AS n FROM c GROUP BY key
+            UNION ALL SELECT 'gate', CASE WHEN schema_version > 1 OR executed THEN 'quarantined' ELSE 'observeOnly' END AS key, count(*) FROM arrivals
+              WHERE schema_version > 1 OR executed OR observed GROUP BY 2
+            UNION ALL SELECT 'transition', 'traffic_cleared', count(DISTINCT target) FROM o WHERE kind = 'ended' AND seq_no > opener""",
+        "d18_timeline": f"""{first_start}, g AS (SELECT *, bit_or({bits}) OVER (PARTITION BY target ORDER BY seq_no) AS m FROM o WHERE seq_no >= opener),
+            k AS (SELECT *, {category_sql(bit_test('m'))} AS category FROM g), l AS (SELECT *, lag(category) OVER (PARTITION BY target ORDER BY seq_no) AS was FROM k)
+            SELECT 'opened' AS entry_type, count(DISTINCT target) AS n FROM l UNION ALL SELECT 'event_linked', count(*) FROM l
+            UNION ALL SELECT 'category_changed', count(*) FROM l WHERE was <> category
+            UNION ALL SELECT 'state_changed', count(DISTINCT target) FROM l WHERE kind = 'ended'""",
+        "d19_outbox": f"""{first_start}, l AS (SELECT * FROM o WHERE seq_no >= opener)
+            SELECT tenant, CASE WHEN seq_no = opener THEN 'incident.opened' ELSE 'incident.updated' END AS event_type, count(*) AS n FROM l GROUP BY ALL
+            UNION ALL SELECT tenant, 'incident.recovering', count(DISTINCT target) FROM l WHERE kind = 'ended' GROUP BY tenant""",
         "iq1_list": f"""{ORDERS}, f AS (SELECT * FROM incidents WHERE tenant_id = 'acme' AND state IN ('open', 'acknowledged') AND severity IN ('critical', 'major'))
             SELECT incident_id, state, (SELECT count(*) FROM f) > 50 AS has_more FROM f ORDER BY opened_at DESC, incident_id DESC LIMIT 50""",
         "iq1_second_page": f"""{ORDERS}, f AS (SELECT * FROM incidents WHERE tenant_id = 'globex' AND direction = 'incoming'
