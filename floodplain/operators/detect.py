@@ -60,14 +60,19 @@ def screen_snapshots(selected: DataFrame, arrival: str, disabled: str = "disable
     return screened.withColumn("ignored", F.coalesce("_early", late)).drop("_early")
 
 
-def fold_rows(evaluated: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Evaluated snapshots in the form the state machine takes."""
+def fold_rows(evaluated: DataFrame, keep: list[str] = (), as_text: bool = True) -> DataFrame:
+    """Evaluated snapshots in the form the state machine takes.
+
+    The payload is text for the fold; a batch keeps it a struct until the rows
+    that need no fold are gone.
+    """
+    payload = F.struct(*PAYLOAD)
     watched = evaluated.where(F.col("mode") != "disabled").withColumn("scope_key", scope_key())
     return watched.select(
         "scope_key", F.unix_micros("window_end").alias("t"), F.lit(True).alias("is_snapshot"), "over",
         F.col("all_below_clear").alias("below"), F.when(F.col("over"), F.to_json("matched")).alias("crossed"),
         "policy_id", F.col("policy_version").cast("bigint").alias("policy_version"), *TIMERS,
-        F.to_json(F.struct(*PAYLOAD)).alias("payload"), *keep,
+        (F.to_json(payload) if as_text else payload).alias("payload"), *keep,
     )
 
 
@@ -140,7 +145,7 @@ def detect(evaluated: DataFrame, asof: int | None = None, resets: DataFrame | No
     ``resets`` are operator commands: the scope columns, ``scope_display``,
     ``at`` and ``reason`` (``manualReset`` or ``policyWithdrawn``).
     """
-    rows = fold_rows(evaluated)
+    rows = fold_rows(evaluated, as_text=False)
     if resets is not None:
         commands = resets.withColumn("scope_key", scope_key()).select(
             "scope_key", F.unix_micros(F.col("at").cast("timestamp")).alias("t"), F.lit(False).alias("is_snapshot"),
@@ -149,7 +154,7 @@ def detect(evaluated: DataFrame, asof: int | None = None, resets: DataFrame | No
     stale, clock = stale_after_ms * 1000, None if asof is None else asof * 1_000_000
     schema = f"scope_key STRING, episode BIGINT, {LOG_COLUMNS}"
     # At one instant the snapshot goes first, then the command.
-    cut = episodes(rows, stale_after_ms).withColumn("_is_command", ~F.col("is_snapshot"))
+    cut = episodes(rows, stale_after_ms).withColumn("_is_command", ~F.col("is_snapshot")).withColumn("payload", F.to_json("payload"))
     return ordered_fold(cut, ["scope_key", "episode"], ["t", "_is_command"], FOLD_INPUT,
                         lambda *_: _EpisodeFold(stale, clock), schema)
 

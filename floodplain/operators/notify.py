@@ -28,7 +28,7 @@ def route_notifications(outbox: DataFrame, incidents: DataFrame, routes: DataFra
     return told.dropDuplicates(["outbox_id", "channel"])
 
 
-class _Repeats:
+class Repeats:
     def __init__(self, window):
         self.window, self.sent = window, None
 
@@ -67,12 +67,12 @@ def dedup_notifications(messages: DataFrame, window_seconds: int = DEDUP_SECONDS
     rows = messages.select("message_id", *keys, F.unix_micros("at").alias("t"))
     kinds = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in keys)
     kept = ordered_fold(_islands(rows, keys, window_seconds * 1_000_000), [*keys, "island"], ["t", "message_id"], ["t", "message_id"],
-                        lambda *_: _Repeats(window_seconds * 1_000_000),
+                        lambda *_: Repeats(window_seconds * 1_000_000),
                         f"{kinds}, island BIGINT, t BIGINT, message_id {dict(rows.dtypes)['message_id']}, kept BOOLEAN")
     return kept.select("message_id", *keys, F.timestamp_micros("t").alias("at"), "kept")
 
 
-class _Bucket:
+class Bucket:
     """Tokens in units of 1/60e6, so that refilling is whole numbers."""
 
     UNIT = 60_000_000
@@ -102,7 +102,7 @@ def rate_limit(messages: DataFrame, per_minute: int = PER_MINUTE) -> DataFrame:
     """
     rows = messages.select("message_id", "channel", F.unix_micros("at").alias("t"))
     cut = _islands(rows, ["channel"], 60_000_000)
-    limited = ordered_fold(cut, ["channel", "island"], ["t", "message_id"], ["t", "message_id"], lambda *_: _Bucket(per_minute),
+    limited = ordered_fold(cut, ["channel", "island"], ["t", "message_id"], ["t", "message_id"], lambda *_: Bucket(per_minute),
                            f"channel STRING, island BIGINT, t BIGINT, message_id {dict(rows.dtypes)['message_id']}, sent BOOLEAN")
     return limited.select("message_id", "channel", F.timestamp_micros("t").alias("at"), "sent")
 

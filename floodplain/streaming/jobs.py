@@ -1,4 +1,4 @@
-"""The streaming jobs: rollups, snapshots, detection, correlation, repeats.
+"""The streaming jobs: rollups, snapshots, detection, correlation, message limits.
 
 Each job is one query with its own checkpoint; stored tables between jobs are the
 restart boundaries. Every sink writes by batch id, so that a batch repeated after
@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import classify, detect, incidents, normalize, rollup, snapshots
+from ..operators import classify, detect, incidents, normalize, notify, rollup, snapshots
 from ..operators.case import CasePolicy
 from ..operators.evaluate import evaluate
 from ..operators.policy import select_policy
 from ..sources import tables
-from .state import CaseAdapter, DetectAdapter, keyed_fold
+from .state import BucketAdapter, CaseAdapter, DetectAdapter, RepeatAdapter, keyed_fold
 
 
 def _start(df: DataFrame, write, checkpoint: str, mode: str = "append", available_now: bool = True) -> StreamingQuery:
@@ -82,3 +82,27 @@ def current_incidents(spark: SparkSession, path: str) -> DataFrame:
     log = spark.read.parquet(path).where("record = 'incident'")
     newest = log.groupBy("correlation_key", "incident_id").agg(F.max_by("body", F.struct("t", "n")).alias("body"))
     return incidents.incidents_of(newest.withColumn("record", F.lit("incident")))
+
+
+def message_rows(messages: DataFrame, watermark: str) -> DataFrame:
+    return messages.withWatermark("at", watermark).select(
+        "message_id", "channel", "incident_id", "event_type", F.unix_micros("at").alias("t"), "at")
+
+
+def kept_messages(messages: DataFrame, window_seconds: int = notify.DEDUP_SECONDS, watermark: str = "1 minute") -> DataFrame:
+    """``kept`` for a stream of messages: false for repeats within the window."""
+    keys = ["channel", "incident_id", "event_type"]
+    types = dict(messages.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in keys) + f", t BIGINT, message_id {types['message_id']}, kept BOOLEAN"
+    return keyed_fold(message_rows(messages, watermark), keys, RepeatAdapter(window_seconds * 1_000_000), schema)
+
+
+def limited_messages(messages: DataFrame, per_minute: int = notify.PER_MINUTE, watermark: str = "1 minute") -> DataFrame:
+    """``sent`` for a stream of messages: false where the channel's bucket was empty."""
+    schema = f"channel STRING, t BIGINT, message_id {dict(messages.dtypes)['message_id']}, sent BOOLEAN"
+    return keyed_fold(message_rows(messages, watermark), ["channel"], BucketAdapter(per_minute), schema)
+
+
+def stream_table(df: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Any of these streams into a table, by batch."""
+    return _start(df, lambda batch, n: tables.write_batch(batch, path, n), checkpoint, available_now=available_now)

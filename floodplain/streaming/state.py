@@ -16,7 +16,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.case import Case, CasePolicy
 from ..operators.incidents import COMMAND_FACTS
-from ..operators.machine import RECORD, Scope
+from ..operators.machine import Scope
+from ..operators.notify import Bucket, Repeats
 
 STATE = T.StructType([T.StructField("text", T.StringType())])
 
@@ -136,4 +137,54 @@ class CaseAdapter:
         return case.dump()
 
 
-assert RECORD[1] == "t"
+class RepeatAdapter:
+    """Repeats of one (channel, incident, event): rows of ``message_rows``."""
+
+    def __init__(self, window_us: int):
+        self.window = window_us
+
+    def load(self, key, text):
+        folder = Repeats(self.window)
+        folder.sent = int(text) if text else None
+        return folder
+
+    def apply(self, folder, batch):
+        ordered = batch.sort_values(["t", "message_id"], kind="stable")
+        return [row for t, m in zip(ordered["t"], ordered["message_id"]) for row in folder.row(int(t), m)]
+
+    def due(self, folder):
+        return (folder.sent + self.window) // 1000 + 1
+
+    def expire(self, folder, now_ms):
+        if now_ms * 1000 >= folder.sent + self.window:
+            folder.sent = None  # the next one is sent whatever was before
+        return []
+
+    def dump(self, folder):
+        return None if folder.sent is None else str(folder.sent)
+
+
+class BucketAdapter:
+    """The token bucket of one channel: rows of ``message_rows``."""
+
+    def __init__(self, per_minute: int):
+        self.per_minute = per_minute
+
+    def load(self, key, text):
+        folder = Bucket(self.per_minute)
+        if text:
+            folder.tokens, folder.last = json.loads(text)
+        return folder
+
+    apply = RepeatAdapter.apply
+
+    def due(self, folder):
+        return (folder.last + 60_000_000) // 1000 + 1
+
+    def expire(self, folder, now_ms):
+        if now_ms * 1000 >= folder.last + 60_000_000:
+            folder.last = None  # full again
+        return []
+
+    def dump(self, folder):
+        return None if folder.last is None else json.dumps([folder.tokens, folder.last])

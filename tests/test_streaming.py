@@ -97,3 +97,19 @@ def test_streamed_correlation_equals_batch_correlation(spark, sf, tmp_path, part
     assert log(got) == log(batch)
     current = jobs.current_incidents(spark, out)
     assert {r[0] for r in current.select("incident_id").collect()} == {r[0] for r in inc.incidents_of(batch).select("incident_id").collect()}
+
+
+@pytest.mark.parametrize("kind", ["kept", "sent"])
+def test_streamed_message_limits_equal_batch_limits(spark, sf, tmp_path, kind):
+    from checks import incident_checks as ic
+    from floodplain.operators import notify as ntf
+
+    messages = ic.messages(spark, sf).persist()
+    source = split_by_time(messages, str(tmp_path / "messages"), "at", 3)
+    live = stream(spark, source, messages.schema)
+    limited = jobs.kept_messages(live, watermark="0 seconds") if kind == "kept" else jobs.limited_messages(live, 2, "0 seconds")
+    out = str(tmp_path / "out")
+    run(jobs.stream_table(limited, out, str(tmp_path / "cp")))
+    batch = ntf.dedup_notifications(messages) if kind == "kept" else ntf.rate_limit(messages, 2)
+    rows = lambda df: sorted(map(tuple, df.select("message_id", kind).collect()))
+    assert rows(spark.read.parquet(out)) == rows(batch)
