@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodplain.llm import pieces, token_counts
+from floodplain.llm import pieces, simhash, token_counts, vectors
 from floodplain.llm.shared import table
 
 MODEL = "piece_bpe_32k.model"
@@ -33,8 +33,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), model_path(), limit=4096)
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=3)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece, "op10_token_counts": op10_token_counts}
+    return {"op1_sentencepiece": op1_sentencepiece, "op3_near_vectors": op3_near_vectors, "op8_simhash": op8_simhash, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
