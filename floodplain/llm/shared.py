@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one slice stay near ``chars`` bytes."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text_col)), 0), dtype=np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
         begin, held = 0, 0
         for row, size in enumerate(sizes.tolist()):
             if row > begin and held + size > chars:
@@ -109,13 +110,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = cut_lineage(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u", "v").agg(F.lit(1).alias("_one")).drop("_one"))
     labels = cut_lineage(edges.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("component")))
     while True:
-        heard = edges.join(labels, edges.v == labels.node).groupBy("u").agg(F.min("component").alias("heard"))
-        mine = labels.join(heard, labels.node == heard.u).select("node", F.col("component").alias("was"), F.least("component", "heard").alias("low"))
+        heard = edges.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("heard"))
+        mine = labels.join(heard, F.col("node") == F.col("u")).select("node", F.col("component").alias("was"), F.least("component", "heard").alias("low"))
         # Hooking: what a node hears also lowers the node it pointed to.
         hooked = mine.groupBy(F.col("was").alias("root")).agg(F.min("low").alias("root_low"))
-        lowered = mine.join(hooked, mine.node == hooked.root, "left").select("node", "was", F.least("low", F.coalesce("root_low", "low")).alias("to"))
+        lowered = mine.join(hooked, F.col("node") == F.col("root"), "left").select("node", "was", F.least("low", F.coalesce("root_low", "low")).alias("to"))
         nxt = lowered.select(F.col("node").alias("at"), F.col("to").alias("beyond"))
-        new = lowered.join(nxt, lowered.to == nxt["at"], "left").select("node", "was", F.least("to", F.coalesce("beyond", "to")).alias("component"))
+        new = lowered.join(nxt, F.col("to") == F.col("at"), "left").select("node", "was", F.least("to", F.coalesce("beyond", "to")).alias("component"))
         new = cut_lineage(new)
         changed = new.where("component <> was").limit(1).count()
         labels = new.select("node", "component")
