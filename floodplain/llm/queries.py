@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodplain.llm import pieces, simhash, token_counts, vectors
+from floodplain.llm import licenses, personal, pieces, simhash, token_counts, vectors
 from floodplain.llm.shared import table
 
 MODEL = "piece_bpe_32k.model"
@@ -33,18 +33,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), model_path(), limit=4096)
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in personal.BASE]
+    return found.select("doc_id", *counts, F.sha2(personal.joined("spans", personal.BASE), 256).alias("base_sha256"), personal.joined("spans", personal.KINDS).alias("spans"))
+
+
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_summary(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=3)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece, "op3_near_vectors": op3_near_vectors, "op8_simhash": op8_simhash, "op10_token_counts": op10_token_counts}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_personal_data": op2_personal_data, "op3_near_vectors": op3_near_vectors, "op5_licenses": op5_licenses, "op8_simhash": op8_simhash, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_licenses": licenses.summary_sql(0.8)}
