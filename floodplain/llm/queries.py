@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodplain.llm import licenses, personal, pieces, simhash, token_counts, vectors
+from floodplain.llm import language, licenses, personal, pieces, simhash, token_counts, vectors
 from floodplain.llm.shared import table
 
 MODEL = "piece_bpe_32k.model"
@@ -47,13 +47,19 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_summary(table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=3)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece, "op2_personal_data": op2_personal_data, "op3_near_vectors": op3_near_vectors, "op5_licenses": op5_licenses, "op8_simhash": op8_simhash, "op10_token_counts": op10_token_counts}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_personal_data": op2_personal_data, "op3_near_vectors": op3_near_vectors, "op5_licenses": op5_licenses, "op7_language": op7_language, "op8_simhash": op8_simhash, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
