@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodplain.llm import language, licenses, personal, pieces, simhash, token_counts, vectors
+from floodplain.llm import language, licenses, passages, personal, pieces, resampling, simhash, tiling, token_counts, vectors
 from floodplain.llm.shared import table
 
 MODEL = "piece_bpe_32k.model"
@@ -29,6 +29,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_match=5, threshold=0.5)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), model_path(), limit=4096)
 
@@ -43,10 +47,19 @@ def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_summary(table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return resampling.resample(docs, resampling.labelled_target(docs, table(spark, sf_dir, "labels")), share=0.5)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.train(docs))
@@ -59,7 +72,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece, "op2_personal_data": op2_personal_data, "op3_near_vectors": op3_near_vectors, "op5_licenses": op5_licenses, "op7_language": op7_language, "op8_simhash": op8_simhash, "op10_token_counts": op10_token_counts}
+    registered = [
+        op1_sentencepiece, op2_personal_data, op3_near_vectors, op4_repeated_passages, op5_licenses,
+        op6_importance_resampling, op7_language, op8_simhash, op9_decontamination, op10_token_counts,
+    ]
+    return {query.__name__: query for query in registered}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -114,7 +114,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mine = labels.join(heard, F.col("node") == F.col("u")).select("node", F.col("component").alias("was"), F.least("component", "heard").alias("low"))
         # Hooking: what a node hears also lowers the node it pointed to.
         hooked = mine.groupBy(F.col("was").alias("root")).agg(F.min("low").alias("root_low"))
-        lowered = mine.join(hooked, F.col("node") == F.col("root"), "left").select("node", "was", F.least("low", F.coalesce("root_low", "low")).alias("to"))
+        # Kept apart from the join that follows, so that one label's many rows can be split there.
+        lowered = cut_lineage(mine.join(hooked, F.col("node") == F.col("root"), "left").select("node", "was", F.least("low", F.coalesce("root_low", "low")).alias("to")))
         nxt = lowered.select(F.col("node").alias("at"), F.col("to").alias("beyond"))
         new = lowered.join(nxt, F.col("to") == F.col("at"), "left").select("node", "was", F.least("to", F.coalesce("beyond", "to")).alias("component"))
         new = cut_lineage(new)

@@ -9,7 +9,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,8 +72,8 @@ def _half(digits: list[list[int]], allowed) -> list[int]:
     return steps
 
 
-def near_groups(prints: DataFrame, radius: int, ratio: float | None = None, id_col: str = "doc_id", tile: int = TILE) -> DataFrame:
-    """``(id, f0 …, shingles, component_id)``: the smallest id that links of at most ``radius`` bits reach.
+def near_groups(prints: DataFrame, radius: int, ratio: float | None = None, id_col: str = "doc_id", tile: int = TILE, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, f0 …, shingles, extra …, component_id)``: the smallest id that links of at most ``radius`` bits reach.
 
     Fingerprints are compared exactly, tile against tile, by exclusive-or and bit
     counts. A tile meets another only if their population counts allow ``radius``:
@@ -81,14 +81,14 @@ def near_groups(prints: DataFrame, radius: int, ratio: float | None = None, id_c
     to no more than the distance, beyond it the count of the first 64 bits. With
     ``ratio`` a link also needs that share between the two numbers of shingles,
     and tiles are kept apart by it too: what is at least that similar is at
-    least that alike in length. Equal fingerprints are one row with its smallest id, so
+    least that alike in length, and so short that this means equal must be equal. Equal fingerprints are one row with its smallest id, so
     copies cost nothing; of a tile pair only a spanning set of links leaves the
     task. Rows with the same id are one node; a row with a null id joins the
     component of an equal fingerprint, or has none.
     """
     parts = [name for name in prints.columns if name.startswith("f") and name[1:].isdigit()]
     key = [*parts, "shingles"] if ratio else parts
-    prints = cut_lineage(prints.select(id_col, *parts, "shingles"))
+    prints = cut_lineage(prints.select(id_col, *parts, "shingles", *extra))
     classes = prints.groupBy(*key).agg(F.min(id_col).alias("rep"))
     rows = classes.where("rep IS NOT NULL")
 
@@ -121,7 +121,10 @@ def near_groups(prints: DataFrame, radius: int, ratio: float | None = None, id_c
             flat = flat[apart <= radius]
         if ratio and len(flat):
             x, y = a["shingles"][flat // n], b["shingles"][flat % n]
-            flat = flat[np.minimum(x, y) >= ratio * np.maximum(x, y)]
+            short = np.minimum(x, y)
+            i, j = flat // n, flat % n
+            equal = np.all([a[part][i] == b[part][j] for part in parts], axis=0)
+            flat = flat[(short >= ratio * np.maximum(x, y)) & (equal | (short * (1 - ratio) >= ratio))]
         return flat
 
     payload = [*parts, *(["shingles"] if ratio else [])]
@@ -130,9 +133,31 @@ def near_groups(prints: DataFrame, radius: int, ratio: float | None = None, id_c
     named = group_min(classes, components(found.where("node <> root"), "node", "root"), "rep")
     named = named.select(*(F.col(name).alias(f"_{name}") for name in key), F.col("component").alias("component_id"))
     equal = [prints[name] == named[f"_{name}"] for name in key]
-    return prints.join(named, equal, "left").select(id_col, *parts, "shingles", "component_id")
+    return prints.join(named, equal, "left").select(id_col, *parts, "shingles", *extra, "component_id")
 
 
 def simhash_groups(docs: DataFrame, words: int = 3, parts: int = 1, radius: int = 3, ratio: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint whole texts and group those that nearly agree; see ``fingerprints`` and ``near_groups``."""
     return near_groups(fingerprints(docs, words, parts, id_col, text_col), radius, ratio, id_col)
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, parts: int = 2, radius: int = 24, ratio: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows and columns of documents, of each group of near copies one.
+
+    By default fingerprints have 128 bits over five-word shingles: texts at Jaccard
+    similarity 0.8 differ by about 19 bits, unrelated ones by 64, so that 24 keeps
+    nearly all of the former and none of the latter. The row with the smallest id
+    stays; of several with that id the one whose text hashes lowest, once. Rows
+    without an id give way to an equal one with an id, else one of them stays.
+    Empty texts are one group. The one shuffle of whole texts is the join that
+    picks the survivors.
+    """
+    mine = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("row"), F.col(text_col).alias("text"))
+    prints = fingerprints(mine, words, parts, "row", "text").select("row.*", *(f"f{k}" for k in range(parts)), "shingles")
+    groups = near_groups(prints, radius, ratio, "id", extra=("h",)).where("id <=> component_id")
+    unnamed = F.when(F.col("id").isNull(), F.struct(*(f"f{k}" for k in range(parts)), "shingles"))
+    stay = groups.groupBy("id", unnamed.alias("unnamed")).agg(F.min("h").alias("h")).select(F.col("id").alias("_id"), F.col("h").alias("_h"))
+    hashed = F.xxhash64(docs[text_col])
+    kept = docs.withColumn("_hash", hashed).join(stay, F.col("_hash").eqNullSafe(F.col("_h")) & docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
+    first = Window.partitionBy("_hash", id_col).orderBy("_hash")
+    return kept.withColumn("_place", F.row_number().over(first)).where("_place = 1").select(*docs.columns)

@@ -42,8 +42,7 @@ def build_tiles(rows: DataFrame, cell: str, node: str, payload: list[str], size:
 
     def values(column: pa.Array) -> np.ndarray:
         if pa.types.is_list(column.type):
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            return flat.reshape(len(column), -1)
+            return column.flatten().to_numpy(zero_copy_only=False)
         return column.to_numpy(zero_copy_only=False)
 
     def pack(batches):
@@ -67,7 +66,7 @@ def build_tiles(rows: DataFrame, cell: str, node: str, payload: list[str], size:
 
 def compare_tiles(
     tiles: DataFrame, node: str, payload: dict[str, str], hits: Callable[[dict, dict], np.ndarray],
-    neighbours: list[int] | None = None, slots: int = 1, weight: str | None = None,
+    neighbours: list[int] | None = None, slots: int = 1, weight: str | None = None, flat: tuple[str, ...] = (),
 ) -> DataFrame:
     """Compare every tile with itself, the tiles of its cell and those of ``neighbours``; checkpointed.
 
@@ -79,7 +78,8 @@ def compare_tiles(
     and ``links`` counts the linked rows of the other tile (weighted by the array
     ``weight``). A group of n near copies therefore makes rows in proportion to n
     times its tiles, not n squared, and no connection is lost. ``slots`` spreads
-    the tiles of a large cell over that many tasks.
+    the tiles of a large cell over that many tasks; arrays named in ``flat`` have
+    rows of different lengths and stay flat.
     """
     spark = tiles.sparkSession
     kinds = {node: "i8", **payload}
@@ -98,7 +98,7 @@ def compare_tiles(
     def side(batch: pa.RecordBatch, row: int, prefix: str) -> dict[str, np.ndarray]:
         arrays = {name: np.frombuffer(batch.column(f"{prefix}{name}")[row].as_buffer(), kind) for name, kind in kinds.items()}
         n = len(arrays[node])
-        return {name: array if len(array) == n else array.reshape(n, -1) for name, array in arrays.items()}
+        return {name: array if len(array) == n or name in flat else array.reshape(n, -1) for name, array in arrays.items()}
 
     def run(batches):
         for batch in batches:
@@ -106,9 +106,9 @@ def compare_tiles(
             for row in range(batch.num_rows):
                 a, b = side(batch, row, "a_"), side(batch, row, "b_")
                 same = batch.column("step")[row].as_py() == 0 and batch.column("a_tile")[row].as_py() == batch.column("b_tile")[row].as_py()
-                flat = hits(a, b)
+                pairs = hits(a, b)
                 n = len(b[node])
-                i, j = flat // n, flat % n
+                i, j = pairs // n, pairs % n
                 if same:
                     i, j = i[i != j], j[i != j]
                 if not len(i):
