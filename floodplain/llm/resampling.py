@@ -89,7 +89,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
 
     def work(texts: list[str]) -> dict[str, pa.Array]:
         bucket, owner = grams_of(texts)
-        return {"n_grams": pa.array(np.bincount(owner, minlength=len(texts))), "log_weight": pa.array(np.bincount(owner, sent.value[bucket], len(texts)))}
+        return {"n_grams": pa.array(np.bincount(owner, minlength=len(texts))), "log_weight": pa.array(np.bincount(owner, sent.value[bucket], len(texts)).astype(float))}
 
     return map_texts(docs, id_col, text_col, {"n_grams": T.LongType(), "log_weight": T.DoubleType()}, work)
 
@@ -144,4 +144,4 @@ def resample(docs: DataFrame, target: DataFrame, share: float = 0.5, seed: int =
 def labelled_target(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", toxic_col: str = "toxic") -> DataFrame:
     """Documents labelled good and not toxic: the texts that sampling is to resemble."""
     good = labels.where((F.col(quality_col) == 1) & (F.coalesce(toxic_col, F.lit(0)) == 0)).select(F.col(id_col).alias("_good")).distinct()
-    return docs.join(good, F.col(id_col) == F.col("_good"), "left_semi")
+    return docs.join(good, docs[id_col] == good["_good"], "left_semi")

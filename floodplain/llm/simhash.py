@@ -156,8 +156,8 @@ def drop_near_copies(docs: DataFrame, words: int = 5, parts: int = 2, radius: in
     prints = fingerprints(mine, words, parts, "row", "text").select("row.*", *(f"f{k}" for k in range(parts)), "shingles")
     groups = near_groups(prints, radius, ratio, "id", extra=("h",)).where("id <=> component_id")
     unnamed = F.when(F.col("id").isNull(), F.struct(*(f"f{k}" for k in range(parts)), "shingles"))
-    stay = groups.groupBy("id", unnamed.alias("unnamed")).agg(F.min("h").alias("h")).select(F.col("id").alias("_id"), F.col("h").alias("_h"))
-    hashed = F.xxhash64(docs[text_col])
-    kept = docs.withColumn("_hash", hashed).join(stay, F.col("_hash").eqNullSafe(F.col("_h")) & docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
-    first = Window.partitionBy("_hash", id_col).orderBy("_hash")
-    return kept.withColumn("_place", F.row_number().over(first)).where("_place = 1").select(*docs.columns)
+    stay = groups.groupBy("id", unnamed.alias("unnamed")).agg(F.min("h").alias("h")).select(F.col("id").alias("stays"), F.col("h").alias("stays_h"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    kept = rows.join(stay, F.col("h").eqNullSafe(F.col("stays_h")) & F.col("id").eqNullSafe(F.col("stays")), "left_semi")
+    first = Window.partitionBy("h", "id").orderBy("h")
+    return kept.withColumn("place", F.row_number().over(first)).where("place = 1").select("doc.*")
