@@ -104,7 +104,9 @@ def mitigations(spark, sf):
         "mitigation_id", "incident_id", "tenant_id", F.lit(4).alias("family"), F.lit(0).cast("bigint").alias("hi"), F.col("prefix_lo").alias("lo"),
         "prefix_len", "action", "state", "dry_run", "duration_seconds", created.alias("created_at"), created.alias("updated_at"),
         F.timestamp_seconds(F.col("created_epoch_s") + F.col("duration_seconds")).alias("expires_at"),
-        F.when(F.col("mitigation_id") % 4 != 1, F.lit("{}")).alias("route"))
+        F.when(F.col("mitigation_id") % 4 != 1, F.lit("{}")).alias("route"),
+        F.when(F.col("mitigation_id") % 2 == 0, F.lit(17)).alias("match_protocol"),
+        F.when(F.col("mitigation_id") % 4 == 0, F.when(F.col("mitigation_id") % 8 == 0, F.lit(53)).otherwise(F.lit(123))).alias("match_source_port"))
 
 
 def allowlist(spark, sf):
@@ -114,7 +116,8 @@ def allowlist(spark, sf):
 
 MIT = "WITH " + ctes("mitigations", "allowlist")
 LIVE = "('proposed', 'requested', 'approved', 'announcing', 'active', 'withdrawing')"
-DUPLICATE_SQL = f"action || '|' || {v4_text('prefix_lo')} || '/' || prefix_len || '|'"
+DUPLICATE_SQL = f"""action || '|' || {v4_text('prefix_lo')} || '/' || prefix_len || '|' || CASE WHEN action LIKE 'flowspec%' THEN
+    CASE WHEN mitigation_id % 2 = 0 THEN 'proto=17;' ELSE '' END || CASE WHEN mitigation_id % 8 = 0 THEN 'sport=53;' WHEN mitigation_id % 4 = 0 THEN 'sport=123;' ELSE '' END ELSE '' END"""
 
 
 def requests(spark, sf):
@@ -184,7 +187,28 @@ def peers(spark, sf, later=False):
 
 def owned_routes(spark, sf):
     """Routes a speaker holds: those of two thirds of the mitigations."""
-    return mitigations(spark, sf).where("mitigation_id % 3 <> 0").select(mit.duplicate_key().alias("duplicate_key")).distinct()
+    return mitigations(spark, sf).where("mitigation_id % 3 <> 0").transform(mit.with_duplicate_key).select("duplicate_key").distinct()
+
+
+def both_families(spark, sf):
+    """Incidents of which every seventh is of an IPv6 host."""
+    n = F.col("incident_id")
+    return orders(spark, sf).withColumn("target_id", F.when((n % 7 == 0) & (F.col("target_type") == "host"), F.concat(F.lit("2001:db8::"), F.lower(F.hex(n % 4096 + 1)))).otherwise(F.col("target_id")))
+
+
+def wider_allowlist(spark, sf):
+    more = spark.createDataFrame([("acme", 6, 48, 2306139568115548160, 0, ["rtbh"]), ("globex", 6, 40, 2306139568115548160, 0, ["rtbh"])],
+                                 "tenant STRING, family INT, prefix_len INT, net_hi BIGINT, net_lo BIGINT, actions ARRAY<STRING>")
+    return allowlist(spark, sf).unionByName(more)
+
+
+CANDIDATES = f"""WITH {ctes('incidents', 'mitigations', 'allowlist')}, c AS (SELECT *, CASE WHEN incident_id % 7 = 0 THEN 6 ELSE 4 END AS family FROM incidents i
+      WHERE target_type = 'host' AND direction = 'incoming' AND state IN ('open', 'acknowledged', 'investigating', 'monitoring') AND severity IN ('critical', 'major')
+      AND opened_at >= {STAMP} - INTERVAL {400 * DAY} SECONDS AND NOT EXISTS (SELECT 1 FROM mitigations m WHERE m.incident_id = i.incident_id)),
+    g AS (SELECT c.*, CASE WHEN family = 6 THEN 'acme;rtbh' ELSE (SELECT a.tenant || ';' || a.actions FROM allowlist a WHERE (c.target_lo & a.mask_lo) = a.net_lo
+      ORDER BY a.prefix_len DESC LIMIT 1) END AS e FROM c),
+    allowed AS (SELECT incident_id, tenant_id AS tenant, severity, family, CASE family WHEN 6 THEN 128 ELSE 32 END AS prefix_len, opened_at
+      FROM g WHERE split_part(e, ';', 1) = tenant_id AND list_contains(string_split(split_part(e, ';', 2), ','), 'rtbh'))"""
 
 
 def outbox(spark, sf):
@@ -314,12 +338,15 @@ def queries():
             "prefix_len", F.when(F.col("mitigation_id") % 5 == 0, F.lit(24)).otherwise(F.col("prefix_len")))).select("mitigation_id", "error_code", "intended"),
         "mit5_duplicates": lambda s, d: mit.duplicate_mitigations(mitigations(s, d)),
         "mit6_candidates": lambda s, d: mit.proposal_candidates(
-            orders(s, d), mitigations(s, d), allowlist(s, d), now(), ["critical", "major"], 400 * DAY, 600, limit=10_000).select("incident_id", "tenant", "severity"),
+            both_families(s, d), mitigations(s, d), wider_allowlist(s, d), now(), ["critical", "major"], 400 * DAY, 600).select("incident_id", "tenant", "severity", "family", "prefix_len"),
+        "mit6_first_candidates": lambda s, d: mit.proposal_candidates(
+            both_families(s, d), mitigations(s, d), wider_allowlist(s, d), now(), ["critical", "major"], 400 * DAY, 600, limit=20).select("incident_id", "family"),
         "mit7_due_work": lambda s, d: mit.due_work(mitigations(s, d), asof(MIT_NOW)).select("mitigation_id", "approval_expired", "duration_reached", "next_action"),
         "mit7_due_work_killed": lambda s, d: count(mit.due_work(mitigations(s, d), asof(MIT_NOW), kill_switch=True), "state", "next_action"),
         "mit8_reconcile": lambda s, d: mit.reconcile(owned_routes(s, d), mitigations(s, d)),
         "mit9_peer_events": lambda s, d: mit.peer_events(peers(s, d), peers(s, d, True)),
-        "mit10_list": lambda s, d: mit.list_mitigations(mitigations(s, d), "acme", "live", 100).select("mitigation_id", "state"),
+        "mit10_list": lambda s, d: mit.list_mitigations(mitigations(s, d), "acme", "live", 100).select("mitigation_id", "state", "has_more"),
+        "mit10_next_page": lambda s, d: mit.list_mitigations(mitigations(s, d), "acme", "all", 20, after=(asof(37 * 600), 600)).select("mitigation_id", "has_more"),
         "mit10_routed": lambda s, d: mit.list_mitigations(mitigations(s, d), "globex", "routed").select("mitigation_id", "state"),
         "mit11_history": lambda s, d: mit.mitigation_history(table(s, d, "events").select(
             (F.col("event_id") % 100).alias("mitigation_id"), F.lit("acme").alias("tenant_id"), F.floor(F.col("event_id") / 100).alias("version"), "event_type"), 42, "acme"),
@@ -491,11 +518,8 @@ def oracle_sql():
             k AS (SELECT *, lo - lo % CAST(pow(2, 32 - n) AS BIGINT) AS kept FROM r)
             SELECT mitigation_id, CASE WHEN kept <> lo THEN 'host_bits' END AS error_code, CASE WHEN kept <> lo THEN {v4_text('kept')} || '/' || n END AS intended FROM k""",
         "mit5_duplicates": f"""{MIT} SELECT {DUPLICATE_SQL} AS duplicate_key, count(*) AS live FROM mitigations WHERE state IN {LIVE} GROUP BY 1 HAVING count(*) > 1""",
-        "mit6_candidates": f"""WITH {ctes('incidents', 'mitigations', 'allowlist')}, c AS (SELECT * FROM incidents i WHERE target_type = 'host' AND direction = 'incoming'
-              AND state IN ('open', 'acknowledged', 'investigating', 'monitoring') AND severity IN ('critical', 'major') AND opened_at >= {STAMP} - INTERVAL {400 * DAY} SECONDS
-              AND NOT EXISTS (SELECT 1 FROM mitigations m WHERE m.incident_id = i.incident_id)),
-            g AS (SELECT c.*, (SELECT a.tenant || ';' || a.actions FROM allowlist a WHERE (c.target_lo & a.mask_lo) = a.net_lo ORDER BY a.prefix_len DESC LIMIT 1) AS e FROM c)
-            SELECT incident_id, tenant_id AS tenant, severity FROM g WHERE split_part(e, ';', 1) = tenant_id AND list_contains(string_split(split_part(e, ';', 2), ','), 'rtbh')""",
+        "mit6_candidates": f"{CANDIDATES} SELECT incident_id, tenant, severity, family, prefix_len FROM allowed",
+        "mit6_first_candidates": f"{CANDIDATES} SELECT incident_id, family FROM allowed ORDER BY opened_at, incident_id LIMIT 20",
         "mit7_due_work": f"""{MIT}, w AS (SELECT *, state IN ('proposed', 'requested') AND created_epoch_s + 900 <= {MIT_NOW} AS approval_expired,
               state = 'active' AND created_epoch_s + duration_seconds <= {MIT_NOW} AS duration_reached FROM mitigations WHERE state IN {LIVE})
             SELECT mitigation_id, approval_expired, duration_reached, CASE WHEN approval_expired THEN 'expire' WHEN state = 'approved' THEN 'announce' WHEN duration_reached THEN 'take_down'
@@ -510,7 +534,10 @@ def oracle_sql():
               coalesce(n.session_state, 'gone') AS session_state FROM b LEFT JOIN n ON n.neighbor_address = b.neighbor_address)
             SELECT neighbor_address, peer_asn, CASE WHEN previous_state = 'established' THEN 'bgp.peer_down' ELSE 'bgp.peer_up' END AS event_type, session_state, previous_state
             FROM j WHERE (previous_state = 'established') <> (session_state = 'established')""",
-        "mit10_list": f"""{MIT} SELECT mitigation_id, state FROM mitigations WHERE tenant_id = 'acme' AND state IN {LIVE} ORDER BY created_epoch_s DESC, mitigation_id DESC LIMIT 100""",
+        "mit10_list": f"""{MIT}, k AS (SELECT * FROM mitigations WHERE tenant_id = 'acme' AND state IN {LIVE})
+            SELECT mitigation_id, state, (SELECT count(*) FROM k) > 100 AS has_more FROM k ORDER BY created_epoch_s DESC, mitigation_id DESC LIMIT 100""",
+        "mit10_next_page": f"""{MIT}, k AS (SELECT * FROM mitigations WHERE tenant_id = 'acme' AND mitigation_id < 600)
+            SELECT mitigation_id, (SELECT count(*) FROM k) > 20 AS has_more FROM k ORDER BY mitigation_id DESC LIMIT 20""",
         "mit10_routed": f"""{MIT} SELECT mitigation_id, state FROM mitigations WHERE tenant_id = 'globex' AND state IN ('announcing', 'active', 'withdrawing') AND NOT dry_run
             AND mitigation_id % 4 <> 1 ORDER BY created_epoch_s DESC, mitigation_id DESC LIMIT 500""",
         "mit11_history": """SELECT event_id % 100 AS mitigation_id, 'acme' AS tenant_id, event_id // 100 AS version, event_type FROM events WHERE event_id % 100 = 42""",

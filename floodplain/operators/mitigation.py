@@ -5,7 +5,7 @@ Nothing here touches a device; the tables are for a person or another system.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import net
@@ -18,6 +18,8 @@ DURATION_BOUNDS = (60, 7 * 86_400)
 APPROVAL_BOUNDS = (60, 86_400)
 MAX_RATE_BYTES = 12_500_000_000
 PAGE = 500
+# Columns that may hold a flow match; one that is absent counts as unset.
+MATCH = ("match_protocol", "match_source", "match_source_port", "match_destination_port")
 
 
 def guard_check(requests: DataFrame, allowlist: DataFrame, source_len: str | None = None, **config) -> DataFrame:
@@ -108,30 +110,45 @@ def canonical_match(protocol: Column, source: Column, source_port: Column, desti
     return F.concat(part("proto", protocol), part("src", source), part("sport", source_port), part("dport", destination_port))
 
 
+def match_of(df: DataFrame) -> Column:
+    """The canonical match of the columns of ``MATCH`` that ``df`` has."""
+    return canonical_match(*(F.col(name) if name in df.columns else F.lit(None).cast("string") for name in MATCH))
+
+
 def duplicate_key(match: Column | None = None) -> Column:
-    """Two live mitigations with one key would announce the same thing twice."""
+    """What a mitigation announces: its action, prefix and match, as text."""
     prefix = F.concat(net.address_text(F.col("family"), F.col("hi"), F.col("lo")), F.lit("/"), F.col("prefix_len").cast("string"))
     return F.concat_ws("|", "action", prefix, F.lit("") if match is None else match)
 
 
+def with_duplicate_key(df: DataFrame) -> DataFrame:
+    """Add ``duplicate_key``, the match included where the action is a flow rule."""
+    match = F.when(F.col("action").isin("flowspec_discard", "flowspec_rate_limit"), match_of(df)).otherwise("")
+    return df.withColumn("duplicate_key", duplicate_key(match))
+
+
 def duplicate_mitigations(mitigations: DataFrame) -> DataFrame:
-    live = mitigations.where(F.col("state").isin(*MITIGATION_LIVE)).withColumn("duplicate_key", duplicate_key())
+    live = with_duplicate_key(mitigations.where(F.col("state").isin(*MITIGATION_LIVE)))
     return live.groupBy("duplicate_key").agg(F.count(F.lit(1)).alias("live")).where("live > 1")
 
 
 def proposal_candidates(incidents: DataFrame, mitigations: DataFrame, allowlist: DataFrame, asof: Column, severities: list[str],
-                        within_seconds: int, duration_seconds: int, limit: int = 500, **config) -> DataFrame:
-    """Fresh, unmitigated incoming host incidents the guard lets a blackhole be proposed for."""
+                        within_seconds: int, duration_seconds: int, limit: int | None = None, **config) -> DataFrame:
+    """Fresh, unmitigated incoming host incidents the guard lets a blackhole be proposed for.
+
+    Hosts of either family, read from ``target_id``. A ``limit`` takes the oldest
+    of those that the guard allows.
+    """
     opened = F.col("opened_at").cast("timestamp")
     fresh = incidents.where(
         (F.col("target_type") == "host") & (F.col("direction") == "incoming") & F.col("state").isin(*INCIDENT_ACTIVE)
         & F.col("severity").isin(*severities) & (opened >= asof - F.expr(f"INTERVAL {within_seconds} SECONDS")))
-    bare = fresh.join(mitigations.select("incident_id"), "incident_id", "left_anti")
-    chosen = bare.orderBy("opened_at", "incident_id").limit(limit)
-    asked = chosen.select("incident_id", F.col("tenant_id").alias("tenant"), "severity", "opened_at", F.lit(4).alias("family"),
-                          F.lit(0).cast("bigint").alias("hi"), F.col("target_lo").alias("lo"), F.lit(32).alias("prefix_len"),
-                          F.lit("rtbh").alias("action"), F.lit(duration_seconds).alias("duration_seconds"))
-    return guard_check(asked, allowlist, **config).where("refusal IS NULL").drop("refusal")
+    bare = fresh.join(mitigations.select("incident_id"), "incident_id", "left_anti").withColumn("_host", net.parse_address(F.col("target_id")))
+    asked = bare.where("_host IS NOT NULL").select(
+        "incident_id", F.col("tenant_id").alias("tenant"), "severity", "opened_at", "_host.family", "_host.hi", "_host.lo",
+        net.width(F.col("_host.family")).cast("int").alias("prefix_len"), F.lit("rtbh").alias("action"), F.lit(duration_seconds).alias("duration_seconds"))
+    allowed = guard_check(asked, allowlist, **config).where("refusal IS NULL").drop("refusal")
+    return allowed if limit is None else allowed.orderBy("opened_at", "incident_id").limit(limit)
 
 
 def due_work(mitigations: DataFrame, asof: Column, approval_window_s: int = GUARD["approval_window_seconds"], kill_switch: bool = False) -> DataFrame:
@@ -152,7 +169,7 @@ def due_work(mitigations: DataFrame, asof: Column, approval_window_s: int = GUAR
 
 def reconcile(owned_routes: DataFrame, mitigations: DataFrame) -> DataFrame:
     """Routes nobody claims (withdraw) and active mitigations without their route (restore)."""
-    sent = mitigations.where(F.col("state").isin("announcing", "active") & ~F.col("dry_run")).withColumn("duplicate_key", duplicate_key())
+    sent = with_duplicate_key(mitigations.where(F.col("state").isin("announcing", "active") & ~F.col("dry_run")))
     stale = owned_routes.join(sent.select("duplicate_key"), "duplicate_key", "left_anti").select("duplicate_key", F.lit("withdraw").alias("step"))
     missing = sent.where("state = 'active'").join(owned_routes.select("duplicate_key"), "duplicate_key", "left_anti")
     return stale.unionByName(missing.select("duplicate_key", F.lit("restore").alias("step")))
@@ -168,14 +185,23 @@ def peer_events(before: DataFrame, now: DataFrame) -> DataFrame:
                        F.col("_now").alias("session_state"), F.col("session_state").alias("previous_state")).where("event_type IS NOT NULL")
 
 
-def list_mitigations(mitigations: DataFrame, tenant: str, which: str = "all", limit: int = PAGE) -> DataFrame:
-    """A tenant's mitigations, newest first: all, live, or those with a route out."""
+def list_mitigations(mitigations: DataFrame, tenant: str, which: str = "all", limit: int = PAGE, after: tuple | None = None) -> DataFrame:
+    """A page of a tenant's mitigations, newest first: all, live, or those with a route out.
+
+    ``after`` is the (created_at, mitigation_id) of the last row of the page
+    before; ``has_more`` says whether another one follows.
+    """
     df = mitigations.where(F.col("tenant_id") == tenant)
     if which == "live":
         df = df.where(~F.col("state").isin(*MITIGATION_ENDED))
     elif which == "routed":
         df = df.where(F.col("state").isin("announcing", "active", "withdrawing") & ~F.col("dry_run") & F.col("route").isNotNull())
-    return df.orderBy(F.desc("created_at"), F.desc("mitigation_id")).limit(max(1, min(limit, PAGE)))
+    if after is not None:
+        created, number = F.lit(after[0]).cast("timestamp"), F.lit(after[1])
+        df = df.where((F.col("created_at") < created) | ((F.col("created_at") == created) & (F.col("mitigation_id") < number)))
+    page = df.orderBy(F.desc("created_at"), F.desc("mitigation_id")).limit(limit + 1)
+    place = F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("mitigation_id")))
+    return page.withColumn("_place", place).withColumn("has_more", F.max("_place").over(Window.partitionBy()) > limit).where(F.col("_place") <= limit).drop("_place")
 
 
 def mitigation_history(history: DataFrame, mitigation_id, tenant: str) -> DataFrame:
