@@ -219,6 +219,33 @@ def outbox(spark, sf):
         F.element_at(kinds, (F.col("o_orderkey") % 4 + 1).cast("int")).alias("event_type"))
 
 
+CHANGES = ["mitigation.proposed", "mitigation.active", "mitigation.withdrawn", "mitigation.failed", "bgp.peer_down", "bgp.peer_up", "mitigation.kill_switch_engaged"]
+
+
+def changes(spark, sf):
+    """Changes of mitigations, the kill switch and peers, by order number."""
+    n = F.col("o_orderkey")
+    kinds = F.array(*[F.lit(k) for k in CHANGES])
+    payload = F.when(n % 5 == 0, F.lit('{"withdrawal_cause":"kill_switch"}')).otherwise(F.concat(F.lit('{"incident_id":"i'), n, F.lit('"}')))
+    return table(spark, sf, "orders").select(
+        n.alias("outbox_id"), F.element_at(F.array(F.lit("acme"), F.lit("globex"), F.lit("initech")), (n % 3 + 1).cast("int")).alias("tenant"),
+        F.element_at(kinds, (n % 7 + 1).cast("int")).alias("event_type"), payload.alias("payload"))
+
+
+def change_routes(spark):
+    return spark.createDataFrame([("acme", CHANGES, "major", ["noc"]), ("acme", ["bgp.peer_up", "mitigation.failed"], None, ["noc", "hook"]), ("globex", CHANGES, "critical", ["mail"])],
+                                 "tenant STRING, events ARRAY<STRING>, min_severity STRING, channels ARRAY<STRING>")
+
+
+CHANGES_SQL = f"""WITH c AS (SELECT o_orderkey AS outbox_id, o_orderkey % 3 AS t, o_orderkey % 5 = 0 AS killed, {CHANGES}[o_orderkey % 7 + 1] AS event_type FROM orders),
+    s AS (SELECT *, CASE WHEN event_type IN ('mitigation.failed', 'bgp.peer_down', 'mitigation.kill_switch_engaged') THEN 'critical'
+      WHEN event_type IN ('mitigation.proposed', 'mitigation.active') OR (event_type = 'mitigation.withdrawn' AND killed) THEN 'major' ELSE 'minor' END AS severity FROM c)
+    SELECT DISTINCT outbox_id, severity, CASE WHEN NOT killed THEN 'i' || outbox_id END AS incident_id, channel FROM (
+      SELECT *, 'noc' AS channel FROM s WHERE t = 0 AND severity <> 'minor' UNION ALL
+      SELECT *, unnest(['noc', 'hook']) FROM s WHERE t = 0 AND event_type IN ('bgp.peer_up', 'mitigation.failed') UNION ALL
+      SELECT *, 'mail' FROM s WHERE t = 1 AND severity = 'critical')"""
+
+
 def routes(spark, sf):
     return view(spark, sf, "routes").select("tenant", F.split("events", ",").alias("events"), "min_severity", F.split("channels", ",").alias("channels"))
 
@@ -277,7 +304,7 @@ def queries():
         "inc4_created": lambda s, d: inc.incidents_of(no_timer_log(s, d)).select(
             *fields, F.unix_micros("opened_at").alias("opened_at"), F.unix_micros("last_detected_at").alias("last_detected_at")),
         "inc5_links": lambda s, d: inc.links_of(no_timer_log(s, d)).select("event_id", "link_type"),
-        "inc5_bookkeeping": lambda s, d: inc.link_bookkeeping(linked(s, d)).select("incident_id", "evidence_observed", "category", "evidence_omitted"),
+        "inc5_bookkeeping": lambda s, d: inc.link_bookkeeping(linked(s, d), 40).select("incident_id", "evidence_observed", "category", "evidence_omitted"),
         "inc6_category": lambda s, d: arrivals(s, d).select(F.col("number").alias("event_id"),
                                                             inc.derive_category(F.transform("matched", lambda r: r["metric"])).alias("category")),
         "inc7_priority": lambda s, d: orders(s, d).select("incident_id", "priority"),
@@ -356,6 +383,8 @@ def queries():
             F.col("match_protocol"), F.lit(None), F.col("match_source_port"), F.col("match_destination_port"))).alias("duplicate_key")),
         "ntf1_route": lambda s, d: ntf.route_notifications(outbox(s, d), orders(s, d), routes(s, d)).select("outbox_id", "channel"),
         "ntf2_dedup": lambda s, d: ntf.dedup_notifications(messages(s, d)).select("message_id", "kept"),
+        "ntf1_route_changes": lambda s, d: ntf.route_changes(changes(s, d), change_routes(s)).select("outbox_id", "severity", "incident_id", "channel"),
+        "ntf2_ntf3_deliverable": lambda s, d: ntf.deliverable(messages(s, d), per_minute=2).select("message_id", "outcome"),
         "ntf3_rate_limit": lambda s, d: ntf.rate_limit(messages(s, d), 2).select("message_id", "sent"),
         "ntf4_notice": lambda s, d: ntf.render_notice(
             ntf.route_notifications(outbox(s, d), orders(s, d), routes(s, d)),
@@ -414,7 +443,7 @@ def oracle_sql():
         "inc5_links": f"""{first_start} SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN seq_no = opener THEN 'opening' ELSE 'update' END AS link_type
             FROM o WHERE seq_no >= opener""",
         "inc5_bookkeeping": f"""{ARRIVALS} SELECT target AS incident_id, count(*) AS evidence_observed, {category_sql(bit_test(f'bit_or({bits})'))} AS category,
-            greatest(count(*) - 10000, 0) AS evidence_omitted FROM arrivals GROUP BY target""",
+            greatest(count(*) - 40, 0) AS evidence_omitted FROM arrivals GROUP BY target""",
         "inc6_category": f"{ARRIVALS} SELECT event_id, {category_sql(bit_test(bits))} AS category FROM arrivals",
         "inc7_priority": f"""{ORDERS} SELECT incident_id, CASE severity WHEN 'critical' THEN 'P1' WHEN 'major' THEN 'P2' WHEN 'minor' THEN 'P3' ELSE 'P4' END AS priority FROM incidents""",
         "inc9_zero_reopen_window": f"""{prior} SELECT CAST(event_id AS VARCHAR) AS event_id, CASE
@@ -551,6 +580,14 @@ def oracle_sql():
               UNION ALL SELECT r.message_id, r.channel, r.incident_id, r.event_type, r.rn, CASE WHEN r.t - w.sent >= 300000000 THEN r.t ELSE w.sent END, r.t - w.sent >= 300000000
               FROM w JOIN r ON r.channel = w.channel AND r.incident_id = w.incident_id AND r.event_type = w.event_type AND r.rn = w.rn + 1)
             SELECT message_id, kept FROM w""",
+        "ntf1_route_changes": CHANGES_SQL,
+        "ntf2_ntf3_deliverable": f"""WITH RECURSIVE {MESSAGES}, r AS MATERIALIZED (SELECT *, incident_id || '|' || event_type AS k, row_number() OVER (PARTITION BY channel ORDER BY t, message_id) AS rn FROM msg),
+            w AS (SELECT message_id, channel, rn, t, 'sent' AS outcome, CAST(60000000 AS BIGINT) AS tokens, MAP {{k: t}} AS told FROM r WHERE rn = 1
+              UNION ALL SELECT message_id, channel, rn, t, outcome, tokens - CASE outcome WHEN 'sent' THEN 60000000 ELSE 0 END,
+                CASE outcome WHEN 'sent' THEN map_concat(told, MAP {{k: t}}) ELSE told END
+              FROM (SELECT *, CASE WHEN t - told[k] < 300000000 THEN 'duplicate' WHEN tokens >= 60000000 THEN 'sent' ELSE 'rate_limited' END AS outcome
+                FROM (SELECT r.message_id, r.channel, r.rn, r.t, r.k, w.told, least(120000000, w.tokens + (r.t - w.t) * 2) AS tokens FROM w JOIN r ON r.channel = w.channel AND r.rn = w.rn + 1)))
+            SELECT message_id, outcome FROM w""",
         "ntf3_rate_limit": f"""WITH RECURSIVE {MESSAGES}, r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY t, message_id) AS rn FROM msg),
             w AS (SELECT message_id, channel, rn, t, CAST(60000000 AS BIGINT) AS tokens, true AS sent FROM r WHERE rn = 1
               UNION ALL SELECT r.message_id, r.channel, r.rn, r.t, least(120000000, w.tokens + (r.t - w.t) * 2) - CASE WHEN least(120000000, w.tokens + (r.t - w.t) * 2) >= 60000000 THEN 60000000 ELSE 0 END,

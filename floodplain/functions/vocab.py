@@ -128,3 +128,22 @@ def required_flag(column: Column) -> Column:
 
 def default_priority(severity: Column) -> Column:
     return by_case(severity, PRIORITIES)
+
+# Metrics that make a transport family, and categories in the order
+# in which they are tried once fewer than two families take part.
+CATEGORY_FAMILIES = [
+    ["tcpBps", "tcpPps", "tcpSynBps", "tcpSynPps"],
+    ["udpBps", "udpPps"],
+    ["icmpBps", "icmpPps"],
+]
+MANY_FAMILIES, NO_CATEGORY = "multi_vector", "unclassified"
+CATEGORY_LADDER = [
+    ("tcp_syn_flood", ["tcpSynBps", "tcpSynPps"]),
+    ("fragmentation_flood", ["fragmentedBps", "fragmentedPps"]),
+    ("icmp_flood", ["icmpBps", "icmpPps"]),
+    ("udp_flood", ["udpBps", "udpPps"]),
+    ("tcp_flood", ["tcpBps", "tcpPps"]),
+    ("packet_rate", ["pps", "fps"]),
+    ("bandwidth", ["bps"]),
+    ("drop_pressure", ["droppedBps", "droppedPps"]),
+]

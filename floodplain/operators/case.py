@@ -18,14 +18,12 @@ import hashlib
 import json
 from dataclasses import dataclass
 
-from ..functions.vocab import AUTOMATIC_EDGES, INCIDENT_ACTIVE, OPERATOR_EDGES, PRIORITIES, SEVERITIES
+from ..functions.vocab import (
+    AUTOMATIC_EDGES, CATEGORY_FAMILIES, CATEGORY_LADDER, INCIDENT_ACTIVE, MANY_FAMILIES, NO_CATEGORY, OPERATOR_EDGES, PRIORITIES, SEVERITIES,
+)
 
 SECOND = 1_000_000
 MINUTE = 60 * SECOND
-TITLE_MAX = 200
-EVIDENCE_MAX = 10_000
-POLICY_REFS_MAX = 64
-TAGS_MAX = 32
 
 END_CAUSES = {"stale": "detector_stale", "policyWithdrawn": "policy_withdrawn", "manualReset": "detector_reset"}
 DERIVED = {"acknowledge": "acknowledged", "begin_investigation": "investigating", "mark_monitoring": "monitoring"}
@@ -33,7 +31,11 @@ DERIVED = {"acknowledge": "acknowledged", "begin_investigation": "investigating"
 
 @dataclass(frozen=True)
 class CasePolicy:
-    """Timers in microseconds; None switches a timer off."""
+    """Timers in microseconds; None switches a timer off. Bounds default to none.
+
+    ``evidence_max`` bounds how many links count as retained, never which
+    detections an incident knows, so it changes no decision.
+    """
 
     reopen_window: int = 15 * MINUTE
     silent_after: int | None = 5 * MINUTE
@@ -41,6 +43,10 @@ class CasePolicy:
     closure_delay: int | None = 30 * MINUTE
     close_critical: bool = False
     abort_on_event: bool = False
+    evidence_max: int | None = None
+    policy_refs_max: int | None = None
+    tags_max: int | None = None
+    title_max: int | None = None
 
     def settled_after(self) -> int | None:
         """After so long without a row, a key's next detection certainly opens anew."""
@@ -51,15 +57,14 @@ class CasePolicy:
 
 def category_of(metrics) -> str:
     """From the union of matched metrics."""
-    has = lambda *names: any(f"{n}{unit}" in metrics for n in names for unit in ("Bps", "Pps"))
-    syn, udp, icmp = has("tcpSyn"), has("udp"), has("icmp")
-    tcp = has("tcp") or syn
-    if tcp + udp + icmp >= 2:
-        return "multi_vector"
-    ranked = [(syn, "tcp_syn_flood"), (has("fragmented"), "fragmentation_flood"), (icmp, "icmp_flood"), (udp, "udp_flood"),
-              (tcp, "tcp_flood"), ("pps" in metrics or "fps" in metrics, "packet_rate"), ("bps" in metrics, "bandwidth"),
-              (has("dropped"), "drop_pressure")]
-    return next((name for test, name in ranked if test), "unclassified")
+    seen = set(metrics)
+    if sum(not seen.isdisjoint(family) for family in CATEGORY_FAMILIES) >= 2:
+        return MANY_FAMILIES
+    return next((name for name, members in CATEGORY_LADDER if not seen.isdisjoint(members)), NO_CATEGORY)
+
+
+def _below(n: int, bound: int | None) -> bool:
+    return bound is None or n < bound
 
 
 class Refused(Exception):
@@ -208,16 +213,16 @@ class Case:
 
     def _evidence(self, t, incident, e, link_type):
         incident["evidence_observed"] += 1
-        if incident["evidence_retained"] < EVIDENCE_MAX:
+        if _below(incident["evidence_retained"], self.policy.evidence_max):
             incident["evidence_retained"] += 1
-            incident["detections"][e["detection_id"]] = True
+        incident["detections"][e["detection_id"]] = True
         self._emit("link", t, incident, e["event_id"], link_type=link_type, detection_id=e["detection_id"],
                    dedup_key=e["dedup_key"], metrics=e["metrics"])
 
     def _fresh(self, t, opener, title, severity, priority=None, source="detection", created_by="system", description=None):
         name = hashlib.sha256(f"{self.key}|{t}|{opener}".encode()).hexdigest()[:32]
         incident = {
-            "incident_id": name, "state": "open", "version": 1, "title": title[:TITLE_MAX], "description": description,
+            "incident_id": name, "state": "open", "version": 1, "title": title[: self.policy.title_max], "description": description,
             "severity": severity, "severity_source": source, "ever_critical": severity == "critical",
             "maximum_detected_severity": severity, "priority": priority or PRIORITIES[severity], "category": "unclassified",
             "metrics": [], "created_by": created_by, "first_detected_at": t, "opened_at": t, "last_detected_at": t, "last_updated_at": t,
@@ -247,7 +252,7 @@ class Case:
     def _note_policy(self, incident, e):
         ref = next((r for r in incident["policy_refs"] if r["policy_id"] == e["policy_id"]), None)
         if ref is None:
-            if len(incident["policy_refs"]) < POLICY_REFS_MAX:
+            if _below(len(incident["policy_refs"]), self.policy.policy_refs_max):
                 incident["policy_refs"].append(self._policy_ref(e))
             else:
                 incident["policy_refs_omitted"] += 1
@@ -424,7 +429,7 @@ class Case:
     def _do_add_tag(self, t, incident, args, actor):
         if not args.get("key"):
             raise Refused("validation_error")
-        if args["key"] not in incident["tags"] and len(incident["tags"]) >= TAGS_MAX:
+        if args["key"] not in incident["tags"] and not _below(len(incident["tags"]), self.policy.tags_max):
             raise Refused("capacity_exceeded")
         incident["tags"][args["key"]] = args["value"]
         return "tag_added", None, {"key": args["key"], "value": args["value"]}

@@ -7,8 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vocab import AUTOMATIC_EDGES, INCIDENT_ACTIVE, OPERATOR_EDGES, default_priority, severity_rank
-from .case import EVIDENCE_MAX, POLICY_REFS_MAX, Case, CasePolicy
+from ..functions.vocab import AUTOMATIC_EDGES, CATEGORY_FAMILIES, CATEGORY_LADDER, INCIDENT_ACTIVE, MANY_FAMILIES, NO_CATEGORY, OPERATOR_EDGES, default_priority, severity_rank
+from .case import Case, CasePolicy
 from .detect import EVENT_SCHEMA_VERSION
 from .folds import ordered_fold
 from .joins import lookup_join, mark_first
@@ -264,35 +264,35 @@ def assign_numbers(incidents: DataFrame, prefix: str = "INC", start: DataFrame |
 
 def derive_category(metrics: Column) -> Column:
     """Category of a set of metric names."""
-    has = lambda *names: F.arrays_overlap(metrics, F.array(*[F.lit(f"{n}{u}") for n in names for u in ("Bps", "Pps")]))
-    one = lambda name: F.array_contains(metrics, name)
-    syn, udp, icmp = has("tcpSyn"), has("udp"), has("icmp")
-    tcp = has("tcp", "tcpSyn")
-    families = tcp.cast("int") + udp.cast("int") + icmp.cast("int")
-    return (
-        F.when(families >= 2, "multi_vector").when(syn, "tcp_syn_flood").when(has("fragmented"), "fragmentation_flood")
-        .when(icmp, "icmp_flood").when(udp, "udp_flood").when(tcp, "tcp_flood").when(one("pps") | one("fps"), "packet_rate")
-        .when(one("bps"), "bandwidth").when(has("dropped"), "drop_pressure").otherwise("unclassified")
-    )
+    has = lambda names: F.arrays_overlap(metrics, F.array(*[F.lit(n) for n in names]))
+    families = sum((has(family).cast("int") for family in CATEGORY_FAMILIES[1:]), has(CATEGORY_FAMILIES[0]).cast("int"))
+    out = F.when(families >= 2, MANY_FAMILIES)
+    for name, members in CATEGORY_LADDER:
+        out = out.when(has(members), name)
+    return out.otherwise(NO_CATEGORY)
 
 
-def link_bookkeeping(linked: DataFrame) -> DataFrame:
+def link_bookkeeping(linked: DataFrame, keep: int | None = None) -> DataFrame:
     """Per incident, from its linked events: metric union, category, evidence counts.
 
-    Built from aggregates only, as a check on the fold.
+    Built from aggregates only, as a check on the fold; ``keep`` bounds the links
+    that count as retained.
     """
-    metrics = F.array_distinct(F.flatten(F.collect_set(F.transform("matched", lambda r: r["metric"]))))
-    df = linked.groupBy("incident_id").agg(F.count(F.lit(1)).alias("evidence_observed"), F.array_sort(metrics).alias("metrics"))
-    return df.withColumn("category", derive_category(F.col("metrics"))).withColumn(
-        "evidence_omitted", F.greatest(F.col("evidence_observed") - EVIDENCE_MAX, F.lit(0).cast("bigint")))
+    counts = linked.groupBy("incident_id").agg(F.count(F.lit(1)).alias("evidence_observed"))
+    each = linked.select("incident_id", F.explode(F.transform("matched", lambda r: r["metric"])).alias("metric"))
+    metrics = each.groupBy("incident_id").agg(F.array_sort(F.collect_set("metric")).alias("metrics"))
+    df = counts.join(metrics, "incident_id", "left").withColumn("metrics", F.coalesce("metrics", F.array().cast("array<string>")))
+    omitted = F.lit(0) if keep is None else F.greatest(F.col("evidence_observed") - keep, F.lit(0))
+    return df.withColumn("category", derive_category(F.col("metrics"))).withColumn("evidence_omitted", omitted.cast("bigint"))
 
 
-def retained_evidence(links: DataFrame, keep: int = EVIDENCE_MAX, order: list[str] = ("linked_at", "event_id")) -> DataFrame:
-    """The first ``keep`` links of each incident, and how many more there were.
+def retained_evidence(links: DataFrame, keep: int | None = None, order: list[str] = ("linked_at", "event_id")) -> DataFrame:
+    """The links of each incident in order, the first ``keep`` if given, and how many more there were.
 
     Rows before the cut are found per hour first, so that one incident with a
     great many links is not ranked in one task.
     """
+    keep = 2**62 if keep is None else keep
     hour = F.date_trunc("hour", F.col(order[0]))
     df = links.withColumn("_hour", hour)
     counts = df.groupBy("incident_id", "_hour").agg(F.count(F.lit(1)).alias("_n"))
@@ -305,11 +305,13 @@ def retained_evidence(links: DataFrame, keep: int = EVIDENCE_MAX, order: list[st
     return needed.withColumn("position", rank.cast("bigint")).where(F.col("position") <= keep).drop("_hour", "_before")
 
 
-def policy_refs(linked: DataFrame, keep: int = POLICY_REFS_MAX) -> DataFrame:
-    """Per incident and policy: first and last sequence, and the version of the last."""
+def policy_refs(linked: DataFrame, keep: int | None = None) -> DataFrame:
+    """Per incident and policy: first and last sequence, and the version of the last; the first ``keep`` policies if given."""
     refs = linked.groupBy("incident_id", "policy_id").agg(
         F.min("sequence").alias("first_seen_sequence"), F.max("sequence").alias("last_seen_sequence"),
         F.max(F.struct("sequence", "policy_version"))["policy_version"].alias("policy_version"), F.min("observed_at").alias("_since"))
+    if keep is None:
+        return refs.drop("_since")
     rank = F.row_number().over(Window.partitionBy("incident_id").orderBy("_since", "policy_id"))
     return refs.withColumn("_rank", rank).where(F.col("_rank") <= keep).drop("_rank", "_since")
 

@@ -10,6 +10,9 @@ from .folds import ordered_fold
 from .joins import lookup_join
 
 DEDUP_SECONDS, PER_MINUTE = 300, 30
+# How severe a change counts; any other is minor.
+CHANGES_CRITICAL = ["mitigation.failed", "mitigation.kill_switch_engaged", "bgp.peer_down"]
+CHANGES_MAJOR = ["mitigation.proposed", "mitigation.requested", "mitigation.active", "mitigation.kill_switch_released"]
 
 
 def route_notifications(outbox: DataFrame, incidents: DataFrame, routes: DataFrame) -> DataFrame:
@@ -28,6 +31,25 @@ def route_notifications(outbox: DataFrame, incidents: DataFrame, routes: DataFra
     return told.dropDuplicates(["outbox_id", "channel"])
 
 
+def change_severity(event_type: Column, payload: Column) -> Column:
+    """The fixed severity of a mitigation's, the kill switch's or a peer's change."""
+    killed = (event_type == "mitigation.withdrawn") & F.coalesce(F.get_json_object(payload, "$.withdrawal_cause") == "kill_switch", F.lit(False))
+    return F.when(event_type.isin(*CHANGES_CRITICAL), "critical").when(event_type.isin(*CHANGES_MAJOR) | killed, "major").otherwise("minor")
+
+
+def route_changes(outbox: DataFrame, routes: DataFrame) -> DataFrame:
+    """As ``route_notifications`` for changes that are no incident's own.
+
+    Outbox: outbox_id, tenant, event_type, payload (JSON). The severity follows
+    from the kind of change; ``incident_id`` is the payload's, if it names one.
+    """
+    known = outbox.withColumn("severity", change_severity(F.col("event_type"), F.col("payload"))).withColumn("incident_id", F.get_json_object("payload", "$.incident_id"))
+    each = routes.select("tenant", F.explode(F.array_distinct("events")).alias("event_type"), "min_severity", "channels")
+    matched = lookup_join(known, each, ["tenant", "event_type"], "inner", salt_from=["outbox_id"])
+    enough = F.col("min_severity").isNull() | F.coalesce(severity_rank(F.col("severity")) >= severity_rank(F.col("min_severity")), F.lit(False))
+    return matched.where(enough).select(*known.columns, F.explode("channels").alias("channel")).dropDuplicates(["outbox_id", "channel"])
+
+
 class Repeats:
     def __init__(self, window):
         self.window, self.sent = window, None
@@ -107,6 +129,44 @@ def rate_limit(messages: DataFrame, per_minute: int = PER_MINUTE) -> DataFrame:
     return limited.select("message_id", "channel", F.timestamp_micros("t").alias("at"), "sent")
 
 
+class Delivery:
+    """Repeats and the token bucket of one channel together: only what the bucket lets through counts as sent."""
+
+    def __init__(self, window, per_minute):
+        self.window, self.bucket, self.sent = window, Bucket(per_minute), {}
+
+    def row(self, t, message, incident_id, event_type):
+        key = (incident_id, event_type)
+        last = self.sent.get(key)
+        if last is not None and t - last < self.window:
+            return [(t, message, "duplicate")]
+        if not self.bucket.row(t, message)[0][2]:
+            return [(t, message, "rate_limited")]
+        if len(self.sent) > 10_000:
+            self.sent = {k: at for k, at in self.sent.items() if t - at < self.window}
+        self.sent[key] = t
+        return [(t, message, "sent")]
+
+    def finish(self):
+        return []
+
+
+def deliverable(messages: DataFrame, window_seconds: int = DEDUP_SECONDS, per_minute: int = PER_MINUTE) -> DataFrame:
+    """Add ``outcome``: sent, duplicate or rate_limited, both rules in one pass per channel.
+
+    A message is a duplicate if the same thing was sent less than the window
+    before; one that the rate limit drops was not sent and blocks nothing. A
+    channel is cut where it rests long enough for both rules to forget.
+    """
+    keys = ["channel", "incident_id", "event_type"]
+    rows = messages.select("message_id", *keys, F.unix_micros("at").alias("t"))
+    cut = _islands(rows, ["channel"], max(window_seconds, 60) * 1_000_000)
+    done = ordered_fold(cut, ["channel", "island"], ["t", "message_id"], ["t", "message_id", "incident_id", "event_type"],
+                        lambda *_: Delivery(window_seconds * 1_000_000, per_minute),
+                        f"channel STRING, island BIGINT, t BIGINT, message_id {dict(rows.dtypes)['message_id']}, outcome STRING")
+    return done.select("message_id", "channel", F.timestamp_micros("t").alias("at"), "outcome")
+
+
 NOTICE = ["event_type", "tenant", "incident_id", "incident_number", "title", "severity", "state", "priority", "target", "direction",
           "mitigation_status", "link"]
 

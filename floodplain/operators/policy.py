@@ -29,6 +29,7 @@ def error_code(ownership: Column | None = None) -> Column:
     fits = (selector == "any") | F.coalesce(
         (selector == by_case(scope, SELECTOR_FOR)) & ((scope != "slash24") | (F.col("sel_len") == 24)), F.lit(False))
     widest = F.when(F.col("sel_family") == 4, F.lit(32)).otherwise(F.lit(128))
+    required = ["window_ms", *timers, "clear_percent", "scope_type", "direction", "severity", "mode"]
     rules = [
         ("empty_id", F.coalesce(F.col("policy_id"), F.lit("")) == ""),
         ("id_too_long", F.length("policy_id") > LIMITS["id"]),
@@ -39,6 +40,8 @@ def error_code(ownership: Column | None = None) -> Column:
         ("empty_tenant", blank("tenant")),
         ("too_many_labels", F.size("labels") > LIMITS["labels"]),
         ("label_too_long", long_label),
+        ("missing_value", F.greatest(*[F.col(c).isNull() for c in required])),
+        ("missing_threshold_value", F.exists(F.map_values("thresholds"), lambda v: v.isNull())),
         ("zero_window", F.col("window_ms") == 0),
         ("window_too_long", F.col("window_ms") > MAX_WINDOW_MS),
         ("no_thresholds", F.coalesce(F.size("thresholds"), F.lit(0)) <= 0),
@@ -78,6 +81,8 @@ def validate_policies(policies: DataFrame, owned: DataFrame | None = None) -> Da
         checked = lookup_join(policies, ids.withColumn("_unowned", F.lit(True)), ["policy_id", "version"], "left")
         test = F.coalesce(F.col("_unowned"), F.lit(False))
     code = error_code(test)
+    if "source_error" in policies.columns:
+        code = F.coalesce("source_error", code)
     order = F.col("position") if "position" in policies.columns else F.col("version")
     repeated = F.row_number().over(Window.partitionBy("policy_id").orderBy(order)) > 1
     code = F.coalesce(code, F.when(repeated, F.lit("duplicate_id")))
@@ -98,7 +103,10 @@ def specificity() -> Column:
 
 def _candidates(policies: DataFrame) -> DataFrame:
     fits = (F.col("selector") == "any") | (F.col("selector") == by_case(F.col("scope_type"), SELECTOR_FOR))
-    return policies.where(F.col("enabled") & fits).withColumn("specificity", specificity())
+    whole = F.col("window_ms").isNotNull() & ~F.exists(F.map_values("thresholds"), lambda v: v.isNull())
+    if "source_error" in policies.columns:
+        whole = whole & F.col("source_error").isNull()
+    return policies.where(F.col("enabled") & fits & whole).withColumn("specificity", specificity())
 
 
 def match_policies(scopes: DataFrame, policies: DataFrame) -> DataFrame:

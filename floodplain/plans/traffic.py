@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import step_for
+from ..operators.rollup import saturating_sum
 
 MAX_RANGE_SECONDS = 30 * 24 * 3600
-MAX_TOP = 50
 EXPORTER_RATE_SECONDS = 300
 TRAFFIC_RETENTION_DAYS = 30
 EVENT_RETENTION_DAYS = 365
@@ -51,15 +51,20 @@ def bucket(seconds: int, column: str = "window_start") -> Column:
     return (epoch - epoch % seconds).cast("bigint")
 
 
+def _total(column: Column | str) -> Column:
+    """A sum that cannot overflow: stored counters stop at the largest BIGINT, so many of them may pass it."""
+    return F.sum((F.col(column) if isinstance(column, str) else column).cast("decimal(38,0)"))
+
+
 def _rate(column: Column, seconds: int, scale: int = 1) -> Column:
     return column.cast("double") * scale / F.lit(seconds)
 
 
 def traffic_summary(by_family: DataFrame, start: int, end: int) -> DataFrame:
-    """IPv4 and IPv6 rates per step. A step with no traffic is absent, not zero."""
+    """IPv4 and IPv6 rates per step. Steps in which nothing was seen have no row."""
     check_range(start, end)
     step = step_for(start, end)
-    part = lambda c, family: F.sum(F.when(F.col("family") == family, F.col(c)).otherwise(F.lit(0)))
+    part = lambda c, family: _total(F.when(F.col("family") == family, F.col(c)).otherwise(F.lit(0)))
     return in_range(by_family, start, end).groupBy(bucket(step).alias("time")).agg(
         _rate(part("bytes", 4), step, 8).alias("ipv4_bps"), _rate(part("bytes", 6), step, 8).alias("ipv6_bps"),
         _rate(part("packets", 4), step).alias("ipv4_pps"), _rate(part("packets", 6), step).alias("ipv6_pps"),
@@ -68,11 +73,11 @@ def traffic_summary(by_family: DataFrame, start: int, end: int) -> DataFrame:
 
 def top_talkers(rollup: DataFrame, dimension: str, start: int, end: int, limit: int = 10) -> DataFrame:
     """Largest keys of a dimension by bytes; the key breaks ties."""
-    if not 1 <= limit <= MAX_TOP:
-        raise ValueError(f"limit must be between 1 and {MAX_TOP}")
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     check_range(start, end)
     summed = in_range(rollup, start, end).groupBy(TOP_KEYS[dimension]().alias("key")).agg(
-        F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.sum("flows").alias("flows")
+        saturating_sum("bytes"), saturating_sum("packets"), saturating_sum("flows")
     )
     return summed.orderBy(F.desc("bytes"), "key").limit(limit)
 
@@ -82,17 +87,18 @@ def top_20(rollup: DataFrame, dimension: str, start: int, end: int) -> DataFrame
     return top_talkers(rollup, dimension, start, end, 20)
 
 
-def exporters(by_exporter: DataFrame, asof: int, limit: int = 1000) -> DataFrame:
-    """Exporters of the last day: last seen, silence, and their rate of five minutes."""
+def exporters(by_exporter: DataFrame, asof: int, limit: int | None = None) -> DataFrame:
+    """Exporters of the last day: last seen, silence, and their rate of five minutes; all, unless a limit is given."""
     seen = in_range(by_exporter, asof - 86_400, asof + 1)
     recent = F.col("window_start") >= F.timestamp_seconds(F.lit(asof - EXPORTER_RATE_SECONDS))
-    late = lambda c: F.sum(F.when(recent, F.col(c)).otherwise(F.lit(0)))
+    late = lambda c: _total(F.when(recent, F.col(c)).otherwise(F.lit(0)))
     grouped = seen.groupBy("exporter").agg(
         F.unix_timestamp(F.max("window_start")).alias("last_seen"),
         _rate(late("bytes"), EXPORTER_RATE_SECONDS, 8).alias("bps"), _rate(late("packets"), EXPORTER_RATE_SECONDS).alias("pps"),
     )
     silent = F.greatest(F.lit(asof).cast("bigint") - F.col("last_seen"), F.lit(0).cast("bigint"))
-    return grouped.select("exporter", "last_seen", silent.alias("silent_seconds"), "bps", "pps").orderBy("exporter").limit(limit)
+    listed = grouped.select("exporter", "last_seen", silent.alias("silent_seconds"), "bps", "pps").orderBy("exporter")
+    return listed if limit is None else listed.limit(limit)
 
 
 def traffic_by_family(by_family: DataFrame, start: int, end: int, interval: int, measure: str = "bps") -> DataFrame:
@@ -100,13 +106,13 @@ def traffic_by_family(by_family: DataFrame, start: int, end: int, interval: int,
     column, scale = {"bps": ("bytes", 8), "pps": ("packets", 1)}[measure]
     named = F.when(F.col("family") == 4, F.lit("IPv4")).otherwise(F.lit("IPv6"))
     return in_range(by_family, start, end).groupBy(bucket(interval).alias("time"), named.alias("family")).agg(
-        _rate(F.sum(column), interval, scale).alias(measure)
+        _rate(_total(column), interval, scale).alias(measure)
     )
 
 
 def protocol_mix(by_family: DataFrame, start: int, end: int, interval: int, family: int = 4) -> DataFrame:
-    total = F.sum("bytes")
-    parts = {name: F.sum(f"{name}_bytes") for name in ("tcp", "udp", "icmp")}
+    total = _total("bytes")
+    parts = {name: _total(f"{name}_bytes") for name in ("tcp", "udp", "icmp")}
     return in_range(by_family.where(F.col("family") == family), start, end).groupBy(bucket(interval).alias("time")).agg(
         *[_rate(value, interval, 8).alias(name) for name, value in parts.items()],
         _rate(total - parts["tcp"] - parts["udp"] - parts["icmp"], interval, 8).alias("other"),
@@ -115,13 +121,13 @@ def protocol_mix(by_family: DataFrame, start: int, end: int, interval: int, fami
 
 def attack_indicators(by_family: DataFrame, start: int, end: int, interval: int, family: int = 4) -> DataFrame:
     return in_range(by_family.where(F.col("family") == family), start, end).groupBy(bucket(interval).alias("time")).agg(
-        *[_rate(F.sum(f"{name}_packets"), interval).alias(name) for name in ("tcp_syn", "fragmented", "dropped")]
+        *[_rate(_total(f"{name}_packets"), interval).alias(name) for name in ("tcp_syn", "fragmented", "dropped")]
     )
 
 
 def traffic_by_exporter(by_exporter: DataFrame, start: int, end: int, interval: int) -> DataFrame:
     return in_range(by_exporter, start, end).groupBy(bucket(interval).alias("time"), "exporter").agg(
-        _rate(F.sum("bytes"), interval, 8).alias("bps")
+        _rate(_total("bytes"), interval, 8).alias("bps")
     )
 
 

@@ -40,9 +40,17 @@ def build(master: str | None = None, app: str = "floodplain", **extra: str) -> S
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
+    """The shared folder that ``spark.checkpoint.dir`` names; one of this machine only in local mode.
+
+    A cluster without the setting is refused: its machines would not see each other's files.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="floodplain-checkpoint-")
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="floodplain-checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir")
 
 
 def cut_lineage(df):

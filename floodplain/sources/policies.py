@@ -29,17 +29,62 @@ DOCUMENT_SCHEMA = (
     f"tenants ARRAY<STRUCT<tenant: STRING, prefixes: ARRAY<STRING>>>, policies ARRAY<STRUCT<{_ENTRY}>>"
 )
 FAMILIES = {"ipv4": 4, "ipv6": 6}
+DOCUMENT_FIELDS = ["schemaVersion", "defaults", "tenants", "policies"]
+POLICY_FIELDS = [
+    "id", "name", "description", "enabled", "tenant", "scopeType", "selector", "addressFamily", "direction", "window", "thresholds", "clearPercent",
+    "triggerFor", "clearFor", "cooldown", "holdDown", "eventUpdateInterval", "severity", "executionMode", "priority", "labels", "version",
+]
+SELECTOR_FIELDS = ["kind", "addr", "prefixLen", "name"]
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents as they are; malformed JSON is an error."""
-    reader = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", True).option("mode", "FAILFAST")
-    return reader.json(path)
+    """Documents as they are; malformed JSON is an error.
+
+    ``unknown`` lists the document's own unknown fields and ``raw`` has each
+    policy's fields as text, from which unknown ones are told.
+    """
+    return parse_documents(spark.read.text(path, wholetext=True))
+
+
+def parse_documents(texts: DataFrame, column: str = "value") -> DataFrame:
+    """The same for documents that are a text each."""
+    fields = F.map_keys(F.from_json(column, "MAP<STRING, STRING>"))
+    return texts.select(
+        F.from_json(column, DOCUMENT_SCHEMA, {"mode": "FAILFAST"}).alias("d"), F.array_except(fields, _texts(DOCUMENT_FIELDS)).alias("unknown"),
+        F.from_json(F.get_json_object(column, "$.policies"), "ARRAY<MAP<STRING, STRING>>").alias("raw"),
+    ).select("d.*", "unknown", "raw")
+
+
+def _texts(values):
+    return F.array(*[F.lit(value) for value in values])
+
+
+def source_error():
+    """The first thing a policy's text gets wrong, with the field's name; NULL when nothing is."""
+    unknown = F.concat(
+        F.coalesce(F.col("unknown"), _texts([]).cast("array<string>")), F.array_except(F.coalesce(F.map_keys("raw"), _texts([]).cast("array<string>")), _texts(POLICY_FIELDS)),
+        F.transform(F.array_except(F.coalesce(F.map_keys(F.from_json(F.element_at("raw", "selector"), "MAP<STRING, STRING>")), _texts([]).cast("array<string>")), _texts(SELECTOR_FIELDS)),
+                    lambda name: F.concat(F.lit("selector."), name)))
+    error = F.when(F.size(unknown) > 0, F.concat(F.lit("unknown_field:"), F.element_at(unknown, 1)))
+    for field in ("window", "triggerFor", "clearFor"):
+        error = error.when(F.col(f"p.{field}").isNull(), f"missing_field:{field}").when(parse_duration_ms(F.col(f"p.{field}")).isNull(), f"bad_duration:{field}")
+    for field in ("cooldown", "holdDown", "eventUpdateInterval"):
+        given = F.coalesce(f"p.{field}", f"defaults.{field}")
+        error = error.when(given.isNotNull() & parse_duration_ms(given).isNull(), f"bad_duration:{field}")
+    bad = F.filter(F.map_entries("p.thresholds"), lambda e: parse_magnitude(e["value"]).isNull())
+    return error.when(F.coalesce(F.size(bad) > 0, F.lit(False)), F.concat(F.lit("bad_magnitude:"), F.element_at(F.transform(bad, lambda e: e["key"]), 1)))
 
 
 def policies_of(documents: DataFrame) -> DataFrame:
-    """Drafts in the library's shape: policy value, else document default, else built-in."""
-    each = documents.select("defaults", F.explode("policies").alias("p"))
+    """Drafts in the library's shape: policy value, else document default, else built-in.
+
+    ``position`` is a policy's place in its document, ``source_error`` what its text
+    gets wrong; such a draft fails validation and is never selected.
+    """
+    if "raw" not in documents.columns:
+        documents = documents.withColumn("unknown", F.lit(None).cast("array<string>")).withColumn("raw", F.lit(None).cast("array<map<string,string>>"))
+    each = documents.select("defaults", "unknown", F.col("raw").alias("_raw"), F.posexplode("policies").alias("position", "p"))
+    each = each.withColumn("raw", F.try_element_at("_raw", F.col("position") + 1)).withColumn("source_error", source_error()).drop("_raw", "raw", "unknown")
 
     def pick(field: str):
         return F.coalesce(F.col(f"p.{field}"), F.col(f"defaults.{field}"), F.lit(DEFAULTS[field]))
@@ -62,7 +107,7 @@ def policies_of(documents: DataFrame) -> DataFrame:
         parse_duration_ms(pick("eventUpdateInterval")).alias("event_update_ms"),
         pick("severity").alias("severity"), pick("executionMode").alias("mode"), F.coalesce("p.priority", F.lit(0)).alias("priority"),
         F.coalesce("p.labels", F.create_map().cast("map<string,string>")).alias("labels"),
-        F.coalesce("p.version", F.lit(1).cast("bigint")).alias("version"),
+        F.coalesce("p.version", F.lit(1).cast("bigint")).alias("version"), "position", "source_error",
     )
 
 
@@ -72,8 +117,15 @@ def tenant_prefixes_of(documents: DataFrame) -> DataFrame:
     return each.select("tenant", F.inline(F.array(net.parse_cidr(F.col("text")))).alias("family", "net_hi", "net_lo", "prefix_len"))
 
 
-def read_policies(spark: SparkSession, path: str) -> DataFrame:
-    return policies_of(read_documents(spark, path))
+def read_policies(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Policies of a document; a strict read refuses one whose text is wrong, naming every position and field."""
+    drafts = policies_of(read_documents(spark, path))
+    if not strict:
+        return drafts
+    bad = drafts.where("source_error IS NOT NULL").orderBy("position").select("position", "policy_id", "source_error").collect()
+    if bad:
+        raise ValueError("policies: " + "; ".join(f"{r['policy_id']} at {r['position']}: {r['source_error']}" for r in bad))
+    return drafts.drop("position", "source_error")
 
 
 def to_documents(policies: DataFrame) -> DataFrame:
