@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocab import ACTION_BY_MODE, METRIC_ORDER, by_case, metric_unit
 from .folds import ordered_fold
+from .joins import lookup_join
 from .machine import Scope
 from .snapshots import SCOPE
 
@@ -46,13 +47,15 @@ def scope_key() -> Column:
                     F.length("tenant").cast("string"), F.lit(":"), F.col("tenant"), F.lit("|"), F.col("scope_display"))
 
 
-def screen_snapshots(selected: DataFrame, arrival: str, disabled: str = "disabled") -> DataFrame:
-    """Why a snapshot would be ignored, in arrival order; NULL when it counts.
+def screen_snapshots(selected: DataFrame, arrival: str | None, disabled: str = "disabled") -> DataFrame:
+    """Why a snapshot would be ignored, in arrival order if one is given; NULL when it counts.
 
     ``selected`` has the winner's ``mode`` and ``policy_window_ms``.
     """
     up_front = F.when(F.col("mode") == disabled, F.lit("modeDisabled")).when(
         F.col("window_ms") != F.col("policy_window_ms"), F.lit("windowMismatch"))
+    if arrival is None:
+        return selected.withColumn("ignored", up_front)
     before = Window.partitionBy(*SCOPE).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
     newest = F.max(F.when(F.col("_early").isNull(), F.col("window_end"))).over(before)
     late = F.when(F.col("window_end") < newest, F.lit("outOfOrder")).when(F.col("window_end") == newest, F.lit("duplicate"))
@@ -258,22 +261,44 @@ def open_detections(log: DataFrame) -> DataFrame:
         F.timestamp_micros("f.started").alias("active_since"), F.timestamp_micros("f.t").alias("last_snapshot_at"))
 
 
-def detection_report(selected: DataFrame, evaluated: DataFrame, log: DataFrame) -> DataFrame:
-    """Counts an operator watches: (measure, key, n)."""
-    def counted(df: DataFrame, measure: str, key: Column) -> DataFrame:
-        return df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(measure).alias("measure"), "key", "n")
+def ignored_snapshots(selected: DataFrame, policies: DataFrame, arrival: str | None = None) -> DataFrame:
+    """Snapshots with a winner and why each would be ignored (NULL: it counts).
 
-    edge = F.concat_ws(">", "from_state", "to_state")
+    Mode and window are the snapshot's own matter; lateness and repeats are
+    judged only where ``arrival`` gives the order in which snapshots came.
+    """
+    facts = policies.select("policy_id", F.col("version").alias("policy_version"), "mode", F.col("window_ms").alias("policy_window_ms"))
+    watched = lookup_join(selected.where("policy_id IS NOT NULL"), facts, ["policy_id", "policy_version"], "inner")
+    return screen_snapshots(watched, arrival)
+
+
+def detection_report(selected: DataFrame, evaluated: DataFrame, log: DataFrame, policies: DataFrame | None = None, arrival: str | None = None) -> DataFrame:
+    """Counts an operator watches: (measure, key, n).
+
+    Each input is turned into (measure, key) pairs and all are counted at once;
+    hand in ``selected`` and ``log`` cut off (``session.cut_lineage``), so that the
+    flows are read and the machine is run once. Scopes that never crossed count as
+    idle. With ``policies`` ignored snapshots are counted too.
+    """
+    pair = lambda measure, key: F.struct(F.lit(measure).alias("measure"), key.cast("string").alias("key"))
+    matched = F.when(F.col("policy_id").isNull(), F.lit("unmatched")).otherwise(F.lit("matched"))
+    record = F.col("record")
+    logged = (
+        F.when(record == "transition", pair("transition", F.concat_ws(">", "from_state", "to_state")))
+        .when(record.isin("suppressed", "ignored"), F.struct(record.alias("measure"), F.col("reason").alias("key")))
+        .when(record == "event", pair("event", F.col("kind")))
+    )
+    finals = log.where("record = 'final'").groupBy("scope_key").agg(F.max_by("to_state", "episode").alias("state"))
+    scopes = evaluated.where(F.col("mode") != "disabled").select(scope_key().alias("scope_key")).distinct()
+    states = scopes.join(finals, "scope_key", "left").select(pair("scope_state", F.coalesce("state", F.lit("idle"))).alias("m"))
     parts = [
-        counted(selected, "snapshots", F.when(F.col("policy_id").isNull(), F.lit("unmatched")).otherwise(F.lit("matched"))),
-        counted(log.where("record = 'transition'"), "transition", edge),
-        counted(log.where("record = 'suppressed'"), "suppressed", F.col("reason")),
-        counted(log.where("record = 'ignored'"), "ignored", F.col("reason")),
-        counted(log.where("record = 'event'"), "event", F.col("kind")),
-        counted(log.where("record = 'final'").groupBy("scope_key").agg(F.max_by("to_state", "episode").alias("s")), "scope_state", F.col("s")),
-        counted(evaluated.select(F.explode("skipped").alias("s")), "skipped", F.col("s.metric")),
+        selected.select(pair("snapshots", matched).alias("m")), log.select(logged.alias("m")).where("m IS NOT NULL"), states,
+        evaluated.select(F.explode(F.transform("skipped", lambda s: pair("skipped", s["metric"]))).alias("m")),
     ]
-    report = parts[0]
+    if policies is not None:
+        ignored = ignored_snapshots(selected, policies, arrival).where("ignored IS NOT NULL")
+        parts.append(ignored.select(pair("ignored", F.col("ignored")).alias("m")))
+    pairs = parts[0]
     for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+        pairs = pairs.unionByName(part)
+    return pairs.groupBy("m.measure", "m.key").agg(F.count(F.lit(1)).alias("n"))
