@@ -71,6 +71,13 @@ def correlation_log(events: DataFrame, policy: CasePolicy = CasePolicy(), waterm
     return keyed_fold(rows, ["correlation_key"], CaseAdapter(policy), schema)
 
 
+def stopped_events(events: DataFrame) -> DataFrame:
+    """Events of a stream that correlation leaves out, and why: ``(event_id, tenant, observed_at, gate)``."""
+    quarantined = (F.col("schema_version") > detect.EVENT_SCHEMA_VERSION) | F.col("executed")
+    gate = F.when(quarantined, "quarantined").when(F.col("action") == "observed", "observeOnly")
+    return events.select("event_id", "tenant", "observed_at", gate.alias("gate")).where("gate IS NOT NULL")
+
+
 def stream_correlation(events: DataFrame, path: str, checkpoint: str, policy: CasePolicy = CasePolicy(), watermark: str = "10 minutes",
                        available_now: bool = True) -> StreamingQuery:
     """The incident log, by batch; ``current_incidents`` reads the newest versions."""

@@ -90,11 +90,13 @@ class DetectAdapter:
 
     def expire(self, scope, now_ms):
         scope.sweep(now_ms * 1000, self.stale)
+        # Quiet for so long a scope is idle, whatever it was: nothing of it is
+        # kept. Rows older than its newest one are below the watermark by now.
+        scope.forgotten = scope.state == "idle"
         return scope.drain()
 
     def dump(self, scope):
-        # An idle scope past its timer has nothing to remember but its newest time.
-        return scope.dump()
+        return None if getattr(scope, "forgotten", False) else scope.dump()
 
 
 class CaseAdapter:
@@ -127,6 +129,10 @@ class CaseAdapter:
         for incident in case.incidents:
             if incident["incident_id"] in touched:
                 case._final(incident)
+        # Ended incidents that no later row can reach leave the state, and so do
+        # the keys of repeats, which a stream drops before they come here.
+        case.forget(keep_all=False)
+        case.unlinked.clear()
         return case.drain()
 
     def due(self, case):

@@ -113,3 +113,46 @@ def test_streamed_message_limits_equal_batch_limits(spark, sf, tmp_path, kind):
     batch = ntf.dedup_notifications(messages) if kind == "kept" else ntf.rate_limit(messages, 2)
     rows = lambda df: sorted(map(tuple, df.select("message_id", kind).collect()))
     assert rows(spark.read.parquet(out)) == rows(batch)
+
+
+def test_stopped_events_of_a_stream_equal_the_gate(spark, sf, tmp_path):
+    from checks import incident_checks as ic
+
+    events = ic.arrivals(spark, sf).persist()
+    source = split_by_time(events, str(tmp_path / "events"), "observed_at", 2)
+    out = str(tmp_path / "out")
+    run(jobs.stream_table(jobs.stopped_events(stream(spark, source, events.schema)), out, str(tmp_path / "cp")))
+    batch = inc.gate_events(events).where("gate IN ('quarantined', 'observeOnly')")
+    rows = lambda df: sorted(map(tuple, df.select("event_id", "gate").collect()))
+    assert rows(spark.read.parquet(out)) == rows(batch)
+
+
+def test_state_of_closed_incidents_and_idle_scopes_stays_flat():
+    import json
+
+    import pandas as pd
+
+    from floodplain.operators.case import MINUTE, CasePolicy
+    from floodplain.streaming.state import CaseAdapter, DetectAdapter
+
+    adapter, text, sizes, ended = CaseAdapter(CasePolicy()), None, [], 0
+    for k in range(200):
+        t = k * 600 * MINUTE
+        body = {"event_id": f"e{k}", "dedup_key": f"k{k}", "detection_id": f"d{k}", "kind": "started", "sequence": 0, "policy_id": "p", "policy_version": 1,
+                "severity": "minor", "metrics": ["bps"], "summary": "s", "reason": None}
+        case = adapter.load(("key",), text)
+        out = adapter.apply(case, pd.DataFrame([{"t": t, "at_sequence": 0, "at_id": f"e{k}", "body": json.dumps(body), "is_event": True, "repeat": False}]))
+        while (due := adapter.due(case)) is not None:
+            out += adapter.expire(case, due)
+        text = adapter.dump(case)
+        ended += sum(row[0] == "outcome" and json.loads(row[5])["outcome"] == "created" for row in out)
+        sizes.append(len(text))
+    assert ended == 200 and max(sizes[100:]) <= max(sizes[:20]) + 64
+    adapter = DetectAdapter(60_000)
+    scope = adapter.load(("key",), None)
+    row = {"t": 10**9, "over": False, "below": True, "crossed": None, "policy_id": "p", "policy_version": 1, "payload": "{}"}
+    timers = dict.fromkeys(["trigger_for_ms", "clear_for_ms", "cooldown_ms", "hold_down_ms", "event_update_ms"], 1000)
+    adapter.apply(scope, pd.DataFrame([{**row, **timers}]))
+    assert adapter.dump(scope) is not None
+    adapter.expire(scope, adapter.due(scope))
+    assert adapter.dump(scope) is None
