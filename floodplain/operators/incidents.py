@@ -222,14 +222,15 @@ def command_results_of(log: DataFrame) -> DataFrame:
 
 
 def correlation_report(log: DataFrame, gated: DataFrame | None = None) -> DataFrame:
-    """Counts per ingest outcome and per automatic state change."""
-    outcomes = outcomes_of(log).groupBy(F.col("outcome").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("outcome").alias("measure"), "key", "n")
+    """Counts per ingest outcome and per state change: one pass over the log, which is folded once."""
+    field = lambda path: F.get_json_object("body", path)
+    moved = (F.col("record") == "timeline") & (F.col("ref") == "state_changed")
+    measure = F.when(F.col("record") == "outcome", "outcome").when(moved, "transition")
+    key = F.when(F.col("record") == "outcome", field("$.outcome")).when(moved, field("$.payload.cause"))
+    pairs = log.select(measure.alias("measure"), key.alias("key")).where("measure IS NOT NULL")
     if gated is not None:
-        stopped = gated.where("gate IN ('quarantined', 'observeOnly')").groupBy(F.col("gate").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-        outcomes = outcomes.unionByName(stopped.select(F.lit("gate").alias("measure"), "key", "n"))
-    causes = timeline_of(log).where("entry_type = 'state_changed'").groupBy(F.get_json_object("payload", "$.cause").alias("key")).agg(
-        F.count(F.lit(1)).alias("n")).select(F.lit("transition").alias("measure"), "key", "n")
-    return outcomes.unionByName(causes)
+        pairs = pairs.unionByName(gated.where("gate IN ('quarantined', 'observeOnly')").select(F.lit("gate").alias("measure"), F.col("gate").alias("key")))
+    return pairs.groupBy("measure", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- numbers ----------------------------------------------------------------
