@@ -277,3 +277,8 @@ def joined(spans: str, kinds: tuple[str, ...]):
     """The spans of ``kinds`` as ``kind:begin:end``, joined by commas."""
     chosen = F.filter(spans, lambda s: s["kind"].isin(*kinds))
     return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def number(spans: str, kind: str):
+    """How many spans are of ``kind``."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
