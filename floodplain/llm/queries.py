@@ -57,7 +57,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return resampling.resample(docs, resampling.labelled_target(docs, table(spark, sf_dir, "labels")), share=0.5)
+    return resampling.resample(docs, resampling.labelled_target(docs, table(spark, sf_dir, "labels")), share=0.75)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
