@@ -239,6 +239,8 @@ def queries():
             "flow_id", "src_tenant", "src_hostgroup", "src_prefix_len", "dst_tenant", "dst_hostgroup", "dst_prefix_len"),
         "cls1_lpm_large_registry": lambda s, d: classified(s, d, broadcast_rows=0).select(
             "flow_id", "src_tenant", "src_hostgroup", "src_prefix_len", "dst_tenant", "dst_hostgroup", "dst_prefix_len"),
+        "cls1_lpm_blocks": lambda s, d: classified(s, d, max_lengths=0).select(
+            "flow_id", "src_tenant", "src_hostgroup", "src_prefix_len", "dst_tenant", "dst_hostgroup", "dst_prefix_len"),
         "cls2_direction": lambda s, d: classified(s, d).select("flow_id", "direction"),
         "cls3_reason": lambda s, d: classified(s, d, with_reason=True).select("flow_id", "reason"),
         "cls4_validate_prefixes": lambda s, d: cls.validate_prefixes(listed_prefixes(s, d)),
@@ -304,6 +306,7 @@ def oracle_sql():
             WHERE exporter IN ('172.30.0.1', '172.30.0.2', '172.30.0.3', '172.30.0.8') GROUP BY exporter""",
         "cls1_lpm_join": f"{CLASSIFIED_CTES} SELECT {side_columns} FROM classified",
         "cls1_lpm_large_registry": f"{CLASSIFIED_CTES} SELECT {side_columns} FROM classified",
+        "cls1_lpm_blocks": f"{CLASSIFIED_CTES} SELECT {side_columns} FROM classified",
         "cls2_direction": f"{CLASSIFIED_CTES} SELECT flow_id, direction FROM classified",
         "cls3_reason": f"""{CLASSIFIED_CTES} SELECT flow_id, CASE direction
             WHEN 'incoming' THEN 'source ' || src_addr || ' matched no local prefix; destination ' || dst_addr ||

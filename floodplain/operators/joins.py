@@ -15,6 +15,9 @@ from ..functions import net
 BROADCAST_ROWS = 200_000  # dimension rows here are at most a few hundred bytes
 MAX_CHAINED_LENGTHS = 24
 SALTS = 32
+BROADCAST_BYTES = 256 << 20
+# Where blocks of prefix lengths begin: an array of a block stays short.
+BLOCKS = {4: [0, 8, 16, 24], 6: [0, 16, 32, 48, 64, 96]}
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -77,11 +80,53 @@ def longest_prefix_match(
     """
     lengths = lengths_of(prefixes) if lengths is None else lengths
     registry = _registry(prefixes, value)
-    if sum(rows for _, _, rows in lengths) <= broadcast_rows and len(lengths) <= max_lengths:
+    rows = sum(n for _, _, n in lengths)
+    if rows <= broadcast_rows and len(lengths) <= max_lengths:
         return _chained(df, registry, sides, lengths)
+    if broadcast_rows and registry_bytes(prefixes, value) <= BROADCAST_BYTES:
+        return _blocked(df, registry, sides, lengths)
     return _by_distinct_address(df, registry, sides, lengths, broadcast_rows)
 
 
+def registry_bytes(prefixes: DataFrame, value: list[str]) -> int:
+    """About what the registry takes in memory: its texts and 64 bytes of numbers and overhead an entry."""
+    texts = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in value), F.lit(64))
+    return prefixes.agg(F.coalesce(F.sum(texts), F.lit(0))).first()[0]
+
+
+def _blocked(df, registry, sides, lengths):
+    """One broadcast hash join per block of lengths, however many lengths there are.
+
+    A prefix belongs to the longest block that is not longer than it. A block's
+    row holds its prefixes as an array, longest first, of which the first that
+    holds the address is the match; longer blocks come first. The flows are
+    neither shuffled nor copied.
+    """
+    for side, (family, hi, lo, *own_length) in sides.items():
+        found: dict[int, list[Column]] = {4: [], 6: []}
+        for fam, starts in BLOCKS.items():
+            for start, end in reversed(list(zip(starts, [*starts[1:], (32 if fam == 4 else 128) + 1]))):
+                if not any(f == fam and start <= n < end for f, n, _ in lengths):
+                    continue
+                mask_hi, mask_lo = net.mask_halves(fam, start)
+                name = f"_{side}_{fam}_{start}"
+                own = registry.where((F.col("family") == fam) & F.col("len").between(start, end - 1))
+                item = F.struct((-F.col("len")).alias("order"), "n_hi", "n_lo", net.mask_hi(F.col("family"), F.col("len")).alias("m_hi"),
+                                net.mask_lo(F.col("family"), F.col("len")).alias("m_lo"), "len", "entry")
+                table = own.groupBy(F.col("n_hi").bitwiseAND(F.lit(mask_hi)).alias(f"{name}_hi"), F.col("n_lo").bitwiseAND(F.lit(mask_lo)).alias(f"{name}_lo")).agg(
+                    F.array_sort(F.collect_list(item)).alias(name))
+                same = F.col(family) == fam
+                keys = [F.when(same, F.col(half).bitwiseAND(F.lit(mask))) for half, mask in ((hi, mask_hi), (lo, mask_lo))]
+                df = df.join(F.broadcast(table), (keys[0] == F.col(f"{name}_hi")) & (keys[1] == F.col(f"{name}_lo")), "left").drop(f"{name}_hi", f"{name}_lo")
+                longest = F.col(own_length[0]) if own_length else F.lit(128)
+                holds = F.filter(name, lambda p: (F.col(hi).bitwiseAND(p["m_hi"]) == p["n_hi"]) & (F.col(lo).bitwiseAND(p["m_lo"]) == p["n_lo"]) & (p["len"] <= longest))  # noqa: B023
+                found[fam].append(F.get(holds, F.lit(0))["entry"])
+        matches = found[4] + found[6]
+        best = F.coalesce(*matches) if matches else F.lit(None)
+        df = df.withColumn(side, best).drop(*[f"_{side}_{fam}_{start}" for fam, starts in BLOCKS.items() for start in starts])
+    return df
+
+
 def _chained(df, registry, sides, lengths):
     """One broadcast hash join per length, longest first: no shuffle, no row copies."""
     for side, (family, hi, lo, *own_length) in sides.items():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import net
 from ..functions.vocab import ICMP, ICMPV6, PROTOCOL_NAMES, TCP, TCP_SYN_BIT
-from .joins import covering, lookup_join
+from .joins import longest_prefix_match, lookup_join
 
 # Tier names, highest priority first; the last one stands for "no usable rate".
 SAMPLING_TIERS = ["record", "options", "exporter", "global", "unsampled"]
@@ -16,16 +16,16 @@ SAMPLING_TIERS = ["record", "options", "exporter", "global", "unsampled"]
 def admit_exporters(flows: DataFrame, networks: DataFrame) -> DataFrame:
     """Keep flows whose exporter lies in an allowed network; no networks allow all.
 
-    Exporters are few next to flows: the match runs on distinct exporter texts.
+    Each flow's exporter is looked up in the broadcast networks: one scan of the
+    flows and no shuffle. An exporter that is no address is not allowed.
     """
     if networks.limit(1).count() == 0:
         return flows
-    exporters = flows.select("exporter").distinct()
-    address = net.unmap(net.parse_address(F.col("exporter")))
-    parsed = exporters.select("exporter", F.inline(F.array(address)).alias("e_family", "e_hi", "e_lo"))
-    parsed = parsed.where("e_family IS NOT NULL").withColumn("e_len", net.width(F.col("e_family")))
-    allowed = covering(parsed, networks, ("e_family", "e_hi", "e_lo", "e_len"), "semi").select("exporter")
-    return lookup_join(flows, allowed, ["exporter"], "left_semi")
+    parsed = flows.withColumn("_exporter", net.unmap(net.parse_address(F.col("exporter"))))
+    for part in ("family", "hi", "lo"):
+        parsed = parsed.withColumn(f"_exporter_{part}", F.col(f"_exporter.{part}"))
+    matched = longest_prefix_match(parsed, networks, {"_allowed": ("_exporter_family", "_exporter_hi", "_exporter_lo")}, [])
+    return matched.where("_allowed IS NOT NULL").select(*flows.columns)
 
 
 def resolve_sampling(flows: DataFrame, exporter_rates: DataFrame | None = None,

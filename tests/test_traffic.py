@@ -155,3 +155,50 @@ def test_a_hot_group_is_ranked_exactly(spark):
 
 def test_masks_of_literals():
     assert net.mask_halves(4, 24) == (0, 0xFFFFFF00) and net.mask_halves(6, 48) == (-65536, 0) and net.mask_halves(6, 0) == (0, 0)
+
+
+def test_a_registry_of_many_lengths_needs_no_exchange_of_the_flows(spark):
+    """All lengths of both families against a plain search, and the plan."""
+    import random
+
+    from floodplain.operators.joins import longest_prefix_match
+
+    draw = random.Random(4)
+
+    def signed(v):
+        return v - 2**64 if v >= 2**63 else v
+
+    def bits(family, hi, lo):
+        return lo if family == 4 else ((hi % 2**64) << 64) | (lo % 2**64)
+
+    base = {4: 0x0A000000, 6: 0x20010DB8 << 96}
+    prefixes, addresses = [], []
+    for family, width in ((4, 32), (6, 128)):
+        for n in range(400):
+            length = draw.randint(0, width)
+            spread = draw.getrandbits(width // 2) << draw.randint(0, width // 2)
+            address = (base[family] ^ spread) % 2**width
+            network = address >> (width - length) << (width - length)
+            prefixes.append((family, length, signed(network >> 64) if family == 6 else 0, signed(network % 2**64) if family == 6 else network, f"t{n}"))
+            addresses.append((family, signed(address >> 64) if family == 6 else 0, signed(address % 2**64) if family == 6 else address))
+            addresses.append((family, *((0, draw.getrandbits(32)) if family == 4 else (signed(draw.getrandbits(64)), signed(draw.getrandbits(64))))))
+    table = spark.createDataFrame(prefixes, "family INT, prefix_len INT, net_hi BIGINT, net_lo BIGINT, tenant STRING")
+    frame = spark.createDataFrame([(i, *a) for i, a in enumerate(addresses)], "n INT, family INT, hi BIGINT, lo BIGINT")
+    matched = longest_prefix_match(frame, table, {"m": ("family", "hi", "lo")}, ["tenant"])
+    best = {}
+    for family, length, hi, lo, tenant in prefixes:
+        key = (family, length, hi, lo)
+        best[key] = min(best.get(key, tenant), tenant)
+    for row in matched.collect():
+        width = 32 if row.family == 4 else 128
+        value = bits(row.family, row.hi, row.lo)
+        want = None
+        for length in range(width, -1, -1):
+            network = value >> (width - length) << (width - length)
+            key = (row.family, length, signed(network >> 64) if row.family == 6 else 0, signed(network % 2**64) if row.family == 6 else network)
+            if key in best:
+                want = (best[key], length)
+                break
+        assert (None if row.m is None else (row.m.tenant, row.m.prefix_len)) == want
+    plan = matched._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 10
