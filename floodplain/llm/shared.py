@@ -99,14 +99,35 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node that has a link; the component is its smallest node.
 
+    First every node that is nowhere the smaller end of a link is set aside behind
+    its smallest partner, whose other partners are linked with that one instead:
+    what then goes round is as large as the set of smaller ends, not as the links.
+    Links of a node to itself and repeated or null links are harmless.
+    """
+    links = cut_lineage(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).groupBy("hi", "lo").agg(F.lit(1).alias("_one")).drop("_one"))
+    first = cut_lineage(links.groupBy("hi").agg(F.min("lo").alias("first")).withColumnRenamed("hi", "node"))
+    ends = links.groupBy("lo").agg(F.lit(1).alias("_one")).select(F.col("lo").alias("end"))
+    beside = links.join(first, F.col("hi") == F.col("node")).select(F.col("lo").alias("u"), F.col("first").alias("v"))
+    upward = first.join(ends, F.col("node") == F.col("end"), "left_semi").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    core = spread_labels(beside.unionByName(upward))
+    known = core.select(F.col("node").alias("at"), "component")
+    behind = first.join(known, F.col("first") == F.col("at"), "left").select("node", F.coalesce("component", "first").alias("component"))
+    # A smaller end that no other one meets has no row in the core.
+    alone = ends.select(F.col("end").alias("node")).join(known, F.col("node") == F.col("at"), "left").select("node", F.coalesce("component", "node").alias("component"))
+    rest = behind.join(ends, F.col("node") == F.col("end"), "left_anti")
+    return cut_lineage(rest.unionByName(alone))
+
+
+def spread_labels(pairs: DataFrame) -> DataFrame:
+    """``(node, component)`` for the nodes of ``pairs`` (u, v) that have another partner than themselves.
+
     Labels spread along links and are then shortened by following them, so the
     rounds grow with the logarithm of the longest chain. Minima are combined
     before each shuffle and the joins are plain equal-key joins, which adaptive
     execution splits where one node has very many links. Each round is cut off by
-    a reliable checkpoint; only its count of changes comes to the driver.
-    Links of a node to itself and repeated or null links are harmless.
+    a reliable checkpoint; only whether anything changed comes to the driver.
     """
-    pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    pairs = pairs.where("u <> v")
     edges = cut_lineage(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u", "v").agg(F.lit(1).alias("_one")).drop("_one"))
     labels = cut_lineage(edges.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("component")))
     while True:

@@ -16,6 +16,8 @@ from floodplain.session import cut_lineage
 
 #: Joined tile pairs that one Arrow batch may hold.
 PAIRS_AT_ONCE = 64
+#: Linked rows that a task gathers before it merges them.
+MERGE_ROWS = 400_000
 
 
 @contextlib.contextmanager
@@ -73,11 +75,11 @@ def compare_tiles(
     ``payload`` names the arrays and their numpy types; ``hits`` gets two tiles and
     returns the flat indices ``i * len(b) + j`` of the pairs that link.
     ``neighbours`` are offsets added to a numeric cell, one of each pair of
-    directions. Of each tile pair only this leaves the task: for every row with a
-    link ``(node, root, links)``, where rows linked within the pair share the root
-    and ``links`` counts the linked rows of the other tile (weighted by the array
-    ``weight``). A group of n near copies therefore makes rows in proportion to n
-    times its tiles, not n squared, and no connection is lost. ``slots`` spreads
+    directions. Only this leaves a task: for every row with a link ``(node, root,
+    links)``, where rows that links within the task connect share the root and
+    ``links`` counts a row's links there (weighted by the array ``weight``). A group
+    of n near copies therefore makes rows in proportion to n times the tasks it is
+    spread over, not n squared, and no connection is lost. ``slots`` spreads
     the tiles of a large cell over that many tasks; arrays named in ``flat`` have
     rows of different lengths and stay flat.
     """
@@ -100,32 +102,50 @@ def compare_tiles(
         n = len(arrays[node])
         return {name: array if len(array) == n or name in flat else array.reshape(n, -1) for name, array in arrays.items()}
 
+    def linked(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        a, b = side(batch, row, "a_"), side(batch, row, "b_")
+        same = batch.column("step")[row].as_py() == 0 and batch.column("a_tile")[row].as_py() == batch.column("b_tile")[row].as_py()
+        pairs = hits(a, b)
+        n = len(b[node])
+        i, j = pairs // n, pairs % n
+        if same:
+            i, j = i[i != j], j[i != j]
+        if not len(i):
+            return None
+        nodes = a[node] if same else np.r_[a[node], b[node]]
+        weights = [side[weight] if weight else np.ones(len(side[node]), np.int64) for side in (a, b)]
+        links = np.bincount(i, weights[1][j], len(nodes))
+        right_at = j
+        if not same:
+            right_at = j + len(a[node])
+            links += np.bincount(right_at, weights[0][i], len(nodes))
+        label = local_components(i, right_at, len(nodes))
+        at = np.flatnonzero(links > 0)
+        return nodes[at], nodes[label[at]], links[at].astype(np.int64)
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        nodes, roots, links = (np.concatenate(part) for part in zip(*parts, strict=True))
+        known, place = np.unique(np.r_[nodes, roots], return_inverse=True)
+        left, right = place[: len(nodes)], place[len(nodes) :]
+        label = local_components(left, right, len(known))
+        return known, known[label], np.bincount(left, links, len(known)).astype(np.int64)
+
     def run(batches):
+        # What a task finds is merged before it leaves: a row for each linked node
+        # of the task, however many tiles it was compared with.
+        held, size = [], 0
         for batch in batches:
-            found = []
-            for row in range(batch.num_rows):
-                a, b = side(batch, row, "a_"), side(batch, row, "b_")
-                same = batch.column("step")[row].as_py() == 0 and batch.column("a_tile")[row].as_py() == batch.column("b_tile")[row].as_py()
-                pairs = hits(a, b)
-                n = len(b[node])
-                i, j = pairs // n, pairs % n
-                if same:
-                    i, j = i[i != j], j[i != j]
-                if not len(i):
-                    continue
-                nodes = a[node] if same else np.r_[a[node], b[node]]
-                weights = [side[weight] if weight else np.ones(len(side[node]), np.int64) for side in (a, b)]
-                links = np.bincount(i, weights[1][j], len(nodes))
-                if same:
-                    right_at = j
-                else:
-                    right_at = j + len(a[node])
-                    links += np.bincount(right_at, weights[0][i], len(nodes))
-                label = local_components(i, right_at, len(nodes))
-                linked = np.flatnonzero(links > 0)
-                found.append((nodes[linked], nodes[label[linked]], links[linked].astype(np.int64)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)) for part in zip(*found, strict=True)], names=["node", "root", "links"])
+            found = [part for row in range(batch.num_rows) if (part := linked(batch, row)) is not None]
+            held += found
+            size += sum(len(part[0]) for part in found)
+            if size > MERGE_ROWS:
+                held = [merged(held)]
+                size = len(held[0][0])
+                if size > MERGE_ROWS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(column) for column in held[0]], names=["node", "root", "links"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(column) for column in merged(held)], names=["node", "root", "links"])
 
     with batches_of(spark, PAIRS_AT_ONCE):
         return cut_lineage(joined.mapInArrow(run, "node long, root long, links long"))
