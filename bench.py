@@ -35,6 +35,19 @@ def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def spread(flows, spark, copies: int):
+    """Copies of flows at other moments and between other hosts of the same networks, so that windows and keys grow too."""
+    from floodplain.functions import net
+
+    many = flows.crossJoin(F.broadcast(spark.range(copies).withColumnRenamed("id", "copy")))
+    many = many.withColumn("flow_id", F.col("flow_id") + F.col("copy") * 1_000_000_000)
+    many = many.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + F.col("copy") * 37_000_000))
+    for side in ("src", "dst"):
+        many = many.withColumn(f"{side}_lo", F.col(f"{side}_lo").bitwiseXOR(F.col("copy") % 64))
+        many = many.withColumn(f"{side}_addr", net.address_text(F.col("family"), F.col(f"{side}_hi"), F.col(f"{side}_lo")))
+    return many.drop("copy")
+
+
 def main() -> None:
     spark = build(f"local[{CPUS}]", **{
         "spark.driver.memory": "20g", "spark.sql.shuffle.partitions": str(2 * int(CPUS)), "spark.ui.showConsoleProgress": "false"})
@@ -47,8 +60,7 @@ def main() -> None:
     base_rows = spark.read.parquet(base).count()
     copies = max(1, TARGET_RECORDS // base_rows)
     many = os.path.join(work, "many")
-    spark.read.parquet(base).crossJoin(F.broadcast(spark.range(copies).withColumnRenamed("id", "copy"))).withColumn(
-        "flow_id", F.col("flow_id") + F.col("copy") * 1_000_000_000).drop("copy").repartition(2 * int(CPUS)).write.parquet(many)
+    spread(spark.read.parquet(base), spark, copies).repartition(2 * int(CPUS)).write.parquet(many)
     many_rows = base_rows * copies
 
     def classified(path):
