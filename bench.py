@@ -36,14 +36,18 @@ def run(df) -> None:
 
 
 def spread(flows, spark, copies: int):
-    """Copies of flows at other moments and between other hosts of the same networks, so that windows and keys grow too."""
+    """The published load step's shape: all records within one minute, between some thousands of hosts.
+
+    Every copy has its own moments and, four by four, other hosts of the same
+    networks, so that no two copies fall into the same rows.
+    """
     from floodplain.functions import net
 
     many = flows.crossJoin(F.broadcast(spark.range(copies).withColumnRenamed("id", "copy")))
+    many = many.withColumn("ts", F.timestamp_millis(F.lit(traffic_checks.FROM * 1000) + (F.col("flow_id") * 7919 + F.col("copy") * 977) % 60_000))
     many = many.withColumn("flow_id", F.col("flow_id") + F.col("copy") * 1_000_000_000)
-    many = many.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + F.col("copy") * 37_000_000))
     for side in ("src", "dst"):
-        many = many.withColumn(f"{side}_lo", F.col(f"{side}_lo").bitwiseXOR(F.col("copy") % 64))
+        many = many.withColumn(f"{side}_lo", F.col(f"{side}_lo").bitwiseXOR(F.col("copy") % 4))
         many = many.withColumn(f"{side}_addr", net.address_text(F.col("family"), F.col(f"{side}_hi"), F.col(f"{side}_lo")))
     return many.drop("copy")
 
