@@ -19,7 +19,9 @@ from floodplain.session import cut_lineage
 BUCKETS = 10_000
 SMOOTHING = 1.0
 SEED = 42
-REMEMBERED = 500_000
+REMEMBERED = 250_000
+#: Labelled documents that the target model is fitted on, chosen by a hash of the id.
+TARGET_ROWS = 20_000
 
 
 class Words:
@@ -141,7 +143,12 @@ def resample(docs: DataFrame, target: DataFrame, share: float = 0.5, seed: int =
     return weighed.select(F.col("id").alias(id_col), "n_grams", "log_weight", "gumbel_key", selected.alias("selected"))
 
 
-def labelled_target(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", toxic_col: str = "toxic") -> DataFrame:
-    """Documents labelled good and not toxic: the texts that sampling is to resemble."""
-    good = labels.where((F.col(quality_col) == 1) & (F.coalesce(toxic_col, F.lit(0)) == 0)).select(F.col(id_col).alias("_good")).distinct()
+def labelled_target(docs: DataFrame, labels: DataFrame, rows: int = TARGET_ROWS, id_col: str = "doc_id", quality_col: str = "quality", toxic_col: str = "toxic") -> DataFrame:
+    """Documents labelled good and not toxic: the texts that sampling is to resemble.
+
+    At most ``rows`` labelled ids, those that hash lowest, so that the ids can be
+    broadcast and no text is shuffled to find them.
+    """
+    good = labels.where((F.col(quality_col) == 1) & (F.coalesce(toxic_col, F.lit(0)) == 0)).select(F.col(id_col).alias("_good")).where("_good IS NOT NULL").distinct()
+    good = F.broadcast(good.orderBy(F.xxhash64("_good"), "_good").limit(rows))
     return docs.join(good, docs[id_col] == good["_good"], "left_semi")
