@@ -166,20 +166,19 @@ def prose(draw, sentences):
 
 
 def plain_paragraphs(texts):
-    """(text, first word, words) of the paragraphs that are long enough."""
+    """(text, first word, words) of the long lines and of the runs inside lines."""
     out = []
     for t, text in enumerate(texts):
-        first, mine = 0, []
-        words = 0
+        at = 0
         for line in (text or "").lower().split("\n"):
-            for k, word in enumerate(line.split()):
-                mine.append(word)
-                words += 1
-                closes = word[-1] in ".!?" and (xxhash.xxh64_intdigest(word.encode()) >> 20) % passages.CUT == 0
-                if closes or k == len(line.split()) - 1:
-                    if len(mine) >= passages.MIN_WORDS:
-                        out.append((t, first, tuple(mine)))
-                    first, mine = words, []
+            words = line.split()
+            if len(words) >= passages.MIN_LINE:
+                out.append((t, at, tuple(words)))
+            hashes = np.array([xxhash.xxh64_intdigest(word.encode()) for word in words], np.uint64)
+            for k in passages.anchors(hashes).tolist() if len(words) > 1 else []:
+                if k + passages.RUN <= len(words):
+                    out.append((t, at + k, tuple(words[k : k + passages.RUN])))
+            at += len(words)
     return out
 
 
@@ -191,13 +190,14 @@ def plain_clusters(texts):
         return {words[i : i + 5] for i in range(max(1, len(words) - 4))}
 
     sets = [shingles(words) for words in distinct]
-    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    lines = [i for i, words in enumerate(distinct) if len(words) >= passages.MIN_LINE]
+    links = [(i, j) for i in lines for j in lines if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     low = groups(range(len(distinct)), links)
     number = {words: low[i] for i, words in enumerate(distinct)}
     size = {}
     for _, _, words in rows:
         size[number[words]] = size.get(number[words], 0) + 1
-    return {(t, first): number[words] for t, first, words in rows if size[number[words]] > 1}
+    return {(t, first, len(words)): number[words] for t, first, words in rows if size[number[words]] > 1}
 
 
 def test_passages_equal_comparing_all(spark, documents):
@@ -214,18 +214,17 @@ def test_passages_equal_comparing_all(spark, documents):
     long = [f"y{i}" for i in range(80)]
     texts += [" ".join(long), " ".join([*long[:40], "changed", *long[41:]])]
     want = plain_clusters(texts)
-    found = passages.repeated_passages(documents(texts), min_run=0).collect()
-    mine = {(r.doc_id, r.first_word): r.cluster_id for r in found}
-    assert mine.keys() == want.keys() and (40, 0) in mine and (41, 0) in mine
+    found = passages.repeated_passages(documents(texts)).collect()
+    mine = {(r.doc_id, r.first_word, r.n_words): r.cluster_id for r in found}
+    assert mine.keys() == want.keys() and (40, 0, 80) in mine and (41, 0, 80) in mine
     pairs = {(mine[key], want[key]) for key in mine}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
     firsts = {}
     for r in sorted(found, key=lambda r: (r.doc_id, r.first_word)):
         assert r.kept == (r.cluster_id not in firsts)
         firsts[r.cluster_id] = True
-    # Short lines alone do not count once a run must have twenty words.
-    long_runs = passages.repeated_passages(documents(texts)).collect()
-    assert {r.doc_id for r in long_runs} == {k for k in range(40) if k % 2} | {40, 41}
+    # The short line that every third text has does not count.
+    assert {r.doc_id for r in found} == {k for k in range(40) if k % 2} | {40, 41}
 
 
 def test_passages_odd_rows(spark, odd_documents, no_documents, documents):
@@ -234,4 +233,4 @@ def test_passages_odd_rows(spark, odd_documents, no_documents, documents):
     assert {r.doc_id for r in found} <= {6}
     assert passages.repeated_passages(no_documents).count() == 0
     twice = passages.repeated_passages(documents([text, text, text], [5, 5, None])).collect()
-    assert len({r.cluster_id for r in twice}) and {r.cluster_size for r in twice} == {3}
+    assert {r.cluster_size for r in twice} == {3} and sum(r.kept for r in twice) == len({r.cluster_id for r in twice})
