@@ -30,7 +30,7 @@ MIN_LINE = 20
 #: no such place in time.
 RUN, ANCHOR = 16, 12
 TILE = 128
-FILTER_BITS = 24
+FILTER_BITS = 26
 REMEMBERED = 200_000
 
 _MIXERS = np.random.default_rng(20260101).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -181,7 +181,7 @@ def band_rows(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def band_filter(bands: DataFrame) -> np.ndarray:
-    """One bit for the top bits of each band key: 2 MB whatever the input, so that most others are left out before a shuffle."""
+    """One bit for the top bits of each band key: 8 MB whatever the input, so that most others are left out before a shuffle."""
     spot = F.shiftrightunsigned("band", 64 - FILTER_BITS)
     words = bands.select(spot.alias("spot")).groupBy(F.expr("int(spot div 32)").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(spot % 32))")).alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
@@ -265,9 +265,11 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, id_col: s
     grouped = counts.join(labels, F.col("par") == F.col("node"), "left").where("n > 1 OR component IS NOT NULL")
     grouped = cut_lineage(grouped.select("par", "n", F.coalesce("component", "par").alias("cluster_id")))
     clusters = grouped.groupBy("cluster_id").agg(F.sum("n").alias("cluster_size")).where("cluster_size > 1").withColumnRenamed("cluster_id", "_cluster")
-    repeated = grouped.join(clusters, F.col("cluster_id") == F.col("_cluster")).select(F.col("par").alias("_par"), "cluster_id", "cluster_size")
-    members = cut_lineage(units.join(repeated, F.col("par") == F.col("_par")).select("doc", "copy", "first_word", "words", "cluster_id", "cluster_size"))
+    # The smaller sides of these joins stand by themselves, so that a paragraph or a
+    # cluster with very many places can be split.
+    repeated = cut_lineage(grouped.join(clusters, F.col("cluster_id") == F.col("_cluster")).select(F.col("par").alias("_par"), "cluster_id", "cluster_size"))
+    members = stored(units.join(repeated, F.col("par") == F.col("_par")).select("doc", "copy", "first_word", "words", "cluster_id", "cluster_size"), "members")
     place = F.struct("doc", "first_word", "copy")
-    firsts = members.groupBy(F.col("cluster_id").alias("_cluster")).agg(F.min(place).alias("_first"))
+    firsts = cut_lineage(members.groupBy(F.col("cluster_id").alias("_cluster")).agg(F.min(place).alias("_first")))
     out = members.join(firsts, F.col("cluster_id") == F.col("_cluster"))
     return out.select(F.col("doc").alias(id_col), "first_word", F.col("words").alias("n_words"), "cluster_id", "cluster_size", place.eqNullSafe(F.col("_first")).alias("kept"))
