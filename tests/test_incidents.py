@@ -43,7 +43,7 @@ class World:
 
 
 def test_create_then_link_then_recover():
-    w = World()
+    w = World(CasePolicy(title_max=200))
     assert w.event(0) == "created"
     one = w.case.active
     assert one["version"] == 1 and one["priority"] == "P2" and len(one["title"]) == 200 and one["category"] == "bandwidth"
@@ -137,8 +137,20 @@ def test_events_link_to_a_recovering_incident_without_aborting():
     assert w.case.active["state"] == "open" and w.causes()[-1] == "recovery_aborted"
 
 
-def test_policy_refs_widen_and_keep_the_newest_version():
+def test_bounds_are_off_unless_asked_for():
+    """More links and policies than any bound: all are kept and the same late detection is linked, not reopened."""
     w = World()
+    for i in range(10_050):
+        w.event(0, "started" if i == 0 else "updated", detection=f"d{i}", policy=f"q{i % 70}", sequence=i)
+    one = w.case.active
+    assert len(one["title"]) == 300 and len(one["policy_refs"]) == 70 and one["evidence_retained"] == one["evidence_observed"] == 10_050
+    w.event(1, "ended", detection="d0", metrics=(), reason="clearSustained")
+    assert w.at(20)[0]["state"] in ("resolved", "closed")
+    assert w.event(20, "updated", detection="d10049") == "linked_late" and w.event(20, "started", detection="new") == "reopened"
+
+
+def test_policy_refs_widen_and_keep_the_newest_version():
+    w = World(CasePolicy(policy_refs_max=64))
     w.event(0, sequence=3, version=2)
     w.event(1, "updated", sequence=1, version=1)
     assert w.case.active["policy_refs"] == [{"policy_id": "p", "policy_version": 2, "first_seen": 1, "last_seen": 3}]
