@@ -112,7 +112,9 @@ def merge_ranked(table: MergeTable, symbols: np.ndarray, sizes: np.ndarray) -> t
         begins = np.flatnonzero(run)
         within = np.arange(len(at)) - np.repeat(begins, np.diff(np.r_[begins, len(at)]))
         opening = np.r_[True, seq[at[1:]] != seq[at[:-1]]]
-        slow = np.repeat(table.hasty[made[at[opening]]], np.diff(np.r_[np.flatnonzero(opening), len(at)]))
+        opens = np.flatnonzero(opening)
+        # Pieces of one rank may differ: one hasty among them makes all of them wait.
+        slow = np.repeat(np.logical_or.reduceat(table.hasty[made[at]], opens), np.diff(np.r_[opens, len(at)]))
         at = at[np.where(slow, opening, within % 2 == 0)]
         sym[at] = made[at]
         stay = np.ones(len(sym), bool)
