@@ -32,10 +32,10 @@ def batches_of(spark, rows: int):
         spark.conf.set(name, before)
 
 
-def build_tiles(rows: DataFrame, cell: str, node: str, payload: list[str], size: int) -> DataFrame:
+def build_tiles(rows: DataFrame, cell: str, node: str, payload: list[str], size: int | Callable[[int], int]) -> DataFrame:
     """Pack rows of one cell into tiles of at most ``size``: ``(cell, tile, node BINARY, payload… BINARY)``.
 
-    Rows are dealt by ranges of (cell, node), so that a large cell is spread over
+    ``size`` may depend on the cell, where cells differ in the width of their rows. Rows are dealt by ranges of (cell, node), so that a large cell is spread over
     many tasks, and cut as they stream by; no cell is ever gathered. The result is
     checkpointed: both sides of a comparison must see the same tiles.
     """
@@ -54,8 +54,9 @@ def build_tiles(rows: DataFrame, cell: str, node: str, payload: list[str], size:
             nodes = batch.column(1).to_numpy()
             out = []
             for begin, end in zip(cuts, cuts[1:], strict=False):
-                for at in range(begin, end, size):
-                    part = batch.slice(at, min(size, end - at))
+                most = size(cells[begin]) if callable(size) and end > begin else size
+                for at in range(begin, end, most) if end > begin else ():
+                    part = batch.slice(at, min(most, end - at))
                     out.append((cells[at], int(nodes[at]), *(values(part.column(k)).tobytes() for k in range(1, part.num_columns))))
             yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*out, strict=True), target, strict=True)], schema=target) if out else pa.RecordBatch.from_pylist([], schema=target)
 

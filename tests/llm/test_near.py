@@ -234,3 +234,28 @@ def test_passages_odd_rows(spark, odd_documents, no_documents, documents):
     assert passages.repeated_passages(no_documents).count() == 0
     twice = passages.repeated_passages(documents([text, text, text], [5, 5, None])).collect()
     assert {r.cluster_size for r in twice} == {3} and sum(r.kept for r in twice) == len({r.cluster_id for r in twice})
+
+
+def test_near_copies_have_the_exact_similarity(spark, documents):
+    def jaccard(a, b):
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a.split(), b.split()))
+        return len(a & b) / len(a | b)
+
+    draw = random.Random(14)
+    texts = []
+    for changes in (1, 3, 4, 5, 6, 7, 8, 9):
+        for _ in range(4):
+            base = [f"w{draw.randint(0, 5000)}" for _ in range(250)]
+            other = list(base)
+            for k in draw.sample(range(10, 240), changes):
+                other[k] = "changed"
+            texts += [" ".join(base), " ".join(other)]
+    # Many repeats of one word do not make texts alike.
+    texts += [" ".join(["same"] * 600 + [f"{side}{k}" for k in range(200)]) for side in "ab"]
+    # A text and the same text twice have nearly the same shingles.
+    texts += [texts[0].replace("w", "v"), " ".join([texts[0].replace("w", "v")] * 2)]
+    kept = {r.doc_id for r in simhash.drop_near_copies(documents(texts), radius=48).collect()}
+    want = {i for i in range(len(texts)) if i % 2 == 0 or jaccard(texts[i - 1], texts[i]) < 0.8}
+    assert kept == want and 20 < sum(i % 2 == 0 for i in kept) < len(kept) < len(texts)
+    # As called by default, nothing below the similarity goes.
+    assert want <= {r.doc_id for r in simhash.drop_near_copies(documents(texts)).collect()}
