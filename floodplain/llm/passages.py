@@ -24,11 +24,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 5, 2
 #: Shorter lines are too likely to be boilerplate to be compared.
 MIN_LINE = 20
-#: Within a line, runs of so many words are looked for elsewhere, from every place
-#: where the hash of two neighbouring words is 0 modulo ANCHOR. Of passages that
-#: stand inside other lines, about 5 % at 51 words, 2 % at 60 and 0.4 % at 80 have
-#: no such place in time.
-RUN, ANCHOR = 16, 12
+#: Within a line, runs of so many words are looked for elsewhere. Of every
+#: PASSAGE words in a row one run is taken, by its words alone, so that any two places
+#: that share so many words have a run in common.
+RUN, PASSAGE = 16, 51
+#: Places at which windows of runs are looked through at a time.
+WINDOWS_AT_ONCE = 1 << 14
 TILE = 128
 FILTER_BITS = 26
 REMEMBERED = 200_000
@@ -61,10 +62,21 @@ _WORDS = Words()
 
 
 def anchors(hashes: np.ndarray) -> np.ndarray:
-    """Places at which a run begins: where a word and the one before it say so, wherever they stand."""
-    pair = hashes[1:] ^ (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15))
-    pair = (pair ^ (pair >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.flatnonzero((pair >> np.uint64(40)) % np.uint64(ANCHOR) == 0) + 1
+    """Places at which a run begins: of each window of runs that PASSAGE words hold the one whose words hash lowest.
+
+    Fewer words that hold a run are one window. As the hash is of the whole run,
+    equal windows give equal runs also where a run repeats within them.
+    """
+    n = len(hashes) - RUN + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    value = np.zeros(n, np.uint64)
+    for k in range(RUN):
+        value = (value ^ hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+    width = min(n, PASSAGE - RUN + 1)
+    windows = np.lib.stride_tricks.sliding_window_view(value, width)
+    return np.unique(np.concatenate([windows[at : at + WINDOWS_AT_ONCE].argmin(1) + np.arange(at, min(at + WINDOWS_AT_ONCE, len(windows))) for at in range(0, len(windows), WINDOWS_AT_ONCE)]))
 
 
 def paragraphs_of(texts: list[str]) -> dict[str, np.ndarray]:
@@ -87,11 +99,7 @@ def paragraphs_of(texts: list[str]) -> dict[str, np.ndarray]:
     first = np.r_[0, end[:-1]] if len(end) else end
     size = end - first
     long = size >= MIN_LINE
-    at = anchors(hashes) if len(hashes) > 1 else np.zeros(0, np.int64)
-    if len(at):
-        own_line = np.searchsorted(end, at, "right")
-        # The word before the anchor is of the same line, and the run ends within it.
-        at = at[(at > first[own_line]) & (at + RUN <= end[own_line])]
+    at = np.concatenate([anchors(hashes[a:b]) + a for a, b in zip(first.tolist(), ends, strict=True)]) if ends else np.zeros(0, np.int64)
     owner = lambda places: np.searchsorted(begin, places, "right") - 1
     return {"hashes": hashes, "begin": begin, "line": (first[long], size[long], owner(first[long])), "run": (at, np.full(len(at), RUN, np.int64), owner(at))}
 
@@ -252,11 +260,11 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, id_col: s
 
     A row for each line of at least MIN_LINE words that is equal to another or
     reaches it by links of Jaccard similarity of five-word shingles of at least
-    ``similarity``, and for each run of RUN words inside a line that stands
-    elsewhere too, so that a passage is found in whatever lines it stands;
+    ``similarity``, and for each taken run of RUN words inside a line that stands
+    elsewhere too, so that every passage of PASSAGE words inside lines is found;
     ``first_word`` counts the text's words from 0. A cluster keeps its first place
     by id, then word; the others are removals. Shorter lines that many texts share
-    are left alone. Texts that are null, empty or short give no row; rows of one id
+    are not compared by themselves. Texts that are null, empty or short give no row; rows of one id
     with different texts are told apart by their text; a null id sorts first.
     """
     labels = similar_paragraphs(docs, text_col, similarity)

@@ -259,3 +259,16 @@ def test_near_copies_have_the_exact_similarity(spark, documents):
     assert kept == want and 20 < sum(i % 2 == 0 for i in kept) < len(kept) < len(texts)
     # As called by default, nothing below the similarity goes.
     assert want <= {r.doc_id for r in simhash.drop_near_copies(documents(texts)).collect()}
+
+
+def repeats(spark, documents, texts):
+    return {r.doc_id for r in passages.repeated_passages(documents(texts)).collect()}
+
+
+def test_every_passage_of_51_words_is_found(spark, documents):
+    draw = random.Random(15)
+    texts = []
+    for _ in range(150):
+        passage = " ".join(f"x{draw.randint(0, 3000)}" for _ in range(51))
+        texts += [f"{prose(draw, 6)} {passage} {prose(draw, 6)}" for _ in range(2)]
+    assert repeats(spark, documents, texts) == set(range(300))
