@@ -24,7 +24,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 5, 2
 #: Shorter lines are too likely to be boilerplate to be compared.
 MIN_LINE = 20
-#: Within a line, runs of so many words are looked for elsewhere. Of every
+#: Within a line, or a stretch of lines of less than PASSAGE words, runs of RUN words
+#: are looked for elsewhere. Of every
 #: PASSAGE words in a row one run is taken, by its words alone, so that any two places
 #: that share so many words have a run in common.
 RUN, PASSAGE = 16, 51
@@ -80,7 +81,7 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
 
 
 def paragraphs_of(texts: list[str]) -> dict[str, np.ndarray]:
-    """Word hashes of whole texts, A-Z lowered, with the lines of at least MIN_LINE words and the runs inside lines.
+    """Word hashes of whole texts, A-Z lowered, with the lines of at least MIN_LINE words and the runs inside lines or stretches of shorter lines.
 
     ``line`` and ``run`` are ``(first word, size, text)`` over all words of the
     slice; ``begin`` is each text's first word.
@@ -99,7 +100,10 @@ def paragraphs_of(texts: list[str]) -> dict[str, np.ndarray]:
     first = np.r_[0, end[:-1]] if len(end) else end
     size = end - first
     long = size >= MIN_LINE
-    at = np.concatenate([anchors(hashes[a:b]) + a for a, b in zip(first.tolist(), ends, strict=True)]) if ends else np.zeros(0, np.int64)
+    # Neighbouring lines that cannot hold a passage by themselves are read as one.
+    joins = (size[1:] < PASSAGE) & (size[:-1] < PASSAGE) & ~np.isin(first[1:], begin)
+    starts = first[np.r_[True, ~joins]].tolist() if ends else []
+    at = np.concatenate([anchors(hashes[a:b]) + a for a, b in zip(starts, [*starts[1:], len(words)], strict=True)]) if starts else np.zeros(0, np.int64)
     owner = lambda places: np.searchsorted(begin, places, "right") - 1
     return {"hashes": hashes, "begin": begin, "line": (first[long], size[long], owner(first[long])), "run": (at, np.full(len(at), RUN, np.int64), owner(at))}
 
@@ -260,9 +264,10 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, id_col: s
 
     A row for each line of at least MIN_LINE words that is equal to another or
     reaches it by links of Jaccard similarity of five-word shingles of at least
-    ``similarity``, and for each taken run of RUN words inside a line that stands
-    elsewhere too, so that every passage of PASSAGE words inside lines is found;
-    ``first_word`` counts the text's words from 0. A cluster keeps its first place
+    ``similarity``, and for each taken run of RUN words that stands elsewhere too,
+    inside a line or a stretch of neighbouring lines of less than PASSAGE words each:
+    every passage of PASSAGE words in one of these is found, however it is wrapped.
+    Runs do not pass the border of a line of PASSAGE words or more. ``first_word`` counts the text's words from 0. A cluster keeps its first place
     by id, then word; the others are removals. Shorter lines that many texts share
     are not compared by themselves. Texts that are null, empty or short give no row; rows of one id
     with different texts are told apart by their text; a null id sorts first.

@@ -272,3 +272,15 @@ def test_every_passage_of_51_words_is_found(spark, documents):
         passage = " ".join(f"x{draw.randint(0, 3000)}" for _ in range(51))
         texts += [f"{prose(draw, 6)} {passage} {prose(draw, 6)}" for _ in range(2)]
     assert repeats(spark, documents, texts) == set(range(300))
+
+
+def test_passages_pass_line_ends(spark, documents):
+    draw = random.Random(16)
+    texts = []
+    for width in (5, 8, 12, 16, 25, 50):
+        words = [f"x{draw.randint(0, 3000)}" for _ in range(draw.choice((51, 90)))]
+        for shift in (0, 3):
+            lines = [words[:shift], *(words[k : k + width] for k in range(shift, len(words), width))]
+            texts.append(prose(draw, 3) + "\n" + "\n".join(map(" ".join, lines)) + "\n" + prose(draw, 3))
+    texts.append(prose(draw, 20))
+    assert repeats(spark, documents, texts) == set(range(12))
