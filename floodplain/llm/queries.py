@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodplain.llm import language, licenses, passages, personal, pieces, resampling, simhash, tiling, token_counts, vectors
+from floodplain.llm import language, lexical, licenses, negatives, passages, personal, pieces, resampling, search, simhash, tiling, token_counts, vectors
 from floodplain.llm.shared import table
 
 MODEL = "piece_bpe_32k.model"
@@ -71,13 +71,30 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = [
         op1_sentencepiece, op2_personal_data, op3_near_vectors, op4_repeated_passages, op5_licenses,
         op6_importance_resampling, op7_language, op8_simhash, op9_decontamination, op10_token_counts,
+        op11_hard_negatives, op12_top_k, op13_lexical_search,
     ]
     return {query.__name__: query for query in registered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licenses": licenses.summary_sql(0.8)}
+    return {
+        "op5_licenses": licenses.summary_sql(0.8), "op11_hard_negatives": negatives.NEGATIVES_SQL,
+        "op12_top_k": search.SEARCH_SQL, "op13_lexical_search": lexical.LEXICAL_SQL,
+    }
