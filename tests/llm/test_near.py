@@ -165,8 +165,8 @@ def prose(draw, sentences):
     return " ".join(" ".join(f"x{draw.randint(0, 3000)}" for _ in range(draw.randint(5, 12))) + "." for _ in range(sentences))
 
 
-def plain_paragraphs(texts):
-    """(text, first word, words) of the long lines and of the runs inside lines."""
+def plain_lines(texts):
+    """(text, first word, words) of the long lines."""
     out = []
     for t, text in enumerate(texts):
         at = 0
@@ -174,30 +174,68 @@ def plain_paragraphs(texts):
             words = line.split()
             if len(words) >= passages.MIN_LINE:
                 out.append((t, at, tuple(words)))
-            hashes = np.array([xxhash.xxh64_intdigest(word.encode()) for word in words], np.uint64)
-            for k in passages.anchors(hashes).tolist() if len(words) > 1 else []:
-                if k + passages.RUN <= len(words):
-                    out.append((t, at + k, tuple(words[k : k + passages.RUN])))
             at += len(words)
     return out
 
 
 def plain_clusters(texts):
-    rows = plain_paragraphs(texts)
+    """Long lines by their place, with the component of exact Jaccard links, where it spans documents."""
+    rows = plain_lines(texts)
     distinct = sorted({words for _, _, words in rows})
 
     def shingles(words):
         return {words[i : i + 5] for i in range(max(1, len(words) - 4))}
 
     sets = [shingles(words) for words in distinct]
-    lines = [i for i, words in enumerate(distinct) if len(words) >= passages.MIN_LINE]
-    links = [(i, j) for i in lines for j in lines if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     low = groups(range(len(distinct)), links)
     number = {words: low[i] for i, words in enumerate(distinct)}
-    size = {}
-    for _, _, words in rows:
-        size[number[words]] = size.get(number[words], 0) + 1
-    return {(t, first, len(words)): number[words] for t, first, words in rows if size[number[words]] > 1}
+    holders = {}
+    for t, _, words in rows:
+        holders.setdefault(number[words], set()).add(t)
+    return {(t, first, len(words)): number[words] for t, first, words in rows if len(holders[number[words]]) > 1}
+
+
+def same_groups(mine, want):
+    pairs = {(mine[key], want[key]) for key in want}
+    return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def check_passages(texts, found):
+    """Lines as comparing all gives them; passages repeat word by word and touch all that 51 words repeat."""
+    words = [text.lower().split() for text in texts]
+    want = plain_clusters(texts)
+    mine = {(r.doc_id, r.first_word, r.n_words): r.cluster_id for r in found}
+    assert want.keys() <= mine.keys() and same_groups(mine, want)
+    places = {}
+    for t, own in enumerate(words):
+        for k in range(len(own) - passages.RUN + 1):
+            places.setdefault(tuple(own[k : k + passages.RUN]), set()).add(t)
+    covered = [np.zeros(len(own) + 1, int) for own in words]
+    clusters = {}
+    for r in found:
+        if (r.doc_id, r.first_word, r.n_words) in want:
+            continue
+        assert r.n_words >= passages.RUN
+        piece = words[r.doc_id][r.first_word : r.first_word + r.n_words]
+        for k in range(len(piece) - passages.RUN + 1):
+            assert len(places[tuple(piece[k : k + passages.RUN])]) > 1
+        clusters.setdefault(r.cluster_id, []).append((r.doc_id, piece))
+        covered[r.doc_id][r.first_word : r.first_word + r.n_words] = 1
+    for rows in clusters.values():
+        assert len({t for t, _ in rows}) > 1 and all(piece == rows[0][1] for _, piece in rows)
+    firsts = set()
+    for r in sorted(found, key=lambda r: (r.doc_id, r.first_word)):
+        assert r.kept == (r.cluster_id not in firsts)
+        firsts.add(r.cluster_id)
+    windows = {}
+    for t, own in enumerate(words):
+        for k in range(len(own) - 50):
+            windows.setdefault(tuple(own[k : k + 51]), []).append((t, k))
+    for held in windows.values():
+        if len({t for t, _ in held}) > 1:
+            assert all(covered[t][k : k + 51].sum() >= passages.RUN for t, k in held)
+    return clusters
 
 
 def test_passages_equal_comparing_all(spark, documents):
@@ -213,20 +251,69 @@ def test_passages_equal_comparing_all(spark, documents):
         texts.append(" ".join(parts))
     long = [f"y{i}" for i in range(80)]
     texts += [" ".join(long), " ".join([*long[:40], "changed", *long[41:]])]
-    want = plain_clusters(texts)
+    # What one document alone repeats is none of another's.
+    alone = " ".join(f"z{i}" for i in range(90))
+    texts.append(f"{alone}\n{alone} {alone}")
     found = passages.repeated_passages(documents(texts)).collect()
-    mine = {(r.doc_id, r.first_word, r.n_words): r.cluster_id for r in found}
-    assert mine.keys() == want.keys() and (40, 0, 80) in mine and (41, 0, 80) in mine
-    pairs = {(mine[key], want[key]) for key in mine}
-    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
-    firsts = {}
-    for r in sorted(found, key=lambda r: (r.doc_id, r.first_word)):
-        assert r.kept == (r.cluster_id not in firsts)
-        firsts[r.cluster_id] = True
+    check_passages(texts, found)
+    assert {(r.doc_id, r.first_word, r.n_words) for r in found} >= {(40, 0, 80), (41, 0, 80)}
     # The short line that every third text has does not count.
     assert {r.doc_id for r in found} == {k for k in range(40) if k % 2} | {40, 41}
 
 
+def test_passages_of_texts_in_pieces(spark, documents):
+    """Passages in other orders, wrapped otherwise, between long lines, in groups of many sizes, cut at either end."""
+    draw = random.Random(17)
+    pool = [[f"p{k}w{i}" for i in range(draw.choice((51, 60, 130, 400)))] for k in range(12)]
+    texts = []
+    for _ in range(60):
+        words = []
+        for piece in draw.sample(pool, draw.randint(0, 3)):
+            cut = draw.choice((0, 0, 5, 30))
+            words += [f"own{draw.randint(0, 9999)}" for _ in range(draw.choice((0, 3, 70)))] + piece[cut : draw.choice((len(piece), len(piece) - 7))]
+        width = draw.choice((7, 13, 40, 60, 10_000))
+        texts.append("\n".join(" ".join(words[k : k + width]) for k in range(0, len(words), width)))
+    found = passages.repeated_passages(documents(texts)).collect()
+    clusters = check_passages(texts, found)
+    # Neighbouring runs that always stand together are one row.
+    assert max(len(rows[0][1]) for rows in clusters.values()) > 200
+
+
+def test_one_hot_passage_makes_one_row_a_document(spark, documents):
+    passage = " ".join(f"h{i}" for i in range(300))
+    texts = [f"a{k} b{k} {passage} c{k}" for k in range(700)]
+    found = passages.repeated_passages(documents(texts)).collect()
+    lines, runs = ([r for r in found if (r.first_word == 0) == whole] for whole in (True, False))
+    assert len(lines) == len(runs) == 700 and {r.cluster_size for r in found} == {700} and sum(r.kept for r in found) == 2
+
+
+def test_a_line_end_between_long_lines(spark, documents):
+    draw = random.Random(18)
+    passage = [f"x{i}" for i in range(60)]
+    inside = " ".join([prose(draw, 8).replace("\n", " "), *passage, prose(draw, 8).replace("\n", " ")])
+    around = [f"u{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    broken = " ".join([*around[0], *passage[:30]]) + "\n" + " ".join([*passage[30:], *around[1]])
+    assert repeats(spark, documents, [inside, broken, prose(draw, 20)]) == {0, 1}
+
+
+@pytest.mark.parametrize("sizes", [[0, 31, 32, 33, 50, 51, 52, 200], [5000], [0], [40, 0, 0, 700, 31, 51]])
+def test_runs_taken_are_the_lowest_of_every_window(sizes):
+    draw = np.random.default_rng(19)
+    hashes = draw.integers(0, 1 << 62, sum(sizes)).astype(np.uint64)
+    hashes[100:160] = hashes[100:101] if len(hashes) > 160 else 0
+    begin = np.cumsum(sizes) - sizes
+    places, ids = passages.anchors(hashes, begin)
+    want, value = set(), passages.run_hashes(hashes) if len(hashes) >= passages.RUN else []
+    for at, size in zip(begin.tolist(), sizes, strict=True):
+        runs = list(range(at, at + size - passages.RUN + 1))
+        width = min(len(runs), passages.WINDOW)
+        for k in range(len(runs) - width + 1) if runs else []:
+            window = runs[k : k + width]
+            low = min(value[x] for x in window)
+            want |= {x for x in window if value[x] == low}
+    assert places.tolist() == sorted(want) and ids.tolist() == [value[x] for x in sorted(want)]
+
+
 def test_passages_odd_rows(spark, odd_documents, no_documents, documents):
     text = prose(random.Random(13), 10)
     found = passages.repeated_passages(odd_documents).collect()
