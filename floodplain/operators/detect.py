@@ -11,9 +11,14 @@ from ..functions.vocab import ACTION_BY_MODE, METRIC_ORDER, by_case, metric_unit
 from .folds import ordered_fold
 from .joins import lookup_join
 from .machine import Scope
+from .slices import SLICE, before, by_range, by_time
 from .snapshots import SCOPE
 
 STALE_AFTER_MS = 180_000
+#: How much time of a scope is summed up in one row before its history is cut.
+SLOT_MS = 900_000
+#: Reasons of commands that stand for a change of the policies.
+POLICY_ENDS = ("policyChanged", "policyWithdrawn")
 EVENT_SCHEMA_VERSION = 1
 REASON = "ARRAY<STRUCT<metric: STRING, observed: BIGINT, threshold: BIGINT, excess: BIGINT, ratio_percent: BIGINT>>"
 
@@ -56,11 +61,10 @@ def screen_snapshots(selected: DataFrame, arrival: str | None, disabled: str = "
         F.col("window_ms") != F.col("policy_window_ms"), F.lit("windowMismatch"))
     if arrival is None:
         return selected.withColumn("ignored", up_front)
-    before = Window.partitionBy(*SCOPE).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    newest = F.max(F.when(F.col("_early").isNull(), F.col("window_end"))).over(before)
-    late = F.when(F.col("window_end") < newest, F.lit("outOfOrder")).when(F.col("window_end") == newest, F.lit("duplicate"))
-    screened = selected.withColumn("_early", up_front)
-    return screened.withColumn("ignored", F.coalesce("_early", late)).drop("_early")
+    screened = by_range(selected.withColumn("_early", up_front), SCOPE, arrival)
+    screened = before(screened, SCOPE, [arrival], {"_newest": ("max", F.when(F.col("_early").isNull(), F.col("window_end")))})
+    late = F.when(F.col("window_end") < F.col("_newest"), F.lit("outOfOrder")).when(F.col("window_end") == F.col("_newest"), F.lit("duplicate"))
+    return screened.withColumn("ignored", F.coalesce("_early", late)).drop("_early", "_newest", SLICE)
 
 
 def fold_rows(evaluated: DataFrame, keep: list[str] = (), as_text: bool = True) -> DataFrame:
@@ -79,40 +83,61 @@ def fold_rows(evaluated: DataFrame, keep: list[str] = (), as_text: bool = True)
     )
 
 
-def episodes(rows: DataFrame, stale_after_ms: int = STALE_AFTER_MS) -> DataFrame:
+def episodes(rows: DataFrame, stale_after_ms: int = STALE_AFTER_MS, slot_ms: int = SLOT_MS) -> DataFrame:
     """Cut each scope's history where its state is certainly idle, and keep only
     the stretches from a first crossing on.
 
-    Two cuts are exact: a gap longer than ``stale_after_ms``, and a quiet stretch
-    so long that hold-down, clearing and cooldown must all have run out (each
-    may wait for one more row, hence the slack). Scopes that never cross leave
-    no rows, and a long history of one scope folds in parallel.
+    History is cut between slots of ``slot_ms`` of time, each of which is first
+    summed up in one row: its first and last snapshot, first crossing, whether all of it was
+    quiet under one policy. Two cuts are exact: before a slot that begins more than
+    ``stale_after_ms`` after the last snapshot, and after quiet slots of one policy that
+    lasted so long that hold-down, clearing and cooldown must all have run out (each
+    may wait for one more row, hence the slack). Only slot rows of a scope are
+    ordered together, so a long history of one scope is cut, and then folds, in
+    parallel. Scopes that never cross leave no rows.
     """
     stale = stale_after_ms * 1000
-    order = Window.partitionBy("scope_key").orderBy("t", F.desc("is_snapshot"))
-    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = by_time(rows, F.col("t"), slot_ms)
     snap = F.col("is_snapshot")
     at_snap = lambda value: F.when(snap, value)
     policy = F.struct("policy_id", "policy_version")
-    df = rows.withColumn("_prev", F.last(at_snap(F.col("t")), ignorenulls=True).over(before))
-    df = df.withColumn("_prev_policy", F.last(at_snap(policy), ignorenulls=True).over(before))
-    df = df.withColumn("_gap", snap & (F.col("_prev").isNull() | (F.col("t") - F.col("_prev") > stale)))
-    quiet = F.col("below") & ~F.col("over")
-    breaks = snap & (~quiet | F.col("_gap") | (F.col("_prev_policy") != policy))
-    df = df.withColumn("_breaks", F.coalesce(breaks, F.lit(False)))
-    df = df.withColumn("_anchor", F.last(F.when(F.col("_breaks"), F.col("t")), ignorenulls=True).over(upto))
-    run_out = (F.col("hold_down_ms") + F.col("clear_for_ms") + F.col("cooldown_ms")) * 1000 + 4 * stale
-    df = df.withColumn("_settled", snap & ~F.col("_breaks") & (F.col("t") - F.col("_anchor") > run_out))
-    was_settled = F.coalesce(F.last(at_snap(F.col("_settled")), ignorenulls=True).over(before), F.lit(False))
-    df = df.withColumn("_starts", F.col("_gap") | (snap & ~F.col("_settled") & was_settled))
-    df = df.withColumn("episode", F.sum(F.when(F.col("_starts"), 1).otherwise(0)).over(upto))
+    wait = (F.col("hold_down_ms") + F.col("clear_for_ms") + F.col("cooldown_ms")) * 1000 + 4 * stale
+    slots = rows.groupBy("scope_key", SLICE).agg(
+        F.min(at_snap(F.col("t"))).alias("first_t"), F.max(at_snap(F.col("t"))).alias("last_t"),
+        F.min(F.when(snap & F.col("over"), F.col("t"))).alias("crossed_t"), F.bool_and(at_snap(F.col("below") & ~F.col("over"))).alias("quiet"),
+        F.struct(F.min(at_snap(policy)).alias("low"), F.max(at_snap(policy)).alias("high")).alias("policies"), F.max(at_snap(wait)).alias("wait"))
+    order = Window.partitionBy("scope_key").orderBy(SLICE)
+    upto, earlier = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col("first_t").isNotNull()
+    slots = slots.withColumn("_prev_t", F.last("last_t", True).over(earlier)).withColumn("_prev_policies", F.last(F.when(known, F.col("policies")), True).over(earlier))
+    slots = slots.withColumn("_gap", known & (F.col("_prev_t").isNull() | (F.col("first_t") - F.col("_prev_t") > stale)))
+    calm = known & ~F.col("_gap") & F.col("quiet") & (F.col("policies.low") == F.col("policies.high")) & (F.col("policies") == F.col("_prev_policies"))
+    slots = slots.withColumn("_calm", F.coalesce(calm, F.lit(False)))
+    slots = slots.withColumn("_since", F.last(F.when(known & ~F.col("_calm"), F.col("last_t")), True).over(upto))
+    rested = lambda t: F.col("_calm") & (F.col(t) - F.col("_since") > F.col("wait"))
+    slots = slots.withColumn("_settled", F.coalesce(rested("first_t"), F.lit(False)))
+    was_rested = F.coalesce(F.last(F.when(known, rested("last_t")), True).over(earlier), F.lit(False))
+    slots = slots.withColumn("_starts", F.col("_gap") | (known & ~F.col("_settled") & was_rested))
+    slots = slots.withColumn("episode", F.sum(F.col("_starts").cast("bigint")).over(upto))
+    slots = slots.withColumn("_crossed", F.min("crossed_t").over(Window.partitionBy("scope_key", "episode")))
+    # A command ahead of the first snapshot of a slot that starts an episode still meets the one before.
+    slots = slots.withColumn("_crossed_before", F.when(F.col("_starts"), F.lag("_crossed").over(order)))
     # The scope's newest snapshot closes an episode that ends in a gap.
-    df = df.withColumn("newest", F.max(at_snap(F.col("t"))).over(Window.partitionBy("scope_key")))
-    last_start = F.last(F.when(F.col("_starts"), F.col("t")), ignorenulls=True).over(upto)
-    last_over = F.last(F.when(F.col("over"), F.col("t")), ignorenulls=True).over(upto)
-    df = df.withColumn("_live", F.coalesce(last_over >= last_start, F.lit(False)))
-    return df.where(F.col("_live") & ~F.coalesce(F.col("_settled"), F.lit(False))).drop(
-        "_prev", "_prev_policy", "_gap", "_breaks", "_anchor", "_settled", "_starts", "_live")
+    slots = slots.withColumn("newest", F.max("last_t").over(Window.partitionBy("scope_key")))
+    live = slots.where("NOT _settled AND (_crossed IS NOT NULL OR _crossed_before IS NOT NULL)").select(
+        F.col("scope_key").alias("_key"), F.col(SLICE).alias("_slot"), "episode", "newest", "first_t", "_starts", "_crossed", "_crossed_before")
+    joined = rows.join(live, (F.col("scope_key") == F.col("_key")) & (F.col(SLICE) == F.col("_slot")))
+    early = F.coalesce(F.col("policy_id").isin(*POLICY_ENDS), F.lit(False))
+    ahead = F.col("_starts") & ~snap & ((F.col("t") < F.col("first_t")) | (early & (F.col("t") == F.col("first_t"))))
+    joined = joined.withColumn("_ahead", ahead)
+    joined = joined.withColumn("episode", F.col("episode") - F.col("_ahead").cast("bigint"))
+    return joined.where(F.col("t") >= F.when(F.col("_ahead"), F.col("_crossed_before")).otherwise(F.col("_crossed"))).select(
+        *[c for c in rows.columns if c != SLICE], "episode", "newest")
+
+
+def in_turn() -> Column:
+    """What goes first at one instant: a change of policies, the snapshot, then a command."""
+    return F.when(F.col("is_snapshot"), F.lit(1)).when(F.col("policy_id").isin(*POLICY_ENDS), F.lit(0)).otherwise(F.lit(2))
 
 
 class _EpisodeFold:
@@ -145,8 +170,9 @@ def detect(evaluated: DataFrame, asof: int | None = None, resets: DataFrame | No
     """The detection log: transitions, events, suppressions and final states.
 
     ``asof`` (epoch seconds) is the clock that closes scopes gone quiet by then.
-    ``resets`` are operator commands: the scope columns, ``scope_display``,
-    ``at`` and ``reason`` (``manualReset`` or ``policyWithdrawn``).
+    ``resets`` are commands: the scope columns, ``scope_display``, ``at`` and
+    ``reason`` (``manualReset`` of an operator; ``policyChanged`` or
+    ``policyWithdrawn`` from ``timeline.policy_ends``, which go before a snapshot of the same instant).
     """
     rows = fold_rows(evaluated, as_text=False)
     if resets is not None:
@@ -156,9 +182,8 @@ def detect(evaluated: DataFrame, asof: int | None = None, resets: DataFrame | No
         rows = rows.unionByName(commands, allowMissingColumns=True)
     stale, clock = stale_after_ms * 1000, None if asof is None else asof * 1_000_000
     schema = f"scope_key STRING, episode BIGINT, {LOG_COLUMNS}"
-    # At one instant the snapshot goes first, then the command.
-    cut = episodes(rows, stale_after_ms).withColumn("_is_command", ~F.col("is_snapshot")).withColumn("payload", F.to_json("payload"))
-    return ordered_fold(cut, ["scope_key", "episode"], ["t", "_is_command"], FOLD_INPUT,
+    cut = episodes(rows, stale_after_ms).withColumn("_turn", in_turn()).withColumn("payload", F.to_json("payload"))
+    return ordered_fold(cut, ["scope_key", "episode"], ["t", "_turn"], FOLD_INPUT,
                         lambda *_: _EpisodeFold(stale, clock), schema)
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.rates import clear_threshold, ratio_percent
 from ..functions.vocab import COMPLETENESS_FLAGS, METRIC_ORDER, METRICS
 from .joins import is_small, lookup_join
+from .slices import before, by_time
+
+#: How much time of a scope one task looks at.
+SLICE_MS = 3_600_000
 
 SEEN = {"protocol": "protocol_seen", "tcpFlags": "tcp_flags_seen", "fragmentation": "fragmentation_seen",
         "forwardingStatus": "forwarding_status_seen"}
@@ -16,7 +20,7 @@ POLICY_FACTS = ["policy_name", "labels", "severity", "mode", "policy_window_ms",
                 "cooldown_ms", "hold_down_ms", "event_update_ms"]
 
 
-def compiled(policies: DataFrame) -> DataFrame:
+def compiled(policies: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Thresholds as an array in metric order, each with its clear level and needed flag.
 
     Done once per policy, so that rows only index arrays.
@@ -31,7 +35,7 @@ def compiled(policies: DataFrame) -> DataFrame:
     return policies.select(
         "policy_id", F.col("version").alias("policy_version"), F.col("name").alias("policy_name"), "labels", "severity", "mode",
         F.col("window_ms").alias("policy_window_ms"), "trigger_for_ms", "clear_for_ms", "cooldown_ms", "hold_down_ms",
-        "event_update_ms", F.array_compact(F.array(*entries)).alias("_rules"),
+        "event_update_ms", F.array_compact(F.array(*entries)).alias("_rules"), *also,
     )
 
 
@@ -42,14 +46,15 @@ def matched_reasons(usable: Column, observed) -> Column:
         (observed(r) - r["threshold"]).alias("excess"), ratio_percent(observed(r), r["threshold"]).alias("ratio_percent")))
 
 
-def evaluate(selected: DataFrame, policies: DataFrame) -> DataFrame:
+def evaluate(selected: DataFrame, policies: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Add matched, skipped, all_below_clear and the policy's facts.
 
     ``selected`` is snapshots with the winner's id and version; rows without a
-    winner drop out, and so do windows that are not the policy's.
+    winner drop out, and so do windows that are not the policy's. ``also`` names
+    further columns that tell policies of one id and version apart.
     """
-    table = compiled(policies)
-    df = lookup_join(selected.where("policy_id IS NOT NULL"), table, ["policy_id", "policy_version"], "inner",
+    table = compiled(policies, also)
+    df = lookup_join(selected.where("policy_id IS NOT NULL"), table, ["policy_id", "policy_version", *also], "inner",
                      small=is_small(policies, 50_000))
     df = df.where(F.col("window_ms") == F.col("policy_window_ms"))
     df = df.withColumn("_rates", F.array(*METRIC_ORDER)).withColumn("_seen", F.array(*[F.col(SEEN[f]) for f in COMPLETENESS_FLAGS]))
@@ -63,23 +68,24 @@ def evaluate(selected: DataFrame, policies: DataFrame) -> DataFrame:
     return df.withColumn("over", F.size("matched") > 0).drop("_rates", "_seen", "_usable", "_unusable", "_rules")
 
 
-def sustained_crossings(evaluated: DataFrame, scope: list[str], stale_after_ms: int = 180_000) -> DataFrame:
+def sustained_crossings(evaluated: DataFrame, scope: list[str], stale_after_ms: int = 180_000, slice_ms: int = SLICE_MS) -> DataFrame:
     """Runs of over-threshold windows at least ``triggerFor`` long.
 
-    A run ends at a window that is not over, or at a gap longer than
-    ``stale_after_ms``. Rows here are one per scope and window.
+    A run ends at a window that is not over, at another policy or version, or at a gap longer than
+    ``stale_after_ms``. Rows here are one per scope and window. A scope is looked
+    at in slices of time, so a long one is not ordered in one task; runs pass
+    their borders.
     """
-    from pyspark.sql import Window
-
-    t = F.unix_millis("window_end")
-    order = Window.partitionBy(*scope).orderBy("window_end")
-    marked = evaluated.withColumn("_t", t)
-    fresh = (
-        F.lag("over").over(order).isNull() | ~F.lag("over").over(order)
-        | (F.col("_t") - F.lag("_t").over(order) > stale_after_ms)
-        | (F.lag("policy_id").over(order) != F.col("policy_id")) | (F.lag("policy_version").over(order) != F.col("policy_version"))
-    )
-    runs = marked.withColumn("_run", F.sum(F.when(fresh, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    t = F.unix_micros("window_end")
+    marked = by_time(evaluated.select(*scope, "policy_id", "policy_version", "over", "window_end", "trigger_for_ms").withColumn("_t", t), F.col("_t"), slice_ms)
+    was = F.struct("over", "_t", "policy_id", "policy_version")
+    seen = before(marked, scope, ["_t"], {"_was": ("last", was)})
+    last = F.col("_was")
+    fresh = last.isNull() | ~last["over"] | (F.col("_t") - last["_t"] > stale_after_ms * 1000) | (
+        last["policy_id"] != F.col("policy_id")) | (last["policy_version"] != F.col("policy_version"))
+    # A run is known by the moment of its first window.
+    seen = seen.withColumn("_fresh", F.when(fresh, F.col("_t"))).drop("_was")
+    runs = before(seen, scope, ["_t"], {"_begun": ("last", F.col("_fresh"))}).withColumn("_run", F.coalesce("_fresh", "_begun"))
     grouped = runs.where("over").groupBy(*scope, "policy_id", "_run").agg(
         F.min("window_end").alias("first_crossing"), F.max("window_end").alias("last_crossing"), F.count(F.lit(1)).alias("windows"),
         F.max("trigger_for_ms").alias("trigger_for_ms"))

@@ -133,7 +133,7 @@ def match_policies(scopes: DataFrame, policies: DataFrame) -> DataFrame:
 _FILL = {"k_hi": 0, "k_lo": 0, "k_len": -1, "k_group": ""}
 
 
-def _best_two(policies: DataFrame, specific: bool) -> DataFrame:
+def _best_two(policies: DataFrame, specific: bool, also: tuple[str, ...] = ()) -> DataFrame:
     """Per fully written lookup key, the best policy and the runner-up.
 
     A policy for both families is written out for each, so that the key is
@@ -144,7 +144,8 @@ def _best_two(policies: DataFrame, specific: bool) -> DataFrame:
     families = F.when(F.col("family").isNotNull(), F.array("family")).otherwise(F.array(F.lit(4), F.lit(6)))
     p = p.withColumn("k_family", F.explode(families))
     p = p.where(~addressed | (F.col("k_family") == F.col("sel_family")))
-    keys = ["k_tenant", "k_scope", "k_direction", "k_family"]
+    p = p.withColumns({f"k_{name}": F.col(name) for name in also})
+    keys = ["k_tenant", "k_scope", "k_direction", "k_family", *(f"k_{name}" for name in also)]
     if specific:
         p = (p.withColumn("k_hi", F.coalesce("sel_hi", F.lit(_FILL["k_hi"]).cast("bigint")))
              .withColumn("k_lo", F.coalesce("sel_lo", F.lit(_FILL["k_lo"]).cast("bigint")))
@@ -159,20 +160,22 @@ def _best_two(policies: DataFrame, specific: bool) -> DataFrame:
                                      F.max(F.when(F.col("_r") == 2, F.col("_e"))).alias("second"))
 
 
-def select_policy(scopes: DataFrame, policies: DataFrame) -> DataFrame:
+def select_policy(scopes: DataFrame, policies: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Add the winner: most specific, then highest priority, then lowest id.
 
     Four equal-key lookups (named or wildcard tenant, specific or any selector)
     in order of specificity; no pairs are made and the scopes are not shuffled.
-    Scopes nobody watches keep a NULL ``policy_id``.
+    Scopes nobody watches keep a NULL ``policy_id``. ``also`` names columns of both
+    sides that must be equal too, such as the set that a policy belongs to.
     """
-    narrow, broad = _best_two(policies, True), _best_two(policies, False)
+    narrow, broad = _best_two(policies, True, also), _best_two(policies, False, also)
     small = is_small(policies, 50_000)
     key = {
         "k_scope": F.col("scope_type"), "k_direction": F.col("direction"), "k_family": F.col("family"),
         "k_hi": F.coalesce("scope_hi", F.lit(_FILL["k_hi"]).cast("bigint")),
         "k_lo": F.coalesce("scope_lo", F.lit(_FILL["k_lo"]).cast("bigint")),
         "k_len": F.coalesce("scope_len", F.lit(_FILL["k_len"])), "k_group": F.coalesce("hostgroup", F.lit(_FILL["k_group"])),
+        **{f"k_{name}": F.col(name) for name in also},
     }
     df = scopes
     for name, value in key.items():

@@ -229,18 +229,18 @@ def plain_pass(rows_, stale, asof):
     return out + fold.finish()
 
 
-@pytest.mark.parametrize("swept", [True, False])
-def test_cutting_histories_changes_nothing(spark, swept):
+@pytest.mark.parametrize("swept, slot", [(True, 7), (False, 20), (True, 90)])
+def test_cutting_histories_changes_nothing(spark, swept, slot):
     """Episodes folded apart give the events and transitions of one pass per scope."""
     stale = 5
     data = {f"scope-{s}": random_rows(s, f"scope-{s}") for s in range(40)}
     asof = max(r[1] for rows_ in data.values() for r in rows_) // S + 100 if swept else None
     clock = asof and asof * S
     df = spark.createDataFrame([r for rows_ in data.values() for r in rows_], ROW)
-    cut = dt.episodes(df, stale * 1000).withColumn("_is_command", ~F.col("is_snapshot"))
+    cut = dt.episodes(df, stale * 1000, slot_ms=slot * 1000).withColumn("_turn", dt.in_turn())
     from floodplain.operators.folds import ordered_fold
 
-    log = ordered_fold(cut, ["scope_key", "episode"], ["t", "_is_command"], dt.FOLD_INPUT,
+    log = ordered_fold(cut, ["scope_key", "episode"], ["t", "_turn"], dt.FOLD_INPUT,
                        lambda *_: dt._EpisodeFold(stale * S, clock), f"scope_key STRING, episode BIGINT, {dt.LOG_COLUMNS}")
     rows_ = log.where("record in ('event', 'transition', 'suppressed')").collect()
     assert len({(r["scope_key"], r["episode"]) for r in rows_}) > 200
