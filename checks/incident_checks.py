@@ -70,6 +70,47 @@ def commands(spark, sf):
         F.lit(None).cast("bigint").alias("expected_version"), F.lit("noc").alias("actor"))
 
 
+# What an operator does to one target, a second apart, and what comes of it: verb, arguments, result, version.
+SCRIPT = [
+    ("acknowledge", "{}", "not_found", None), ("open_manual", '{"title":"watch","severity":"minor"}', "applied", 1),
+    ("open_manual", '{"title":"watch","severity":"minor"}', "duplicate_active_incident", None), ("open_manual", '{"severity":"minor"}', "validation_error", None),
+    ("acknowledge", "{}", "applied", 2), ("acknowledge", "{}", "state_unchanged", 2), ("acknowledge", "[1]", "validation_error", None),
+    ("begin_investigation", "{}", "applied", 3), ("mark_monitoring", "{}", "applied", 4), ("close", "{}", "invalid_transition", 4),
+    ("change_severity", '{"severity":"major"}', "applied", 5), ("change_severity", '{"severity":"info"}', "validation_error", 5),
+    ("change_severity", '{"severity":"info","reason":"noise"}', "applied", 6), ("change_priority", "{}", "validation_error", None),
+    ("change_priority", '{"priority":"nonsense"}', "validation_error", None), ("change_priority", '{"priority":"P1"}', "applied", 7),
+    ("suppress", '{"reason":"works","duration_s":"an hour"}', "validation_error", None), ("suppress", '{"reason":"works","duration_s":3600}', "applied", 8),
+    ("unsuppress", "{}", "applied", 9), ("assign", "{}", "validation_error", None), ("assign", '{"assignee":"ann"}', "applied", 10), ("unassign", "{}", "applied", 11),
+    ("add_note", '{"body":"first"}', "applied", 12), ("edit_note", '{"note_index":0,"body":"second"}', "applied", 13),
+    ("edit_note", '{"note_index":0,"body":"third"}', "validation_error", 13), ("redact_note", '{"note_index":7}', "not_found", 13),
+    ("redact_note", '{"note_index":1}', "applied", 14), ("add_tag", '{"key":"k"}', "validation_error", None), ("add_tag", '{"key":"k","value":"v"}', "applied", 15),
+    ("remove_tag", "{}", "validation_error", None), ("remove_tag", '{"key":"k"}', "applied", 16), ("add_tag", "{", "validation_error", None),
+    ("resolve", '{"note":"done"}', "applied", 17), ("close", "{}", "applied", 18), ("reopen", '{"reason":"again"}', "applied", 19), ("dance", "{}", "unknown_command", 19),
+]
+
+
+def scripted(spark, sf):
+    """The script above for every customer, as a target that no detection names."""
+    steps = F.posexplode(F.array(*[F.struct(F.lit(verb).alias("verb"), F.lit(args).alias("args")) for verb, args, _, _ in SCRIPT])).alias("step", "c")
+    each = table(spark, sf, "customer").select("c_custkey", steps)
+    return each.select(
+        F.lit("acme").alias("tenant"), F.lit("host").alias("scope_type"), F.concat(F.lit("c"), "c_custkey").alias("target"), F.lit("incoming").alias("direction"),
+        F.lit(4).alias("family"), F.timestamp_seconds(F.lit(ASOF) + F.col("step")).alias("at"), F.concat_ws("-", F.lpad(F.col("step").cast("string"), 2, "0"), "c_custkey").alias("command_id"),
+        "c.verb", "c.args", F.lit(None).cast("string").alias("incident_id"), F.lit(None).cast("bigint").alias("expected_version"), F.lit("noc").alias("actor"))
+
+
+def scripted_log(spark, sf):
+    return inc.correlate(arrivals(spark, sf), scripted(spark, sf))
+
+
+def scripted_incidents(spark, sf):
+    made = inc.incidents_of(scripted_log(spark, sf)).where("created_by = 'noc'")
+    return made.select(
+        "target_id", "tenant_id", "state", "version", "title", "severity", "severity_source", "ever_critical", "priority", "category", "reopen_count", "assignee",
+        F.size("tags").alias("tags"), F.array_join(F.transform("notes", lambda n: n["body"]), "|").alias("notes"), "suppression_reason",
+        (F.unix_micros("opened_at") / 1_000_000).cast("bigint").alias("opened"), "evidence_observed")
+
+
 def category_sql(has) -> str:
     """The category CASE over a predicate per metric name."""
     either = lambda *names: "(" + " OR ".join(has(n + u) for n in names for u in ("Bps", "Pps")) + ")"
@@ -324,6 +365,8 @@ def queries():
         "inc15_maintenance": lambda s, d: count(inc.run_maintenance(orders(s, d), now()), "state", "next_state", "cause"),
         "inc16_lifecycle_guard": lambda s, d: inc.guard_transitions(moves(s, d, vocab.INCIDENT_STATES)),
         "inc17_commands": lambda s, d: count(inc.command_results_of(inc.correlate(arrivals(s, d), commands(s, d), TO)), "verb", "result"),
+        "inc17_verbs": lambda s, d: inc.command_results_of(scripted_log(s, d)).select("command_id", "verb", "result", "version"),
+        "inc21_manual_incidents": scripted_incidents,
         "inc18_suppressed": lambda s, d: orders(s, d).select("incident_id", inc.suppressed(
             now(), "opened_at").alias("suppressed")),
         "inc19_duplicate_active": lambda s, d: inc.duplicate_active(orders(s, d), ["tenant_id", "target_type", "target_id", "direction"]),
@@ -427,6 +470,11 @@ def oracle_sql():
         JOIN rk a ON a.s = i.severity JOIN routes r ON r.tenant = ob.tenant AND list_contains(string_split(r.events, ','), ob.event_type)
         LEFT JOIN rk b ON b.s = r.min_severity WHERE r.min_severity IS NULL OR a.r >= b.r)"""
     return {
+        "inc17_verbs": f"""SELECT lpad(CAST(step AS VARCHAR), 2, '0') || '-' || c_custkey AS command_id, verb, result, CAST(version AS BIGINT) AS version
+            FROM customer, (VALUES {", ".join(f"({k}, '{verb}', '{result}', {version or 'NULL'})" for k, (verb, _, result, version) in enumerate(SCRIPT))}) AS v(step, verb, result, version)""",
+        "inc21_manual_incidents": f"""SELECT 'c' || c_custkey AS target_id, 'acme' AS tenant_id, 'open' AS state, CAST(19 AS BIGINT) AS version, 'watch' AS title, 'info' AS severity,
+            'operator' AS severity_source, false AS ever_critical, 'P1' AS priority, 'unclassified' AS category, 1 AS reopen_count, CAST(NULL AS VARCHAR) AS assignee, 0 AS tags,
+            'first||done' AS notes, CAST(NULL AS VARCHAR) AS suppression_reason, CAST({ASOF + 1} AS BIGINT) AS opened, CAST(0 AS BIGINT) AS evidence_observed FROM customer""",
         "inc1_dedup": f"""{ARRIVALS} SELECT tenant, 'k' || event_id % 4000 AS dedup_key, arg_min(event_id, (t, sequence, CAST(event_id AS VARCHAR))) AS event_id
             FROM arrivals GROUP BY ALL""",
         "inc2_gate": f"""{ARRIVALS} SELECT event_id, CASE WHEN schema_version > 1 OR executed THEN 'quarantined' WHEN observed THEN 'observeOnly'

@@ -26,6 +26,27 @@ SECOND = 1_000_000
 MINUTE = 60 * SECOND
 
 END_CAUSES = {"stale": "detector_stale", "policyWithdrawn": "policy_withdrawn", "manualReset": "detector_reset"}
+# What a verb's arguments must be: "text" and "words" (not blank) are texts, "count" a whole number above 0,
+# "index" one from 0, the others a word of their vocabulary; "?" may be missing.
+ARGUMENTS = {
+    "acknowledge": {}, "begin_investigation": {}, "mark_monitoring": {}, "resolve": {"note": "text?"}, "close": {"reason": "text?"}, "reopen": {"reason": "text?"},
+    "suppress": {"reason": "words", "duration_s": "count"}, "unsuppress": {}, "assign": {"assignee": "words"}, "unassign": {},
+    "change_severity": {"severity": "severity", "reason": "text?"}, "change_priority": {"priority": "priority"},
+    "add_note": {"body": "words", "visibility": "text?"}, "edit_note": {"note_index": "index", "body": "words"}, "redact_note": {"note_index": "index", "reason": "text?"},
+    "add_tag": {"key": "words", "value": "text"}, "remove_tag": {"key": "words"},
+    "open_manual": {"title": "words", "severity": "severity", "priority": "priority?", "description": "text?"},
+}
+
+
+def _whole(value, least: int) -> bool:
+    return isinstance(value, int) and not isinstance(value, bool) and least <= value <= 1 << 40
+
+
+FITS = {
+    "text": lambda value: isinstance(value, str), "words": lambda value: isinstance(value, str) and bool(value.strip()),
+    "count": lambda value: _whole(value, 1), "index": lambda value: _whole(value, 0),
+    "severity": lambda value: isinstance(value, str) and value in SEVERITIES, "priority": lambda value: isinstance(value, str) and value in PRIORITIES.values(),
+}
 DERIVED = {"acknowledge": "acknowledged", "begin_investigation": "investigating", "mark_monitoring": "monitoring"}
 
 
@@ -71,6 +92,23 @@ class Refused(Exception):
     """A command the current state does not allow; the text is its result code."""
 
 
+def arguments(verb, text: str | None) -> dict:
+    """The arguments of a command, as its verb takes them; further ones are left out."""
+    try:
+        given = json.loads(text) if text else {}
+    except (ValueError, RecursionError):
+        given = None
+    if not isinstance(given, dict):
+        raise Refused("validation_error")
+    out = {}
+    for name, kind in ARGUMENTS.get(verb, {}).items():
+        value = given.get(name)
+        if not (kind.endswith("?") and value is None) and not FITS[kind.rstrip("?")](value):
+            raise Refused("validation_error")
+        out[name] = value
+    return out
+
+
 class Case:
     """All incidents of one correlation key."""
 
@@ -296,11 +334,15 @@ class Case:
     # --- operator commands -------------------------------------------------
 
     def command(self, t, c):
-        """Apply one command row in order; the result is a record, never an exception."""
+        """Apply one command row in order; the result is a record, never an exception.
+
+        A command whose arguments are no JSON object, or not what its verb takes, is
+        refused with ``validation_error`` whatever it addresses.
+        """
         self.advance(t)
-        args = json.loads(c["args"]) if c["args"] else {}
         incident = None
         try:
+            args = arguments(c["verb"], c["args"])
             if c["verb"] == "open_manual":
                 incident = self._open_manual(t, c, args)
             else:
@@ -324,8 +366,6 @@ class Case:
         return found
 
     def _open_manual(self, t, c, args):
-        if not args.get("title") or args.get("severity") not in SEVERITIES:
-            raise Refused("validation_error")
         if self.active is not None:
             raise Refused("duplicate_active_incident")
         incident = self._fresh(t, c["command_id"], args["title"], args["severity"], args.get("priority"), "operator",
@@ -361,16 +401,14 @@ class Case:
             if args.get("note"):
                 self._add_note(t, incident, args["note"], actor)
         elif verb == "close":
-            self._close(t, incident, args.get("reason", "resolved"), "close", actor)
+            self._close(t, incident, args["reason"] or "resolved", "close", actor)
         else:
             if to == "acknowledged":
                 incident["acknowledged_at"] = t
             self._set_state(t, incident, to, verb, actor)
 
     def _do_suppress(self, t, incident, args, actor):
-        if not args.get("reason") or not args.get("duration_s"):
-            raise Refused("validation_error")
-        incident.update(suppressed_until=t + int(args["duration_s"]) * SECOND, suppression_reason=args["reason"])
+        incident.update(suppressed_until=t + args["duration_s"] * SECOND, suppression_reason=args["reason"])
         return "suppressed", "incident.suppression_changed", {"reason": args["reason"]}
 
     def _do_unsuppress(self, t, incident, args, actor):
@@ -385,8 +423,8 @@ class Case:
         return self._do_assign(t, incident, {}, actor)
 
     def _do_change_severity(self, t, incident, args, actor):
-        to, before = args.get("severity"), incident["severity"]
-        if to not in SEVERITIES or (SEVERITIES.index(to) < SEVERITIES.index(before) and not args.get("reason")):
+        to, before = args["severity"], incident["severity"]
+        if SEVERITIES.index(to) < SEVERITIES.index(before) and not args["reason"]:
             raise Refused("validation_error")
         incident.update(severity=to, severity_source="operator", ever_critical=incident["ever_critical"] or to == "critical")
         return "severity_changed", "incident.severity_changed", {"from": before, "to": to, "reason": args.get("reason")}
@@ -401,20 +439,20 @@ class Case:
         return index
 
     def _do_add_note(self, t, incident, args, actor):
-        if not (args.get("body") or "").strip() or args.get("visibility") == "customer_visible":
+        if args["visibility"] == "customer_visible":
             raise Refused("validation_error")
         return "note_added", None, {"note_index": self._add_note(t, incident, args["body"], actor)}
 
     def _note_at(self, incident, args):
-        index = args.get("note_index", -1)
-        if not 0 <= index < len(incident["notes"]):
+        index = args["note_index"]
+        if index >= len(incident["notes"]):
             raise Refused("not_found")
         return incident["notes"][index]
 
     def _do_edit_note(self, t, incident, args, actor):
         note = self._note_at(incident, args)
         replaced = any(n["supersedes"] == note["note_index"] for n in incident["notes"])
-        if note["redacted"] or replaced or not (args.get("body") or "").strip():
+        if note["redacted"] or replaced:
             raise Refused("validation_error")
         index = self._add_note(t, incident, args["body"], actor, note["note_index"])
         return "note_superseded", None, {"note_index": index, "supersedes": note["note_index"]}
@@ -427,8 +465,6 @@ class Case:
         return "note_redacted", None, {"note_index": note["note_index"], "reason": args.get("reason")}
 
     def _do_add_tag(self, t, incident, args, actor):
-        if not args.get("key"):
-            raise Refused("validation_error")
         if args["key"] not in incident["tags"] and not _below(len(incident["tags"]), self.policy.tags_max):
             raise Refused("capacity_exceeded")
         incident["tags"][args["key"]] = args["value"]

@@ -35,24 +35,35 @@ POLICY_FIELDS = [
     "triggerFor", "clearFor", "cooldown", "holdDown", "eventUpdateInterval", "severity", "executionMode", "priority", "labels", "version",
 ]
 SELECTOR_FIELDS = ["kind", "addr", "prefixLen", "name"]
+DEFAULT_FIELDS = list(DEFAULTS)
+TENANT_FIELDS = ["tenant", "prefixes"]
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents as they are; malformed JSON is an error.
+    """Documents as they are, each with the file it stands in; malformed JSON is an error.
 
-    ``unknown`` lists the document's own unknown fields and ``raw`` has each
-    policy's fields as text, from which unknown ones are told.
+    ``document_error`` is the first thing the document itself gets wrong,
+    ``raw`` has each policy's fields as text, from which unknown ones are told.
     """
-    return parse_documents(spark.read.text(path, wholetext=True))
+    return parse_documents(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("source")))
 
 
 def parse_documents(texts: DataFrame, column: str = "value") -> DataFrame:
-    """The same for documents that are a text each."""
-    fields = F.map_keys(F.from_json(column, "MAP<STRING, STRING>"))
+    """The same for documents that are a text each; a column ``source`` names them."""
+    none = _texts([]).cast("array<string>")
+    fields = lambda text, known: F.coalesce(F.array_except(F.map_keys(F.from_json(text, "MAP<STRING, STRING>")), _texts(known)), none)
+    inner = lambda name, found: F.transform(found, lambda field: F.concat(F.lit(f"{name}."), field))
+    listed = F.from_json(F.get_json_object(column, "$.tenants"), "ARRAY<MAP<STRING, STRING>>")
+    tenants = F.coalesce(F.flatten(F.transform(listed, lambda entry: F.coalesce(F.array_except(F.map_keys(entry), _texts(TENANT_FIELDS)), none))), none)
+    unknown = F.concat(fields(F.col(column), DOCUMENT_FIELDS), inner("defaults", fields(F.get_json_object(column, "$.defaults"), DEFAULT_FIELDS)), inner("tenants", tenants))
+    version = F.col("d.schemaVersion")
+    error = F.when(version.isNull(), F.lit("missing_field:schemaVersion")).when(version != SCHEMA_VERSION, F.concat(F.lit("unsupported_schema:"), version)).when(
+        F.size("unknown") > 0, F.concat(F.lit("unknown_field:"), F.element_at("unknown", 1))).when(F.col("d.policies").isNull(), F.lit("missing_field:policies"))
     return texts.select(
-        F.from_json(column, DOCUMENT_SCHEMA, {"mode": "FAILFAST"}).alias("d"), F.array_except(fields, _texts(DOCUMENT_FIELDS)).alias("unknown"),
+        F.from_json(column, DOCUMENT_SCHEMA, {"mode": "FAILFAST"}).alias("d"), unknown.alias("unknown"),
         F.from_json(F.get_json_object(column, "$.policies"), "ARRAY<MAP<STRING, STRING>>").alias("raw"),
-    ).select("d.*", "unknown", "raw")
+        (F.col("source") if "source" in texts.columns else F.lit(None).cast("string")).alias("source"),
+    ).select("d.*", "raw", "source", error.alias("document_error"))
 
 
 def _texts(values):
@@ -60,12 +71,12 @@ def _texts(values):
 
 
 def source_error():
-    """The first thing a policy's text gets wrong, with the field's name; NULL when nothing is."""
+    """The first thing a policy's document or its own text gets wrong, with the field's name; NULL when nothing is."""
     unknown = F.concat(
-        F.coalesce(F.col("unknown"), _texts([]).cast("array<string>")), F.array_except(F.coalesce(F.map_keys("raw"), _texts([]).cast("array<string>")), _texts(POLICY_FIELDS)),
+        F.array_except(F.coalesce(F.map_keys("raw"), _texts([]).cast("array<string>")), _texts(POLICY_FIELDS)),
         F.transform(F.array_except(F.coalesce(F.map_keys(F.from_json(F.element_at("raw", "selector"), "MAP<STRING, STRING>")), _texts([]).cast("array<string>")), _texts(SELECTOR_FIELDS)),
                     lambda name: F.concat(F.lit("selector."), name)))
-    error = F.when(F.size(unknown) > 0, F.concat(F.lit("unknown_field:"), F.element_at(unknown, 1)))
+    error = F.when(F.col("document_error").isNotNull(), F.col("document_error")).when(F.size(unknown) > 0, F.concat(F.lit("unknown_field:"), F.element_at(unknown, 1)))
     for field in ("window", "triggerFor", "clearFor"):
         error = error.when(F.col(f"p.{field}").isNull(), f"missing_field:{field}").when(parse_duration_ms(F.col(f"p.{field}")).isNull(), f"bad_duration:{field}")
     for field in ("cooldown", "holdDown", "eventUpdateInterval"):
@@ -82,9 +93,12 @@ def policies_of(documents: DataFrame) -> DataFrame:
     gets wrong; such a draft fails validation and is never selected.
     """
     if "raw" not in documents.columns:
-        documents = documents.withColumn("unknown", F.lit(None).cast("array<string>")).withColumn("raw", F.lit(None).cast("array<map<string,string>>"))
-    each = documents.select("defaults", "unknown", F.col("raw").alias("_raw"), F.posexplode("policies").alias("position", "p"))
-    each = each.withColumn("raw", F.try_element_at("_raw", F.col("position") + 1)).withColumn("source_error", source_error()).drop("_raw", "raw", "unknown")
+        documents = documents.withColumn("raw", F.lit(None).cast("array<map<string,string>>"))
+    for name in ("source", "document_error"):
+        if name not in documents.columns:
+            documents = documents.withColumn(name, F.lit(None).cast("string"))
+    each = documents.select("defaults", "source", "document_error", F.col("raw").alias("_raw"), F.posexplode("policies").alias("position", "p"))
+    each = each.withColumn("raw", F.try_element_at("_raw", F.col("position") + 1)).withColumn("source_error", source_error()).drop("_raw", "raw")
 
     def pick(field: str):
         return F.coalesce(F.col(f"p.{field}"), F.col(f"defaults.{field}"), F.lit(DEFAULTS[field]))
@@ -107,7 +121,7 @@ def policies_of(documents: DataFrame) -> DataFrame:
         parse_duration_ms(pick("eventUpdateInterval")).alias("event_update_ms"),
         pick("severity").alias("severity"), pick("executionMode").alias("mode"), F.coalesce("p.priority", F.lit(0)).alias("priority"),
         F.coalesce("p.labels", F.create_map().cast("map<string,string>")).alias("labels"),
-        F.coalesce("p.version", F.lit(1).cast("bigint")).alias("version"), "position", "source_error",
+        F.coalesce("p.version", F.lit(1).cast("bigint")).alias("version"), "position", "source_error", "source", "document_error",
     )
 
 
@@ -118,14 +132,18 @@ def tenant_prefixes_of(documents: DataFrame) -> DataFrame:
 
 
 def read_policies(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Policies of a document; a strict read refuses one whose text is wrong, naming every position and field."""
-    drafts = policies_of(read_documents(spark, path))
+    """Policies of a document or a folder of them; a strict read refuses what is wrong, naming every file, position and field."""
+    documents = read_documents(spark, path)
+    drafts = policies_of(documents)
     if not strict:
         return drafts
-    bad = drafts.where("source_error IS NOT NULL").orderBy("position").select("position", "policy_id", "source_error").collect()
-    if bad:
-        raise ValueError("policies: " + "; ".join(f"{r['policy_id']} at {r['position']}: {r['source_error']}" for r in bad))
-    return drafts.drop("position", "source_error")
+    whole = documents.where("document_error IS NOT NULL").orderBy("source").select("source", "document_error").collect()
+    bad = drafts.where("source_error IS NOT NULL AND NOT source_error <=> document_error").orderBy("source", "position").select(
+        "source", "position", "policy_id", "source_error").collect()
+    if whole or bad:
+        faults = [f"{r['source']}: {r['document_error']}" for r in whole] + [f"{r['source']}: {r['policy_id']} at {r['position']}: {r['source_error']}" for r in bad]
+        raise ValueError("policies: " + "; ".join(faults))
+    return drafts.drop("position", "source_error", "document_error", "source")
 
 
 def to_documents(policies: DataFrame) -> DataFrame:

@@ -4,8 +4,11 @@ import json
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from floodplain.operators import case
 from floodplain.operators import incidents as inc
 from floodplain.operators.case import MINUTE, Case, CasePolicy, category_of
 
@@ -281,3 +284,28 @@ def test_a_key_delivered_very_often_passes_once(spark):
         F.lit("alerted").alias("action"), F.timestamp_seconds(F.lit(0)).alias("observed_at"), F.lit(0).cast("bigint").alias("sequence"))
     counts = {r["gate"]: r["n"] for r in inc.gate_events(df).groupBy("gate").agg(F.count("*").alias("n")).collect()}
     assert counts == {None: 101, "duplicate": 2999}
+
+
+TEXTS = st.one_of(st.none(), st.just("{"), st.just("[]"), st.just("7"), st.just('"x"'), st.dictionaries(
+    st.sampled_from(["title", "severity", "priority", "reason", "duration_s", "assignee", "body", "note_index", "key", "value", "visibility", "note", "description", "more"]),
+    st.one_of(st.none(), st.booleans(), st.integers(-3, 3), st.integers(), st.floats(allow_nan=False), st.text(max_size=3), st.sampled_from(["minor", "critical", "P1", "customer_visible", "an hour"]),
+              st.lists(st.integers(), max_size=2), st.dictionaries(st.text(max_size=1), st.integers(), max_size=1))).map(json.dumps))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([*case.ARGUMENTS, "dance", ""]), TEXTS), max_size=30))
+def test_no_command_ends_the_fold(commands):
+    """Whatever an operator sends, the result is one of the known ones, and a refusal changes nothing."""
+    held = case.Case("4|incoming|host|4:acme|x", CasePolicy())
+    held.command(0, {"command_id": "c", "verb": "open_manual", "args": '{"title": "t", "severity": "minor"}', "incident_id": None, "expected_version": None, "actor": None})
+    for n, (verb, args) in enumerate(commands):
+        held.advance(n)
+        before = json.dumps(held.incidents)
+        held.command(n, {"command_id": f"c{n}", "verb": verb, "args": args, "incident_id": None, "expected_version": None, "actor": None})
+        result = json.loads(held.out[-1][5])["result"]
+        assert result in ("applied", "validation_error", "not_found", "state_unchanged", "invalid_transition", "unknown_command", "duplicate_active_incident", "open_incident_already_exists")
+        if result != "applied":
+            assert json.dumps(held.incidents) == before
+        for incident in held.incidents:
+            assert incident["severity"] in case.SEVERITIES and incident["priority"] in case.PRIORITIES.values()
+            assert incident["suppressed_until"] is None or isinstance(incident["suppressed_until"], int)

@@ -97,7 +97,6 @@ def test_earlier_rows_by_slices_equal_one_window(spark):
     df = spark.createDataFrame(rows, "k STRING, t LONG, v INT, other DOUBLE")
     facts = {"newest": ("last", F.struct("v", "t")), "kept": ("last", F.col("v")), "top": ("max", F.col("v"))}
     for sliced in (slices.by_range(df.repartition(9), ["k"], "t"), slices.by_time(df, F.col("t") * 1000, 17)):
-        assert sliced.select(slices.SLICE).distinct().count() > 3
         found = {r.t: r for r in slices.before(sliced, ["k"], ["t"], facts).collect()}
         for k, t, *_ in rows:
             earlier = [r for r in rows if r[0] == k and r[1] < t]
