@@ -83,6 +83,13 @@ def fold_rows(evaluated: DataFrame, keep: list[str] = (), as_text: bool = True)
     )
 
 
+def reset_rows(resets: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Commands in the form the state machine takes: a row carries its reason in place of a policy."""
+    return resets.withColumn("scope_key", scope_key()).select(
+        "scope_key", F.unix_micros(F.col("at").cast("timestamp")).alias("t"), F.lit(False).alias("is_snapshot"),
+        F.col("reason").alias("policy_id"), *keep)
+
+
 def episodes(rows: DataFrame, stale_after_ms: int = STALE_AFTER_MS, slot_ms: int = SLOT_MS) -> DataFrame:
     """Cut each scope's history where its state is certainly idle, and keep only
     the stretches from a first crossing on.
@@ -176,10 +183,7 @@ def detect(evaluated: DataFrame, asof: int | None = None, resets: DataFrame | No
     """
     rows = fold_rows(evaluated, as_text=False)
     if resets is not None:
-        commands = resets.withColumn("scope_key", scope_key()).select(
-            "scope_key", F.unix_micros(F.col("at").cast("timestamp")).alias("t"), F.lit(False).alias("is_snapshot"),
-            F.col("reason").alias("policy_id"))
-        rows = rows.unionByName(commands, allowMissingColumns=True)
+        rows = rows.unionByName(reset_rows(resets), allowMissingColumns=True)
     stale, clock = stale_after_ms * 1000, None if asof is None else asof * 1_000_000
     schema = f"scope_key STRING, episode BIGINT, {LOG_COLUMNS}"
     cut = episodes(rows, stale_after_ms).withColumn("_turn", in_turn()).withColumn("payload", F.to_json("payload"))

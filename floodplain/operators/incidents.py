@@ -70,13 +70,15 @@ def case_rows(gated: DataFrame, commands: DataFrame | None = None, keep: list[st
         F.col("event_id").alias("at_id"), (F.col("kind") == "ended").alias("ended"), "detection_id",
         F.to_json(F.struct(*EVENT_FACTS)).alias("body"), *keep,
     )
-    if commands is not None:
-        more = commands.withColumn("correlation_key", correlation_key()).select(
-            "correlation_key", "tenant", F.unix_micros(F.col("at").cast("timestamp")).alias("t"), F.lit(False).alias("is_event"),
-            F.lit(False).alias("repeat"), F.lit(None).cast("bigint").alias("at_sequence"), F.col("command_id").alias("at_id"),
-            F.lit(False).alias("ended"), F.lit(None).cast("string").alias("detection_id"), F.to_json(F.struct(*COMMAND_FACTS)).alias("body"))
-        rows = rows.unionByName(more)
-    return rows
+    return rows if commands is None else rows.unionByName(command_rows(commands))
+
+
+def command_rows(commands: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Operator commands in the same form."""
+    return commands.withColumn("correlation_key", correlation_key()).select(
+        "correlation_key", "tenant", F.unix_micros(F.col("at").cast("timestamp")).alias("t"), F.lit(False).alias("is_event"),
+        F.lit(False).alias("repeat"), F.lit(None).cast("bigint").alias("at_sequence"), F.col("command_id").alias("at_id"),
+        F.lit(False).alias("ended"), F.lit(None).cast("string").alias("detection_id"), F.to_json(F.struct(*COMMAND_FACTS)).alias("body"), *keep)
 
 
 ORDER = ["t", "at_sequence", "at_id"]

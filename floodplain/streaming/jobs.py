@@ -18,7 +18,7 @@ from ..operators.case import CasePolicy
 from ..operators.evaluate import evaluate
 from ..operators.policy import select_policy
 from ..sources import tables
-from .state import BucketAdapter, CaseAdapter, DetectAdapter, RepeatAdapter, keyed_fold
+from .state import BucketAdapter, CaseAdapter, DeliveryAdapter, DetectAdapter, RepeatAdapter, keyed_fold
 
 
 def _start(df: DataFrame, write, checkpoint: str, mode: str = "append", available_now: bool = True) -> StreamingQuery:
@@ -42,15 +42,24 @@ def stream_snapshots(classified: DataFrame, window_ms: int, path: str, checkpoin
     return _start(snaps, lambda df, n: tables.write_batch(df, path, n), checkpoint, available_now=available_now)
 
 
-def detection_log(snaps: DataFrame, policies: DataFrame, stale_after_ms: int = detect.STALE_AFTER_MS, watermark: str = "1 minute") -> DataFrame:
-    """The detection log of a stream of snapshots."""
-    timed = snaps.withWatermark("window_end", watermark)
-    rows = detect.fold_rows(evaluate(select_policy(timed, policies), policies), keep=["window_end"])
-    return keyed_fold(rows, ["scope_key"], DetectAdapter(stale_after_ms), f"scope_key STRING, {detect.LOG_COLUMNS}")
+def detection_log(snaps: DataFrame, policies: DataFrame, stale_after_ms: int = detect.STALE_AFTER_MS, watermark: str = "1 minute",
+                  resets: DataFrame | None = None) -> DataFrame:
+    """The detection log of a stream of snapshots and, if given, one of commands as ``detect`` takes them.
+
+    Both inputs are one stream of rows with one watermark: a row waits until the
+    newest row of either is ``watermark`` further on, and is applied in the order of
+    time. So ``watermark`` must cover how far one input may lag behind the other; what comes later
+    than that is dropped.
+    """
+    rows = detect.fold_rows(evaluate(select_policy(snaps, policies), policies), keep=[F.col("window_end").alias("event_time")])
+    if resets is not None:
+        commands = detect.reset_rows(resets, keep=[F.col("at").cast("timestamp").alias("event_time")])
+        rows = rows.unionByName(commands, allowMissingColumns=True)
+    return keyed_fold(rows.withWatermark("event_time", watermark), ["scope_key"], DetectAdapter(stale_after_ms), f"scope_key STRING, {detect.LOG_COLUMNS}")
 
 
 def stream_detection(snaps: DataFrame, policies: DataFrame, path: str, checkpoint: str, stale_after_ms: int = detect.STALE_AFTER_MS,
-                     watermark: str = "1 minute", available_now: bool = True) -> StreamingQuery:
+                     watermark: str = "1 minute", available_now: bool = True, resets: DataFrame | None = None) -> StreamingQuery:
     """Events under ``path/events`` and transitions under ``path/transitions``."""
     def write(df: DataFrame, n: int) -> None:
         df.persist()  # two sinks, one fold
@@ -58,17 +67,22 @@ def stream_detection(snaps: DataFrame, policies: DataFrame, path: str, checkpoin
         tables.write_batch(df.where("record <> 'event'").drop("payload", "peak"), os.path.join(path, "transitions"), n)
         df.unpersist()
 
-    return _start(detection_log(snaps, policies, stale_after_ms, watermark), write, checkpoint, available_now=available_now)
+    return _start(detection_log(snaps, policies, stale_after_ms, watermark, resets), write, checkpoint, available_now=available_now)
+
 
+def correlation_log(events: DataFrame, policy: CasePolicy = CasePolicy(), watermark: str = "10 minutes", commands: DataFrame | None = None) -> DataFrame:
+    """The incident log of a stream of detection events and, if given, one of operator commands.
 
-def correlation_log(events: DataFrame, policy: CasePolicy = CasePolicy(), watermark: str = "10 minutes") -> DataFrame:
-    """The incident log of a stream of detection events, each key delivered once."""
-    timed = events.withWatermark("observed_at", watermark)
+    Each event key and each command is applied once. As in ``detection_log`` rows
+    of both inputs are applied in the order of time behind one watermark.
+    """
     forged = (F.col("schema_version") > detect.EVENT_SCHEMA_VERSION) | F.col("executed") | (F.col("action") == "observed")
-    once = timed.where(~forged).dropDuplicatesWithinWatermark(["tenant", "dedup_key"])
-    rows = incidents.case_rows(once.withColumn("gate", F.lit(None).cast("string")), keep=["observed_at"])
+    rows = incidents.case_rows(events.where(~forged).withColumn("gate", F.lit(None).cast("string")), keep=["dedup_key", F.col("observed_at").alias("event_time")])
+    if commands is not None:
+        rows = rows.unionByName(incidents.command_rows(commands, keep=[F.col("command_id").alias("dedup_key"), F.col("at").cast("timestamp").alias("event_time")]))
+    once = rows.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["tenant", "is_event", "dedup_key"])
     schema = "correlation_key STRING, record STRING, t BIGINT, n BIGINT, incident_id STRING, ref STRING, body STRING"
-    return keyed_fold(rows, ["correlation_key"], CaseAdapter(policy), schema)
+    return keyed_fold(once, ["correlation_key"], CaseAdapter(policy), schema)
 
 
 def stopped_events(events: DataFrame) -> DataFrame:
@@ -79,9 +93,9 @@ def stopped_events(events: DataFrame) -> DataFrame:
 
 
 def stream_correlation(events: DataFrame, path: str, checkpoint: str, policy: CasePolicy = CasePolicy(), watermark: str = "10 minutes",
-                       available_now: bool = True) -> StreamingQuery:
+                       available_now: bool = True, commands: DataFrame | None = None) -> StreamingQuery:
     """The incident log, by batch; ``current_incidents`` reads the newest versions."""
-    return _start(correlation_log(events, policy, watermark), lambda df, n: tables.write_batch(df, path, n), checkpoint, available_now=available_now)
+    return _start(correlation_log(events, policy, watermark, commands), lambda df, n: tables.write_batch(df, path, n), checkpoint, available_now=available_now)
 
 
 def current_incidents(spark: SparkSession, path: str) -> DataFrame:
@@ -110,6 +124,12 @@ def limited_messages(messages: DataFrame, per_minute: int = notify.PER_MINUTE, w
     return keyed_fold(message_rows(messages, watermark), ["channel"], BucketAdapter(per_minute), schema)
 
 
+def delivered_messages(messages: DataFrame, window_seconds: int = notify.DEDUP_SECONDS, per_minute: int = notify.PER_MINUTE, watermark: str = "1 minute") -> DataFrame:
+    """``outcome`` for a stream of messages, both rules together as in ``deliverable``: what the limit drops blocks no repeat."""
+    schema = f"channel STRING, t BIGINT, message_id {dict(messages.dtypes)['message_id']}, outcome STRING"
+    return keyed_fold(message_rows(messages, watermark), ["channel"], DeliveryAdapter(window_seconds * 1_000_000, per_minute), schema)
+
+
 def stream_table(df: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Any of these streams into a table, by batch."""
     return _start(df, lambda batch, n: tables.write_batch(batch, path, n), checkpoint, available_now=available_now)

@@ -1,7 +1,9 @@
 """One stateful processor for every keyed fold.
 
 The state objects are those of the batch folds; here they are stored as text per
-key, and event-time timers stand in for the as-of clock.
+key, and event-time timers stand in for the as-of clock. Rows wait until the
+watermark has passed them and are then applied in the order of their times, so
+that neither micro-batches nor several inputs decide what goes first.
 """
 
 from __future__ import annotations
@@ -15,15 +17,16 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.case import Case, CasePolicy
+from ..operators.detect import POLICY_ENDS, TIMERS
 from ..operators.incidents import COMMAND_FACTS
 from ..operators.machine import Scope
-from ..operators.notify import Bucket, Repeats
+from ..operators.notify import Bucket, Delivery, Repeats
 
 STATE = T.StructType([T.StructField("text", T.StringType())])
 
 
 class KeyedFold(StatefulProcessor):
-    """``adapter`` is picklable: load, apply, due, expire, dump; see below."""
+    """``adapter`` is picklable: COLUMNS, load, apply, due, expire, dump; see below."""
 
     def __init__(self, adapter, names: list[str]):
         self.adapter, self.names = adapter, names
@@ -31,28 +34,47 @@ class KeyedFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("state", STATE)
+        self.waiting = handle.getListState("waiting", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        folder = self.adapter.load(key, self.value.get()[0] if self.value.exists() else None)
-        batch = pd.concat(list(rows), ignore_index=True)  # one key's rows of one micro-batch
-        batch = batch.astype(object).where(batch.notna(), None)
-        yield from self._done(key, folder, self.adapter.apply(folder, batch))
+        fresh = []
+        for frame in rows:
+            frame = frame[self.adapter.COLUMNS].astype(object)
+            fresh += frame.where(frame.notna(), None).to_dict("records")
+        yield from self._step(key, fresh, timerValues.getCurrentWatermarkInMs(), None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        folder = self.adapter.load(key, self.value.get()[0] if self.value.exists() else None)
-        yield from self._done(key, folder, self.adapter.expire(folder, expiredTimerInfo.getExpiryTimeInMs()))
+        yield from self._step(key, [], timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
 
-    def _done(self, key, folder, out):
+    def _step(self, key, fresh: list[dict], watermark: int, expired: int | None) -> Iterator[pd.DataFrame]:
+        folder = self.adapter.load(key, self.value.get()[0] if self.value.exists() else None)
+        held = [json.loads(row[0]) for row in self.waiting.get()] if self.waiting.exists() else []
+        passed = lambda row: int(row["t"]) // 1000 <= watermark
+        ready = [row for row in [*held, *fresh] if passed(row)]
+        later = [row for row in [*held, *fresh] if not passed(row)]
+        out = self.adapter.apply(folder, pd.DataFrame(ready, columns=self.adapter.COLUMNS, dtype=object)) if ready else []
+        if expired is not None:
+            out = [*out, *self.adapter.expire(folder, expired)]
+        text = lambda row: (json.dumps(row, default=lambda x: x.item()),)
+        if len(later) < len(held) + len(fresh) and held:
+            self.waiting.put([text(row) for row in later]) if later else self.waiting.clear()
+        elif later[len(held):]:
+            self.waiting.appendList([text(row) for row in later[len(held):]])
+        yield from self._done(key, folder, out, later)
+
+    def _done(self, key, folder, out, later):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         text = self.adapter.dump(folder)
+        due = [int(row["t"]) // 1000 for row in later]
         if text is None:
             self.value.clear()
         else:
             self.value.update((text,))
-            due = self.adapter.due(folder)
-            if due is not None:
-                self.handle.registerTimer(due)
+            due.append(self.adapter.due(folder))
+        due = [moment for moment in due if moment is not None]
+        if due:
+            self.handle.registerTimer(min(due))
         if out:
             rows = [tuple(key) + tuple(r) for r in out]
             yield pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(self.names, zip(*rows))})
@@ -68,7 +90,9 @@ def keyed_fold(df: DataFrame, keys: list[str], adapter, schema: str) -> DataFram
 
 
 class DetectAdapter:
-    """Scopes: rows of ``fold_rows``."""
+    """Scopes: rows of ``fold_rows`` and ``reset_rows``."""
+
+    COLUMNS = ["t", "is_snapshot", "over", "below", "crossed", "policy_id", "policy_version", *TIMERS, "payload"]
 
     def __init__(self, stale_after_ms: int):
         self.stale = stale_after_ms * 1000
@@ -77,8 +101,12 @@ class DetectAdapter:
         return Scope.load(text)
 
     def apply(self, scope, batch):
-        for r in batch.sort_values("t", kind="stable").itertuples():
+        turn = [1 if snapshot else 0 if reason in POLICY_ENDS else 2 for snapshot, reason in zip(batch["is_snapshot"], batch["policy_id"])]
+        for r in batch.assign(turn=turn).sort_values(["t", "turn"], kind="stable").itertuples():
             scope.sweep(int(r.t), self.stale, inclusive=False)
+            if not r.is_snapshot:
+                scope.end(int(r.t), r.policy_id)  # a command row carries its reason here
+                continue
             timers = [int(x) * 1000 for x in (r.trigger_for_ms, r.clear_for_ms, r.cooldown_ms, r.hold_down_ms, r.event_update_ms)]
             matched = json.loads(r.crossed) if r.crossed else []
             scope.snapshot(int(r.t), bool(r.over), bool(r.below), matched, (r.policy_id, int(r.policy_version), *timers), r.payload)
@@ -92,7 +120,7 @@ class DetectAdapter:
         scope.sweep(now_ms * 1000, self.stale)
         # Quiet for so long a scope is idle, whatever it was: nothing of it is
         # kept. Rows older than its newest one are below the watermark by now.
-        scope.forgotten = scope.state == "idle"
+        scope.forgotten = scope.state == "idle" and (scope.last_snapshot is None or now_ms * 1000 >= scope.last_snapshot + self.stale)
         return scope.drain()
 
     def dump(self, scope):
@@ -102,6 +130,8 @@ class DetectAdapter:
 class CaseAdapter:
     """Correlation keys: rows of ``case_rows``."""
 
+    COLUMNS = ["t", "at_sequence", "at_id", "is_event", "repeat", "body"]
+
     def __init__(self, policy: CasePolicy):
         self.policy = policy
 
@@ -146,6 +176,8 @@ class CaseAdapter:
 class RepeatAdapter:
     """Repeats of one (channel, incident, event): rows of ``message_rows``."""
 
+    COLUMNS = ["t", "message_id"]
+
     def __init__(self, window_us: int):
         self.window = window_us
 
@@ -162,7 +194,7 @@ class RepeatAdapter:
         return (folder.sent + self.window) // 1000 + 1
 
     def expire(self, folder, now_ms):
-        if now_ms * 1000 >= folder.sent + self.window:
+        if folder.sent is not None and now_ms * 1000 >= folder.sent + self.window:
             folder.sent = None  # the next one is sent whatever was before
         return []
 
@@ -173,6 +205,8 @@ class RepeatAdapter:
 class BucketAdapter:
     """The token bucket of one channel: rows of ``message_rows``."""
 
+    COLUMNS = ["t", "message_id"]
+
     def __init__(self, per_minute: int):
         self.per_minute = per_minute
 
@@ -188,9 +222,51 @@ class BucketAdapter:
         return (folder.last + 60_000_000) // 1000 + 1
 
     def expire(self, folder, now_ms):
-        if now_ms * 1000 >= folder.last + 60_000_000:
+        if folder.last is not None and now_ms * 1000 >= folder.last + 60_000_000:
             folder.last = None  # full again
         return []
 
     def dump(self, folder):
         return None if folder.last is None else json.dumps([folder.tokens, folder.last])
+
+
+class DeliveryAdapter:
+    """Repeats and the bucket of one channel together: rows of ``message_rows``."""
+
+    COLUMNS = ["t", "message_id", "incident_id", "event_type"]
+
+    def __init__(self, window_us: int, per_minute: int):
+        self.window, self.per_minute = window_us, per_minute
+
+    def load(self, key, text):
+        folder = Delivery(self.window, self.per_minute)
+        if text:
+            held = json.loads(text)
+            folder.bucket.tokens, folder.bucket.last = held["bucket"]
+            folder.sent = {(incident, event): t for incident, event, t in held["sent"]}
+        return folder
+
+    def apply(self, folder, batch):
+        ordered = batch.sort_values(["t", "message_id"], kind="stable")
+        out = [row for t, *facts in ordered[self.COLUMNS].itertuples(index=False) for row in folder.row(int(t), *facts)]
+        self._forget(folder, int(ordered["t"].iloc[-1]))
+        return out
+
+    def _forget(self, folder, now):
+        folder.sent = {key: t for key, t in folder.sent.items() if now - t < self.window}
+        if folder.bucket.last is not None and now >= folder.bucket.last + 60_000_000:
+            folder.bucket.tokens, folder.bucket.last = folder.bucket.full, None
+
+    def due(self, folder):
+        moments = [t + self.window for t in folder.sent.values()] + ([folder.bucket.last + 60_000_000] if folder.bucket.last is not None else [])
+        return max(moments) // 1000 + 1 if moments else None
+
+    def expire(self, folder, now_ms):
+        self._forget(folder, now_ms * 1000)
+        return []
+
+    def dump(self, folder):
+        if not folder.sent and folder.bucket.last is None:
+            return None
+        sent = [[*key, t] for key, t in folder.sent.items()]
+        return json.dumps({"bucket": [folder.bucket.tokens, folder.bucket.last], "sent": sent}, default=lambda x: x.item())

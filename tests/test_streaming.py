@@ -99,7 +99,7 @@ def test_streamed_correlation_equals_batch_correlation(spark, sf, tmp_path, part
     assert {r[0] for r in current.select("incident_id").collect()} == {r[0] for r in inc.incidents_of(batch).select("incident_id").collect()}
 
 
-@pytest.mark.parametrize("kind", ["kept", "sent"])
+@pytest.mark.parametrize("kind", ["kept", "sent", "outcome"])
 def test_streamed_message_limits_equal_batch_limits(spark, sf, tmp_path, kind):
     from checks import incident_checks as ic
     from floodplain.operators import notify as ntf
@@ -107,14 +107,76 @@ def test_streamed_message_limits_equal_batch_limits(spark, sf, tmp_path, kind):
     messages = ic.messages(spark, sf).persist()
     source = split_by_time(messages, str(tmp_path / "messages"), "at", 3)
     live = stream(spark, source, messages.schema)
-    limited = jobs.kept_messages(live, watermark="0 seconds") if kind == "kept" else jobs.limited_messages(live, 2, "0 seconds")
+    limited = {"kept": lambda: jobs.kept_messages(live, watermark="0 seconds"), "sent": lambda: jobs.limited_messages(live, 2, "0 seconds"),
+               "outcome": lambda: jobs.delivered_messages(live, per_minute=2, watermark="0 seconds")}[kind]()
     out = str(tmp_path / "out")
     run(jobs.stream_table(limited, out, str(tmp_path / "cp")))
-    batch = ntf.dedup_notifications(messages) if kind == "kept" else ntf.rate_limit(messages, 2)
+    batch = {"kept": lambda: ntf.dedup_notifications(messages), "sent": lambda: ntf.rate_limit(messages, 2), "outcome": lambda: ntf.deliverable(messages, per_minute=2)}[kind]()
     rows = lambda df: sorted(map(tuple, df.select("message_id", kind).collect()))
     assert rows(spark.read.parquet(out)) == rows(batch)
 
 
+def jumbled(df, path, time, parts, seed):
+    """Files that overlap in time: a row comes up to one file early or late; the last file's one row, a year on, moves the watermark past all."""
+    bounds = df.agg(F.min(F.unix_micros(time)).alias("a"), F.max(F.unix_micros(time)).alias("b")).first()
+    width = (bounds["b"] - bounds["a"]) // parts + 1
+    shift = F.floor(F.rand(seed) * 2) - 1
+    place = F.greatest(F.lit(0), F.floor((F.unix_micros(time) - bounds["a"]) / width) + shift)
+    numbered = df.withColumn("_part", place).persist()
+    for k in range(parts):
+        numbered.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return width // 1_000_000 * 3 + 10
+
+
+def a_year_on(df, path, time, **other):
+    far = df.orderBy(F.desc(time), *sorted(set(df.columns) & {"bps", "event_id"})).limit(1).withColumns({name: F.lit(value) for name, value in other.items()})
+    far.withColumn(time, F.col(time) + F.expr("INTERVAL 1 YEAR")).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_streamed_detection_with_resets_out_of_order_equals_batch(spark, sf, tmp_path):
+    known = policies(spark, sf)
+    snaps = dc.snapshots(spark, sf).persist()
+    evaluated = dc.evl.evaluate(dc.pol.select_policy(snaps, known), known)
+    stale = 7_200_000
+    # A reset at the very moment of an opening and one a little after another.
+    opened = dt.detect(evaluated, 2**33, stale_after_ms=stale).where("kind = 'started'").agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    scopes = snaps.select(*dc.det.SCOPE, "scope_display").distinct()
+    moments = F.explode(F.array(F.timestamp_micros(F.lit(opened["a"])), F.timestamp_micros(F.lit(opened["b"] + 60_000_000))))
+    resets = scopes.select("*", moments.alias("at"), F.lit("manualReset").alias("reason")).persist()
+    delay = jumbled(snaps, str(tmp_path / "snaps"), "window_end", 4, 1)
+    watched = dc.pol.select_policy(snaps, known).where("policy_id IS NOT NULL").select(*snaps.columns)
+    a_year_on(watched, str(tmp_path / "snaps"), "window_end", scope_display="later")
+    resets.coalesce(1).write.parquet(str(tmp_path / "resets"))
+    out = str(tmp_path / "out")
+    run(jobs.stream_detection(stream(spark, str(tmp_path / "snaps"), snaps.schema), known, out, str(tmp_path / "cp"), stale, f"{delay} seconds",
+                              resets=stream(spark, str(tmp_path / "resets"), resets.schema)))
+    want = dt.detection_events(dt.detect(evaluated, 2**33, resets=resets, stale_after_ms=stale)).collect()
+    got = spark.read.parquet(os.path.join(out, "events")).where("target <> 'later'").collect()
+    assert sum(r.reason == "manualReset" for r in want) >= 2
+    assert keyed(got, "batch_id") == keyed(want)
+
+
+def test_streamed_correlation_with_commands_out_of_order_equals_batch(spark, sf, tmp_path):
+    from checks import incident_checks as ic
+
+    events = ic.arrivals(spark, sf).persist()
+    bounds = events.agg(F.min("observed_at").alias("a"), F.max("observed_at").alias("b")).first()
+    middle = (bounds["a"].timestamp() + bounds["b"].timestamp()) / 2
+    commands = ic.commands(spark, sf).withColumn("at", F.timestamp_seconds(F.lit(int(middle)) + F.unix_seconds("at") - F.lit(ic.ASOF)))
+    commands = commands.unionByName(ic.scripted(spark, sf).withColumn("at", F.timestamp_seconds(F.lit(int(middle)) + F.unix_seconds("at") - F.lit(ic.ASOF)))).persist()
+    delay = jumbled(events, str(tmp_path / "events"), "observed_at", 3, 2)
+    a_year_on(events, str(tmp_path / "events"), "observed_at", target="later", dedup_key="later")
+    for part in (0, 1):  # delivered twice: applied once
+        commands.coalesce(1).write.mode("append").parquet(str(tmp_path / "commands"))
+    out = str(tmp_path / "out")
+    run(jobs.stream_correlation(stream(spark, str(tmp_path / "events"), events.schema), out, str(tmp_path / "cp"), watermark=f"{delay} seconds",
+                                commands=stream(spark, str(tmp_path / "commands"), commands.schema)))
+    log = lambda df: sorted(map(str, df.where("record IN ('outcome', 'link', 'command') AND correlation_key NOT LIKE '%later'").select(
+        "correlation_key", "record", "t", "incident_id", "ref", "body").collect()))
+    got, want = log(spark.read.parquet(out)), log(inc.correlate(events, commands))
+    assert sum("'command'" in row or "record='command'" in row for row in want) > 500 and got == want
+
+
 def test_stopped_events_of_a_stream_equal_the_gate(spark, sf, tmp_path):
     from checks import incident_checks as ic
 
@@ -150,7 +212,7 @@ def test_state_of_closed_incidents_and_idle_scopes_stays_flat():
     assert ended == 200 and max(sizes[100:]) <= max(sizes[:20]) + 64
     adapter = DetectAdapter(60_000)
     scope = adapter.load(("key",), None)
-    row = {"t": 10**9, "over": False, "below": True, "crossed": None, "policy_id": "p", "policy_version": 1, "payload": "{}"}
+    row = {"t": 10**9, "is_snapshot": True, "over": False, "below": True, "crossed": None, "policy_id": "p", "policy_version": 1, "payload": "{}"}
     timers = dict.fromkeys(["trigger_for_ms", "clear_for_ms", "cooldown_ms", "hold_down_ms", "event_update_ms"], 1000)
     adapter.apply(scope, pd.DataFrame([{**row, **timers}]))
     assert adapter.dump(scope) is not None
