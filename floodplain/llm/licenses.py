@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodplain.session import cut_lineage
@@ -17,8 +17,10 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 @dataclass(frozen=True)
 class Template:
-    """``words`` in lower case. A phrase is sought whole and in order in a whole text,
-    any other template by the share of its distinct words that one line holds."""
+    """``words`` in lower case. A phrase is sought whole and in order in a whole text, any
+    other template by the share of its distinct words that a block of the text holds: one
+    line, or as many words as SPREAD templates from a line's beginning on, past line ends but not
+    past a line without words."""
 
     name: str
     label: str
@@ -44,6 +46,9 @@ TEMPLATES = (
     Template("reserved", "all-rights-reserved", "all rights reserved"),
 )
 
+#: How many times as long as a template the stretch over line ends is in which it is sought.
+SPREAD = 2
+
 #: Templates are literals of the plan; their words are the only thing counted on the driver.
 MAX_TEMPLATE_WORDS = 5000
 
@@ -91,18 +96,19 @@ def entries(templates: tuple[Template, ...], order: list[str], threshold: float)
     return out
 
 
-def similar_blocks(blocks: DataFrame, words: str, keep: list[str], templates: tuple[Template, ...], order: list[str], threshold: float, only: Column | None = None) -> DataFrame:
+def similar_blocks(blocks: DataFrame, words: str, keep: list[str], templates: tuple[Template, ...], order: list[str], threshold: float, only: Column | None = None, spread: int | None = None) -> DataFrame:
     """``keep`` columns with the templates a block contains to the needed share: ``template, shared, size``.
 
     A block's words are put into the common order; those in some prefix are joined
     with the prefixes, pairs are dropped whose sizes or places leave too few words
-    to share, and the rest are counted exactly. The prefixes are a table as long
+    to share, and the rest are counted exactly; with ``spread`` within the block's
+    first words, so many times as long as the template. The prefixes are a table as long
     as the templates and are broadcast.
     """
     spark = blocks.sparkSession
     prefix = entries(templates, order, threshold)
-    tables = [(n, len(set(t.words.split())), needed(t, threshold), sorted(order.index(w) for w in set(t.words.split())), t.phrase) for n, t in enumerate(templates)]
-    facts = spark.createDataFrame(tables, "template INT, size INT, need INT, ranks ARRAY<INT>, phrase BOOLEAN")
+    tables = [(n, len(set(t.words.split())), needed(t, threshold), sorted(order.index(w) for w in set(t.words.split())), t.phrase, t.words.split()) for n, t in enumerate(templates)]
+    facts = spark.createDataFrame(tables, "template INT, size INT, need INT, ranks ARRAY<INT>, phrase BOOLEAN, terms ARRAY<STRING>")
     starts = spark.createDataFrame(prefix, "template INT, place INT, rank INT")
     table = F.broadcast(starts.join(facts if only is None else facts.where(only), "template"))
     rarest = strings(sorted({order[rank] for _, _, rank in prefix}))
@@ -115,6 +121,8 @@ def similar_blocks(blocks: DataFrame, words: str, keep: list[str], templates: tu
     # Of several common prefix words the first one stands for the pair.
     first = F.element_at(F.array_intersect("_held", "ranks"), 1) == F.col("_rank")
     shared = F.size(F.array_intersect("_held", "ranks"))
+    if spread is not None:
+        shared = F.size(F.array_intersect(F.slice(words, 1, F.size("terms") * spread), "terms"))
     return found.where(first & (shared >= F.col("need"))).select(*keep, "template", shared.alias("shared"), "size")
 
 
@@ -143,16 +151,33 @@ def matches(scanned: DataFrame, order: list[str], threshold: float, templates: t
     # A line can only contain what its text contains, so only such texts are cut.
     lines = text_hits.where(sought.isNull()).groupBy("id", "text_hash").agg(F.first("low").alias("low"))
     lines = lines.select("id", "text_hash", F.posexplode(F.split("low", "\n", -1)).alias("line", "block")).withColumn("words", words_of(F.col("block")))
-    near = similar_blocks(lines, "words", ["id", "text_hash", "line"], templates, order, threshold, only=~F.col("phrase")).select(
-        "id", "text_hash", "template", "line", (F.col("shared") / F.col("size")).alias("share"), F.lit(None).cast("array<int>").alias("places"))
-    return phrases.unionByName(near)
+    keep = ["id", "text_hash", "line"]
+    near = similar_blocks(lines, "words", keep, templates, order, threshold, only=~F.col("phrase"))
+    near = near.unionByName(similar_blocks(stretches(lines, templates), "stretch", keep, templates, order, threshold, only=~F.col("phrase"), spread=SPREAD))
+    near = near.groupBy(*keep, "template").agg(F.max(F.col("shared") / F.col("size")).alias("share"))
+    return phrases.unionByName(near.select("id", "text_hash", "template", "line", "share", F.lit(None).cast("array<int>").alias("places")))
+
+
+def stretches(lines: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
+    """Add ``stretch`` to every line with words: its words and those of the lines below it, up to a line without words and as many as any template needs.
+
+    A look ahead over a bounded number of a text's lines, each cut to that many words.
+    """
+    most = SPREAD * max((len(t.words.split()) for t in templates if not t.phrase), default=1)
+    ahead = Window.partitionBy("id", "text_hash").orderBy("line").rowsBetween(0, most - 1)
+    cut = lines.withColumn("_ahead", F.collect_list(F.slice("words", 1, most)).over(ahead)).where(F.size("words") > 0)
+    blank = F.array_position(F.transform("_ahead", F.size), 0)
+    block = F.when(blank > 0, F.slice("_ahead", F.lit(1), F.greatest(blank - 1, F.lit(0)).cast("int"))).otherwise(F.col("_ahead"))
+    return cut.withColumn("stretch", F.slice(F.flatten(block), 1, most)).drop("_ahead")
 
 
 def find_licenses(docs: DataFrame, threshold: float = 0.8, templates: tuple[Template, ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every block that contains a template: ``(id, text_hash, template, line, share, places)``.
 
-    ``line`` counts the text's lines from 0 (null: the whole text, for phrases),
-    ``share`` is the part of the template's distinct words in the block, ``places``
+    ``line`` is the line, counted from 0, in which the block begins (null: the whole text, for phrases),
+    ``share`` is the part of the template's distinct words in the block (the greater of the
+    line's and the stretch's from there on, see ``Template``), so that a notice is found
+    however it is wrapped; ``places``
     the word numbers at which a phrase begins (else null). A phrase is found
     through the same join, with all its words needed, and then its order is
     checked. ``text_hash`` tells rows of one id apart. Null texts are empty.
@@ -186,7 +211,7 @@ def license_summary(docs: DataFrame, threshold: float = 0.8, templates: tuple[Te
 
 
 def summary_sql(threshold: float = 0.8, templates: tuple[Template, ...] = TEMPLATES) -> str:
-    """The same by plain comparison of every line and text with every template, for DuckDB."""
+    """The same by plain comparison of every line, stretch and text with every template, for DuckDB."""
     values = ", ".join(f"({n}, '{t.label}', {t.phrase}, string_split('{t.words}', ' '), {len(set(t.words.split()))}, {needed(t, threshold)})" for n, t in enumerate(templates))
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return rf"""
@@ -196,11 +221,22 @@ w AS (SELECT doc_id, n, low, regexp_extract_all(low, '{pattern}') AS words FROM
 places AS (
   SELECT n, label, i FROM (SELECT n, label, w.words AS held, t.words AS sought, unnest(range(len(w.words)::BIGINT)) AS i FROM w, t WHERE phrase AND list_has_all(w.words, t.words))
   WHERE held[i + 1 : i + len(sought)] = sought),
-line AS (SELECT n, list_distinct(regexp_extract_all(block, '{pattern}')) AS words FROM (SELECT n, unnest(string_split(low, chr(10))) AS block FROM d)),
+cut AS (SELECT n, unnest(blocks) AS block, generate_subscripts(blocks, 1) AS i FROM (SELECT n, string_split(low, chr(10)) AS blocks FROM d)),
+spoken AS (SELECT n, i, regexp_extract_all(block, '{pattern}') AS words FROM cut),
+line AS (SELECT n, list_distinct(words) AS words FROM spoken),
+numbered AS (SELECT n, i, words, part, sum(len(words)) OVER (PARTITION BY n, part ORDER BY i) - len(words) AS start
+  FROM (SELECT *, sum(CASE WHEN len(words) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY n ORDER BY i) AS part FROM spoken)),
+spelled AS (SELECT n, part, start + generate_subscripts(words, 1) - 1 AS at, unnest(words) AS word FROM numbered),
+sought AS (SELECT template, label, size, need, len(words) AS total, unnest(list_distinct(words)) AS word FROM t WHERE NOT phrase),
+stretch AS (
+  SELECT b.n, b.i, s.label, count(DISTINCT s.word) AS shared, any_value(s.size) AS size, any_value(s.need) AS need
+  FROM spelled p JOIN sought s USING (word) JOIN numbered b ON b.n = p.n AND b.part = p.part AND len(b.words) > 0 AND p.at >= b.start AND p.at < b.start + {SPREAD} * s.total
+  GROUP BY b.n, b.i, s.template, s.label),
 near AS (
   SELECT n, label, shared / size AS share
   FROM (SELECT n, label, need, size, len(list_intersect(line.words, t.words)) AS shared FROM line, t WHERE NOT phrase AND len(line.words) >= need)
-  WHERE shared >= need),
+  WHERE shared >= need
+  UNION ALL SELECT n, label, shared / size AS share FROM stretch WHERE shared >= need),
 base AS (SELECT n, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY n),
 every AS (
   SELECT n, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score

@@ -69,7 +69,7 @@ def build_tiles(rows: DataFrame, cell: str, node: str, payload: list[str], size:
 
 def compare_tiles(
     tiles: DataFrame, node: str, payload: dict[str, str], hits: Callable[[dict, dict], np.ndarray],
-    neighbours: list[int] | None = None, slots: int = 1, weight: str | None = None, flat: tuple[str, ...] = (),
+    neighbours: list[int] | None = None, slots: int = 1, weight: str | None = None, flat: tuple[str, ...] = (), tiles_a_slot: int | None = None,
 ) -> DataFrame:
     """Compare every tile with itself, the tiles of its cell and those of ``neighbours``; checkpointed.
 
@@ -81,7 +81,8 @@ def compare_tiles(
     ``links`` counts a row's links there (weighted by the array ``weight``). A group
     of n near copies therefore makes rows in proportion to n times the tasks it is
     spread over, not n squared, and no connection is lost. ``slots`` spreads
-    the tiles of a large cell over that many tasks; arrays named in ``flat`` have
+    the tiles of a large cell over that many tasks; ``tiles_a_slot`` instead gives each cell
+    the slots that its number of tiles needs (without ``neighbours``), so that small cells are not copied. Arrays named in ``flat`` have
     rows of different lengths and stay flat.
     """
     spark = tiles.sparkSession
@@ -90,8 +91,15 @@ def compare_tiles(
     steps: Column = F.explode(F.array(*(F.lit(step).cast("long") for step in offsets))) if neighbours else F.lit(0).cast("long")
     left = tiles.select(*(F.col(name).alias(f"a_{name}") for name in tiles.columns), steps.alias("step"))
     left = left.withColumn("at", F.col("a_cell") + F.col("step") if neighbours else F.col("a_cell"))
-    left = left.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))) if slots > 1 else F.lit(0))
-    right = tiles.select(*(F.col(name).alias(f"b_{name}") for name in tiles.columns)).withColumn("b_slot", F.pmod(F.xxhash64("b_tile"), F.lit(slots)).cast("int"))
+    right = tiles.select(*(F.col(name).alias(f"b_{name}") for name in tiles.columns))
+    if tiles_a_slot is not None:
+        needs = cut_lineage(tiles.groupBy(F.col("cell").alias("_cell")).agg(F.ceil(F.count(F.lit(1)) / tiles_a_slot).cast("int").alias("_slots")))
+        left, right = (df.join(needs, F.col(of) == F.col("_cell")).drop("_cell") for df, of in ((left, "at"), (right, "b_cell")))
+        left = left.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1))).drop("_slots")
+        right = right.withColumn("b_slot", F.pmod(F.xxhash64("b_tile"), F.col("_slots")).cast("int")).drop("_slots")
+    else:
+        left = left.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))) if slots > 1 else F.lit(0))
+        right = right.withColumn("b_slot", F.pmod(F.xxhash64("b_tile"), F.lit(slots)).cast("int"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     joined = left.repartition(parts, "at", "slot").join(
         right.repartition(parts, "b_cell", "b_slot"),

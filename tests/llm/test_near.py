@@ -91,6 +91,33 @@ def test_vectors_odd_rows(spark):
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in found) == [("4", 2, "4", True)] * 2 + [("9", 2, "4", False), ("None", 0, "None", True)]
 
 
+def test_only_undecided_pairs_are_computed_again(monkeypatch):
+    draw = np.random.default_rng(21)
+    rows = draw.normal(size=(300, 32))
+    rows[250:] = rows[:50] + draw.normal(size=(50, 32)) * 0.01
+    tile = vectors.Quantised(rows, *vectors.quantise(rows)[1:])
+    unit, again = vectors.unit_rows(rows), []
+    einsum = np.einsum
+    monkeypatch.setattr(vectors.np, "einsum", lambda how, a, b: again.append(len(a)) or einsum(how, a, b))
+    found = vectors.linked_pairs(tile, tile, 0.98, same=True)
+    want = np.argwhere((unit @ unit.T >= 0.98) & ~np.eye(300, dtype=bool))
+    assert sorted(found.tolist()) == sorted((i * 300 + j) for i, j in want.tolist()) and len(want) == 100
+    assert 50 <= sum(again) <= 80
+
+
+@pytest.mark.parametrize("kind,make", [("INT", lambda i: i), ("STRING", lambda i: f"v{i:04d}")])
+def test_vectors_with_other_ids(spark, kind, make):
+    draw = np.random.default_rng(22)
+    rows = []
+    for i in range(120):
+        base = rows[draw.integers(len(rows))][1] if rows and draw.random() < 0.5 else draw.normal(size=8).tolist()
+        rows.append((make(119 - i), [float(np.float32(x)) for x in np.array(base) + draw.normal(size=8) * draw.choice([0, 0.03])], int(draw.integers(2))))
+    links, want = plain_vectors(rows, 0.98)
+    found = vectors.near_vectors(spark.createDataFrame(rows, f"vec_id {kind}, embedding ARRAY<FLOAT>, label INT"), 0.98, tile=8).collect()
+    assert len(links) > 30 and {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found} == {
+        k: (sum(k in link for link in links), low, low == k) for k, low in want.items()}
+
+
 def plain_print(text, words, seed=42):
     found = (text or "").encode().lower().split()
     if not found:

@@ -31,14 +31,47 @@ def test_licences_equal_sql(spark, tmp_path, documents, sf):
     assert sorted((tuple(r[n] for n in names) for r in mine.collect()), key=repr) == theirs
     rows = {r.doc_id: r for r in mine.collect()}
     assert (rows[4].n_base, rows[4].first_word, rows[4].last_word) == (2, 1, 5) and rows[5].base_labels == "apache-2"
-    assert rows[8].labels == "" and rows[9].labels == "all-rights-reserved"
+    assert rows[8].labels == "all-rights-reserved" and rows[9].labels == "all-rights-reserved"
+
+
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge",
+    "gpl-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+}
+
+
+@pytest.mark.parametrize("width", [20, 40, 72, 80, 10_000])
+def test_notices_are_found_however_they_are_wrapped(spark, tmp_path, documents, width):
+    import textwrap
+
+    import duckdb
+
+    def comment(text, lead="some code here;\n"):
+        return lead + "\n".join(f" * {line}" for line in textwrap.wrap(text, width)) + "\n more_code();\n" + "other words again\n" * 3
+
+    texts = [comment(text) for text in NOTICES.values()] + [comment(text, "word " * 400 + "\n\n") for text in NOTICES.values()]
+    # A line without words ends a block, and words scattered over a text are no notice.
+    parts = [text.split() for text in NOTICES.values()]
+    texts += ["\n *\n".join(" ".join(words[k : k + 5]) for k in range(0, len(words), 5)) for words in parts]
+    texts += ["\n".join(f"{word} is one of many words that stand in this line of text here" for word in words) for words in parts]
+    documents(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    relation = con.execute(queries.oracle_sql()["op5_licenses"])
+    names = [d[0] for d in relation.description]
+    found = queries.op5_licenses(spark, str(tmp_path)).collect()
+    assert sorted((tuple(r[n] for n in names) for r in found), key=repr) == sorted(relation.fetchall(), key=repr)
+    labels = {r.doc_id: r.labels for r in found}
+    assert [labels[k] for k in range(8)] == list(NOTICES) * 2 and {labels[k] for k in range(8, 16)} == {""}
 
 
 def test_licence_blocks_and_thresholds(spark, documents, no_documents, odd_documents):
     templates = (licenses.Template("t", "t", "a b c d e f g h i j"),)
     texts = ["a b c d e f g h", "a b c d e f g", "j i h g f e d c b a z z", "a b c d\ne f g h", "q"]
     found = licenses.find_licenses(documents(texts), 0.8, templates).collect()
-    assert sorted((r.doc_id, r.line, r.share) for r in found) == [(0, 0, 0.8), (2, 0, 1.0)]
+    assert sorted((r.doc_id, r.line, r.share) for r in found) == [(0, 0, 0.8), (2, 0, 1.0), (3, 0, 0.8)]
     assert licenses.license_summary(no_documents).count() == 0
     assert licenses.license_summary(odd_documents).count() == 8
 
