@@ -31,6 +31,8 @@ MIN_LINE = 20
 RUN, PASSAGE = 32, 51
 WINDOW = PASSAGE - RUN + 1
 TILE = 128
+#: Tiles of a band that one task compares others with.
+TILES_A_SLOT = 16
 FILTER_BITS = 26
 REMEMBERED = 200_000
 
@@ -290,7 +292,7 @@ def similar_paragraphs(docs: DataFrame, units: DataFrame, text_col: str = "text"
     bands = cut_lineage(lines.groupBy("band").agg(F.min("par").alias("low"), F.max("par").alias("high")).where("low <> high").select("band"))
     rows = candidates(docs, bands, text_col).withColumn("n", F.size("shingles").cast("long"))
     tiles = build_tiles(rows, "band", "par", ["n", "shingles"], TILE)
-    found = compare_tiles(tiles, "par", {"n": "i8", "shingles": "i8"}, jaccard_hits(similarity), slots=4, flat=("shingles",))
+    found = compare_tiles(tiles, "par", {"n": "i8", "shingles": "i8"}, jaccard_hits(similarity), tiles_a_slot=TILES_A_SLOT, flat=("shingles",))
     return components(found.where("node <> root"), "node", "root")
 
 
@@ -333,13 +335,13 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, id_col: s
     """
     units = stored(paragraph_rows(docs, id_col, text_col), "paragraphs")
     labels = similar_paragraphs(docs, units, text_col, similarity)
-    document = F.struct("doc", "copy")
+    document = F.xxhash64("doc", "copy")
     is_run = F.col("bands").isNull().alias("is_run")
     counts = units.groupBy("par", is_run).agg(F.count(F.lit(1)).alias("n"), F.min(document).alias("low"), F.max(document).alias("high"))
     grouped = counts.join(labels, (F.col("par") == F.col("node")) & ~F.col("is_run"), "left").where("n > 1 OR component IS NOT NULL")
     grouped = cut_lineage(grouped.select("par", "is_run", "n", "low", "high", F.coalesce("component", "par").alias("cluster_id")))
     clusters = grouped.groupBy(F.col("cluster_id").alias("_cluster"), F.col("is_run").alias("_is_run")).agg(F.sum("n").alias("cluster_size"), F.min("low").alias("low"), F.max("high").alias("high"))
-    across = clusters.where(~F.col("low").eqNullSafe(F.col("high"))).drop("low", "high")
+    across = clusters.where("low <> high").drop("low", "high")
     # The smaller sides of these joins stand by themselves, so that a paragraph or a
     # cluster with very many places can be split.
     repeated = cut_lineage(grouped.join(across, (F.col("cluster_id") == F.col("_cluster")) & (F.col("is_run") == F.col("_is_run"))).select(F.col("par").alias("_par"), F.col("is_run").alias("_is_run"), "cluster_id", "cluster_size"))

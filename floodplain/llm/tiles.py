@@ -16,6 +16,8 @@ from floodplain.session import cut_lineage
 
 #: Joined tile pairs that one Arrow batch may hold.
 PAIRS_AT_ONCE = 64
+#: Large cells whose numbers of slots are broadcast; more are joined.
+CELLS_SENT = 100_000
 #: Linked rows that a task gathers before it merges them.
 MERGE_ROWS = 400_000
 
@@ -93,10 +95,15 @@ def compare_tiles(
     left = left.withColumn("at", F.col("a_cell") + F.col("step") if neighbours else F.col("a_cell"))
     right = tiles.select(*(F.col(name).alias(f"b_{name}") for name in tiles.columns))
     if tiles_a_slot is not None:
-        needs = cut_lineage(tiles.groupBy(F.col("cell").alias("_cell")).agg(F.ceil(F.count(F.lit(1)) / tiles_a_slot).cast("int").alias("_slots")))
-        left, right = (df.join(needs, F.col(of) == F.col("_cell")).drop("_cell") for df, of in ((left, "at"), (right, "b_cell")))
-        left = left.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1))).drop("_slots")
-        right = right.withColumn("b_slot", F.pmod(F.xxhash64("b_tile"), F.col("_slots")).cast("int")).drop("_slots")
+        # Only cells of more than one slot are looked up, so that most tiles are not moved for it.
+        counts = tiles.groupBy(F.col("cell").alias("_cell")).agg(F.ceil(F.count(F.lit(1)) / tiles_a_slot).cast("int").alias("_slots"))
+        needs = cut_lineage(counts.where("_slots > 1"))
+        if needs.count() <= CELLS_SENT:
+            needs = F.broadcast(needs)
+        left, right = (df.join(needs, F.col(of) == F.col("_cell"), "left").drop("_cell") for df, of in ((left, "at"), (right, "b_cell")))
+        slots_of = F.coalesce("_slots", F.lit(1))
+        left = left.withColumn("slot", F.explode(F.sequence(F.lit(0), slots_of - 1))).drop("_slots")
+        right = right.withColumn("b_slot", F.pmod(F.xxhash64("b_tile"), slots_of).cast("int")).drop("_slots")
     else:
         left = left.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))) if slots > 1 else F.lit(0))
         right = right.withColumn("b_slot", F.pmod(F.xxhash64("b_tile"), F.lit(slots)).cast("int"))
