@@ -7,17 +7,19 @@ in one task.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import net
+from ..session import cut_lineage
 
 BROADCAST_ROWS = 200_000  # dimension rows here are at most a few hundred bytes
 MAX_CHAINED_LENGTHS = 24
 SALTS = 32
-BROADCAST_BYTES = 256 << 20
-# Where blocks of prefix lengths begin: an array of a block stays short.
-BLOCKS = {4: [0, 8, 16, 24], 6: [0, 16, 32, 48, 64, 96]}
+BROADCAST_BYTES = 128 << 20
+BLOCK_BITS = 8  # prefix lengths of a block; its networks cut at most 256 intervals
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -83,8 +85,10 @@ def longest_prefix_match(
     rows = sum(n for _, _, n in lengths)
     if rows <= broadcast_rows and len(lengths) <= max_lengths:
         return _chained(df, registry, sides, lengths)
-    if broadcast_rows and registry_bytes(prefixes, value) <= BROADCAST_BYTES:
-        return _blocked(df, registry, sides, lengths)
+    chained = any(len(columns) > 3 for columns in sides.values())
+    deepest = max(Counter((f, _block(n)) for f, n, _ in lengths).values()) if chained else 1
+    if broadcast_rows and 2 * deepest * registry_bytes(prefixes, value) <= BROADCAST_BYTES:  # two ends, each with its chain
+        return _blocked(df, registry, sides, lengths, chained)
     return _by_distinct_address(df, registry, sides, lengths, broadcast_rows)
 
 
@@ -94,36 +98,74 @@ def registry_bytes(prefixes: DataFrame, value: list[str]) -> int:
     return prefixes.agg(F.coalesce(F.sum(texts), F.lit(0))).first()[0]
 
 
-def _blocked(df, registry, sides, lengths):
+def _block(length: int) -> int:
+    """The bits before a length's block: block 8 has the lengths 9 to 16, block 0 those from 0 to 8."""
+    return max(length - 1, 0) // BLOCK_BITS * BLOCK_BITS
+
+
+def _byte(family: Column, hi: Column, lo: Column, start: Column) -> Column:
+    """The bits of an address that its place within a block is read from."""
+    shifted = lambda half, last: F.call_function("shiftrightunsigned", half, F.lit(last - BLOCK_BITS) - start)
+    bits = F.when(family == 4, shifted(lo, 32)).when(start < 64, shifted(hi, 64)).otherwise(shifted(lo, 128))
+    return bits.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+
+
+def _intervals(registry: DataFrame, lengths: list[tuple[int, int, int]], chained: bool) -> DataFrame:
+    """Nested prefixes as disjoint intervals: per block the places where another prefix becomes the longest.
+
+    Every end of a prefix is such a place; which prefixes hold it is looked up by one
+    equal key for each length of its block. ``held`` is the longest of them, NULL in a gap, or
+    with ``chained`` all, longest first. A block is one row of sorted arrays of at most 256 places.
+    """
+    start = F.floor(F.greatest(F.col("len") - 1, F.lit(0)) / BLOCK_BITS).cast("int") * BLOCK_BITS
+    family, block = F.col("family"), F.col("block")
+    own = registry.withColumn("block", start)
+    k_hi, k_lo = net.masked(family, F.col("n_hi"), F.col("n_lo"), block)
+    size = F.call_function("shiftleft", F.lit(1), F.lit(BLOCK_BITS) + block - F.col("len"))
+    key = ["family", "block", "k_hi", "k_lo"]
+    held = own.select("family", "block", k_hi.alias("k_hi"), k_lo.alias("k_lo"), _byte(family, F.col("n_hi"), F.col("n_lo"), block).alias("first"), "len",
+                      F.struct((-F.col("len")).alias("order"), "len", "entry").alias("item"))
+    places = held.select(*key, F.explode(F.array(F.col("first"), F.col("first") + size)).alias("place")).where(F.col("place") < 1 << BLOCK_BITS).distinct()
+    known = F.when(family == 4, F.array(*[F.lit(n) for f, n, _ in lengths if f == 4]).cast("array<int>")).otherwise(
+        F.array(*[F.lit(n) for f, n, _ in lengths if f == 6]).cast("array<int>"))
+    own_lengths = F.filter(known, lambda n: F.floor(F.greatest(n - 1, F.lit(0)) / BLOCK_BITS) * BLOCK_BITS == block)
+    probes = places.withColumn("len", F.explode(own_lengths)).withColumn("first", F.col("place") - F.pmod(F.col("place"), size))
+    met = probes.join(held, [*key, "len", "first"], "left").groupBy(*key, "place")
+    cut = met.agg(F.array_sort(F.collect_list("item")).alias("held")) if chained else met.agg(F.min("item").alias("i")).select(*key, "place", F.col("i.entry").alias("held"))
+    blocks = cut.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "held"))).alias("cut"))
+    # Steps of a binary search, only those that fit the array.
+    steps = F.filter(F.array(*[F.lit(1 << b) for b in range(BLOCK_BITS, -1, -1)]), lambda n: n <= F.size("cut"))
+    return blocks.select(*key, F.col("cut.place").alias("places"), steps.alias("steps"), F.col("cut.held").alias("held"))
+
+
+def _blocked(df, registry, sides, lengths, chained):
     """One broadcast hash join per block of lengths, however many lengths there are.
 
-    A prefix belongs to the longest block that is not longer than it. A block's
-    row holds its prefixes as an array, longest first, of which the first that
-    holds the address is the match; longer blocks come first. The flows are
-    neither shuffled nor copied.
+    An address finds its interval in a block's row by binary search; longer blocks
+    come first. The flows are neither shuffled nor copied.
     """
+    cut = cut_lineage(_intervals(registry, lengths, chained))
+    blocks = {fam: sorted({_block(n) for f, n, _ in lengths if f == fam and 0 <= n <= (32 if fam == 4 else 128)}, reverse=True) for fam in (4, 6)}
     for side, (family, hi, lo, *own_length) in sides.items():
-        found: dict[int, list[Column]] = {4: [], 6: []}
-        for fam, starts in BLOCKS.items():
-            for start, end in reversed(list(zip(starts, [*starts[1:], (32 if fam == 4 else 128) + 1]))):
-                if not any(f == fam and start <= n < end for f, n, _ in lengths):
-                    continue
+        found = []
+        for fam in (4, 6):
+            for start in blocks[fam]:
                 mask_hi, mask_lo = net.mask_halves(fam, start)
                 name = f"_{side}_{fam}_{start}"
-                own = registry.where((F.col("family") == fam) & F.col("len").between(start, end - 1))
-                item = F.struct((-F.col("len")).alias("order"), "n_hi", "n_lo", net.mask_hi(F.col("family"), F.col("len")).alias("m_hi"),
-                                net.mask_lo(F.col("family"), F.col("len")).alias("m_lo"), "len", "entry")
-                table = own.groupBy(F.col("n_hi").bitwiseAND(F.lit(mask_hi)).alias(f"{name}_hi"), F.col("n_lo").bitwiseAND(F.lit(mask_lo)).alias(f"{name}_lo")).agg(
-                    F.array_sort(F.collect_list(item)).alias(name))
+                table = cut.where((F.col("family") == fam) & (F.col("block") == start)).select(
+                    F.col("k_hi").alias(f"{name}_hi"), F.col("k_lo").alias(f"{name}_lo"), F.struct("places", "steps", "held").alias(name))
                 same = F.col(family) == fam
                 keys = [F.when(same, F.col(half).bitwiseAND(F.lit(mask))) for half, mask in ((hi, mask_hi), (lo, mask_lo))]
                 df = df.join(F.broadcast(table), (keys[0] == F.col(f"{name}_hi")) & (keys[1] == F.col(f"{name}_lo")), "left").drop(f"{name}_hi", f"{name}_lo")
-                longest = F.col(own_length[0]) if own_length else F.lit(128)
-                holds = F.filter(name, lambda p: (F.col(hi).bitwiseAND(p["m_hi"]) == p["n_hi"]) & (F.col(lo).bitwiseAND(p["m_lo"]) == p["n_lo"]) & (p["len"] <= longest))  # noqa: B023
-                found[fam].append(F.get(holds, F.lit(0))["entry"])
-        matches = found[4] + found[6]
-        best = F.coalesce(*matches) if matches else F.lit(None)
-        df = df.withColumn(side, best).drop(*[f"_{side}_{fam}_{start}" for fam, starts in BLOCKS.items() for start in starts])
+                byte = _byte(F.lit(fam), F.col(hi), F.col(lo), F.lit(start))
+                before = F.aggregate(F.col(name)["steps"], F.lit(0), lambda n, step: F.when(  # noqa: B023
+                    F.get(F.col(name)["places"], n + step - 1) <= byte, n + step).otherwise(n))  # noqa: B023
+                held = F.get(F.col(name)["held"], before - 1)
+                if chained:
+                    longest = F.col(own_length[0]) if own_length else F.lit(128)
+                    held = F.get(F.filter(held, lambda i: i["len"] <= longest), F.lit(0))["entry"]  # noqa: B023
+                found.append(held)
+        df = df.withColumn(side, F.coalesce(*found) if found else F.lit(None)).drop(*[f"_{side}_{fam}_{start}" for fam in (4, 6) for start in blocks[fam]])
     return df
 
 
@@ -251,6 +293,42 @@ def nested_pairs(entries: DataFrame, keep: list[str]) -> DataFrame:
     return lookup_join(inner, outer, ["family", "n", "p_hi", "p_lo"], "inner", salt_from=salt_from).withColumnRenamed("n", "outer_len")
 
 
+def _two_owners(df: DataFrame, group: list[str]) -> DataFrame:
+    """Per group the least ``value`` of each of the two owners that have the least ones.
+
+    That answers what the least value of anybody else is, whoever asks.
+    """
+    return first_rows(df.groupBy(*group, "owner").agg(F.min("value").alias("value")), group, [F.col("value"), F.col("owner")], 2).drop("_rank")
+
+
+def earliest_of_others(entries: DataFrame, value: str, owner: str) -> DataFrame:
+    """The entries with ``other``: the least ``value`` among networks of another owner that lie inside
+    theirs or around it; NULL if there is none. Equal networks do not count.
+
+    No pairs of entries are made: a network is two rows, however often it is listed, and
+    meets its registered wider networks, so rows grow with networks and lengths alone.
+    """
+    hi, lo = net.masked(F.col("family"), F.col("net_hi"), F.col("net_lo"), F.col("prefix_len"))
+    at = ["family", "n", "hi", "lo"]
+    table = entries.withColumns({"n": F.col("prefix_len"), "hi": hi, "lo": lo, "value": F.col(value), "owner": F.col(owner)})
+    nets = _two_owners(table.where(F.col("owner").isNotNull()), at)
+    around = ["family", "w_n", "w_hi", "w_lo"]
+    wide = dict(zip(at, around, strict=True))
+    lengths = nets.select("family", F.col("n").alias("w_n")).distinct()
+    probes = nets.select(*at).distinct().join(F.broadcast(lengths), "family").where("w_n < n")  # at most 162 lengths
+    w_hi, w_lo = net.masked(F.col("family"), F.col("hi"), F.col("lo"), F.col("w_n"))
+    probes = probes.withColumn("w_hi", w_hi).withColumn("w_lo", w_lo)
+    wider = nets.withColumnsRenamed(wide)
+    links = lookup_join(probes, wider.select(*around).distinct(), around, "left_semi")
+    outside = lookup_join(links, wider, around, "inner").select(*at, "owner", "value")
+    inside = lookup_join(links, nets, at, "inner").select(*[F.col(w).alias(c) for c, w in wide.items()], "owner", "value")
+    near = _two_owners(outside.unionByName(inside), at)
+    found = near.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("value", "owner"))).alias("_near"))  # two at most
+    met = lookup_join(table.drop("value"), found, at, "left")
+    other = F.get(F.filter("_near", lambda e: e["owner"] != F.col("owner")), F.lit(0))["value"]
+    return met.select(*entries.columns, other.alias("other"))
+
+
 def first_rows(df: DataFrame, group: list[str], order: list, keep: int, rank: str = "_rank", slices: int = 64) -> DataFrame:
     """The first ``keep`` rows of each group, with their position in ``rank``.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import net
 from ..functions.vocab import INCIDENT_ACTIVE, MITIGATION_EDGES, MITIGATION_ENDED, MITIGATION_LIVE, MITIGATION_WAITING
-from .joins import longest_prefix_match, nested_pairs
+from .joins import earliest_of_others, longest_prefix_match
 
 FLOORS = {4: 16, 6: 32}
 GUARD = {"kill_switch": False, "min_length_4": 24, "min_length_6": 48, "max_duration_seconds": 3600, "approval_window_seconds": 900}
@@ -63,12 +63,11 @@ def validate_allowlist(entries: DataFrame) -> DataFrame:
     code = F.when(F.col("prefix_len") < floor, "entry_too_wide").when(
         (F.trim("tenant") == "") | (F.size("actions") <= 0), "entry_empty")
     own = entries.select("position", code.alias("error_code")).where("error_code IS NOT NULL")
-    nested = nested_pairs(entries, ["position", "tenant"]).where("inner_tenant <> outer_tenant")
+    nested = earliest_of_others(entries, "position", "tenant").where("other < position")
     hi, lo = net.masked(F.col("family"), F.col("net_hi"), F.col("net_lo"), F.col("prefix_len"))
     same = entries.groupBy("family", "prefix_len", hi.alias("hi"), lo.alias("lo")).agg(
         F.count_distinct("tenant").alias("tenants"), F.max("position").alias("position")).where("tenants > 1")
-    later = F.greatest("inner_position", "outer_position").alias("position")
-    overlaps = nested.select(later).unionByName(same.select("position")).distinct().withColumn("error_code", F.lit("overlap"))
+    overlaps = nested.select("position").unionByName(same.select("position")).distinct().withColumn("error_code", F.lit("overlap"))
     return own.unionByName(overlaps)
 
 

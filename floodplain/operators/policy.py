@@ -109,25 +109,40 @@ def _candidates(policies: DataFrame) -> DataFrame:
     return policies.where(F.col("enabled") & fits & whole).withColumn("specificity", specificity())
 
 
+def _full_key(kind: Column, hi: Column, lo: Column, length: Column, group: Column) -> dict[str, Column]:
+    """What a selector of a kind compares, the rest filled in, so that equal keys mean a match."""
+    addressed = kind.isin("host", "network")
+    return {
+        "k_kind": kind,
+        "k_hi": F.when(addressed, hi).otherwise(F.lit(_FILL["k_hi"]).cast("bigint")),
+        "k_lo": F.when(addressed, lo).otherwise(F.lit(_FILL["k_lo"]).cast("bigint")),
+        "k_len": F.when(kind == "network", length).otherwise(F.lit(_FILL["k_len"])),
+        "k_group": F.when(kind == "hostgroup", group).otherwise(F.lit(_FILL["k_group"])),
+    }
+
+
 def match_policies(scopes: DataFrame, policies: DataFrame) -> DataFrame:
-    """All (scope, policy) pairs that apply, for diagnostics on distinct scopes."""
-    p = _candidates(policies).select(*[F.col(c).alias(f"p_{c}") for c in (
-        "policy_id", "tenant", "scope_type", "direction", "family", "selector", "sel_family", "sel_hi", "sel_lo",
-        "sel_len", "sel_hostgroup", "priority", "specificity", "version")])
-    address = (F.col("p_sel_family") == F.col("family")) & (F.col("p_sel_hi") == F.col("scope_hi")) & (F.col("p_sel_lo") == F.col("scope_lo"))
-    selected = (
-        F.when(F.col("p_selector") == "any", F.lit(True)).when(F.col("p_selector") == "host", address)
-        .when(F.col("p_selector") == "network", address & (F.col("p_sel_len") == F.col("scope_len")))
-        .otherwise(F.col("p_sel_hostgroup") == F.col("hostgroup"))
-    )
-    family = F.col("p_family").isNull() | (F.col("p_family") == F.col("family"))
-    if is_small(p, 10_000):
-        p = F.broadcast(p)
-    same = (F.col("p_scope_type") == F.col("scope_type")) & (F.col("p_direction") == F.col("direction"))
-    tenant = (F.col("p_tenant") == WILDCARD) | (F.col("p_tenant") == F.col("tenant"))
-    joined = scopes.join(p, same & tenant & family & F.coalesce(selected, F.lit(False)), "inner")
-    return joined.select(*scopes.columns, F.col("p_policy_id").alias("policy_id"), F.col("p_version").alias("policy_version"),
-                         F.col("p_specificity").alias("specificity"), F.col("p_priority").alias("priority"))
+    """All (scope, policy) pairs that apply, for diagnostics on distinct scopes.
+
+    A scope asks four times, for its own tenant and for any, by its own selector and by
+    none, each time with a whole key: only pairs that apply are ever made.
+    """
+    families = F.when(F.col("family").isNotNull(), F.array("family")).otherwise(F.array(F.lit(4), F.lit(6), F.lit(0)))
+    p = _candidates(policies).withColumn("k_family", F.explode(families))
+    p = p.where(~F.col("selector").isin("host", "network") | (F.col("k_family") == F.col("sel_family")))
+    p = p.select(
+        F.col("tenant").alias("k_tenant"), F.col("scope_type").alias("k_scope"), F.col("direction").alias("k_direction"), "k_family",
+        *[value.alias(name) for name, value in _full_key(*[F.col(c) for c in ("selector", "sel_hi", "sel_lo", "sel_len", "sel_hostgroup")]).items()],
+        F.struct("policy_id", F.col("version").alias("policy_version"), "specificity", "priority").alias("_policy"))
+    keys = [c for c in p.columns if c.startswith("k_")]
+    kinds = F.array_compact(F.array(F.lit("any"), by_case(F.col("scope_type"), SELECTOR_FOR)))
+    asked = scopes.withColumn("k_tenant", F.explode(F.array_distinct(F.array(F.lit(WILDCARD), "tenant")))).withColumn("_kind", F.explode(kinds))
+    asked = asked.withColumns({
+        "k_scope": F.col("scope_type"), "k_direction": F.col("direction"), "k_family": F.coalesce("family", F.lit(0)),
+        **_full_key(*[F.col(c) for c in ("_kind", "scope_hi", "scope_lo", "scope_len", "hostgroup")]),
+    }).drop("_kind")
+    joined = lookup_join(asked, p, keys, "inner", small=is_small(p, 10_000))
+    return joined.select(*scopes.columns, "_policy.*")
 
 
 _FILL = {"k_hi": 0, "k_lo": 0, "k_len": -1, "k_group": ""}

@@ -143,6 +143,10 @@ def snapshots(classified: DataFrame, window_ms: int, scope_types: list[str] = tu
     count = sketch_exporters() if exporters == "sketch" else F.count_distinct("exporter")
     if classified.isStreaming:
         scoped = expand_scopes(classified, scope_types)
+        if exporters == "exact":
+            # A first aggregate by exporter closes with the window, and the second counts its rows.
+            scoped = scoped.groupBy(window.alias("w"), *SCOPE, "exporter").agg(*_merged())
+            window, count = F.col("w"), F.count("exporter")
     else:
         # Tenant, prefix and hostgroup follow from the address: sum per local end and
         # exporter first, then add the ends up into their scopes.
@@ -172,10 +176,22 @@ def snapshots(classified: DataFrame, window_ms: int, scope_types: list[str] = tu
 
 
 def window_stats(classified: DataFrame, window_ms: int) -> DataFrame:
-    """Flows seen, flows no scope took, and snapshots made."""
-    flows = classified.agg(
-        F.count(F.lit(1)).alias("flows_ingested"),
-        F.count_if(~F.coalesce(F.col("direction").isin("incoming", "outgoing", "internal"), F.lit(False))).alias("flows_unscoped"),
-    )
-    made = snapshots(classified, window_ms, exporters="sketch").agg(F.count(F.lit(1)).alias("snapshots_emitted"))
-    return flows.crossJoin(F.broadcast(made))  # two single rows
+    """Flows seen, flows no scope took, and snapshots made, in one pass.
+
+    A flow is a row of its own beside its local ends. Rows are counted by window and
+    local end before they are told apart by scope; a flow without a time is in no window.
+    """
+    at = F.unix_millis(event_time(classified))
+    unscoped = ~F.coalesce(F.col("direction").isin("incoming", "outgoing", "internal"), F.lit(False))
+    own = F.col("_end") == 0
+    ends = classified.select((at - F.pmod(at, F.lit(window_ms))).alias("w"), unscoped.alias("unscoped"),
+                             F.posexplode(F.array_insert(sides(), 1, F.lit(None))).alias("_end", "_side"))
+    ends = ends.where(own | (F.col("_side").isNotNull() & F.col("w").isNotNull()))
+    fine = ends.groupBy(F.when(~own, F.col("w")).alias("w"), "_side").agg(
+        F.count_if(own).alias("flows"), F.count_if(own & F.col("unscoped")).alias("unscoped"))
+    scopes = F.when(F.col("_side").isNotNull(), F.array_compact(_scopes(F.col("_side"), SCOPE_TYPES)))
+    scoped = fine.select("w", "flows", "unscoped", F.explode_outer(scopes).alias("_scope"))
+    made = scoped.groupBy("w", "_scope").agg(F.sum("flows").alias("flows"), F.sum("unscoped").alias("unscoped"))
+    return made.agg(
+        F.coalesce(F.sum("flows"), F.lit(0)).alias("flows_ingested"), F.coalesce(F.sum("unscoped"), F.lit(0)).alias("flows_unscoped"),
+        F.count("_scope").alias("snapshots_emitted"))

@@ -36,9 +36,11 @@ def stream_rollups(classified: DataFrame, seconds: int, path: str, checkpoint: s
     return _start(wide, lambda df, n: tables.write_rollups(df, path, n), checkpoint, available_now=available_now)
 
 
-def stream_snapshots(classified: DataFrame, window_ms: int, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Finished detection windows. Exporters are sketched: a stream counts no distinct values."""
-    snaps = snapshots.snapshots(classified, window_ms, exporters="sketch")
+def stream_snapshots(classified: DataFrame, window_ms: int, path: str, checkpoint: str, available_now: bool = True, exporters: str = "exact") -> StreamingQuery:
+    """Finished detection windows. Exporters are counted exactly, by one more row of state for each exporter of
+    a scope; ``exporters="sketch"`` keeps one row a scope and counts at most 64.
+    """
+    snaps = snapshots.snapshots(classified, window_ms, exporters=exporters)
     return _start(snaps, lambda df, n: tables.write_batch(df, path, n), checkpoint, available_now=available_now)
 
 

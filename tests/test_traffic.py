@@ -201,4 +201,4 @@ def test_a_registry_of_many_lengths_needs_no_exchange_of_the_flows(spark):
                 break
         assert (None if row.m is None else (row.m.tenant, row.m.prefix_len)) == want
     plan = matched._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
-    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 10
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 4 + 16
