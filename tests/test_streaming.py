@@ -57,7 +57,7 @@ def test_streamed_snapshots_equal_batch_snapshots(spark, sf, tmp_path):
     classified = jobs.classified_flows(live, view(spark, sf, "prefixes"), view(spark, sf, "exporter_rates"))
     out = str(tmp_path / "snaps")
     run(jobs.stream_snapshots(classified, 300_000, out, str(tmp_path / "cp")))
-    batch = dc.snapshots(spark, sf, exporters="sketch")
+    batch = dc.snapshots(spark, sf)
     newest = batch.agg(F.max("window_start")).first()[0]
     got = spark.read.parquet(out).drop("batch_id")
     want = batch.where(F.col("window_start") < newest)
