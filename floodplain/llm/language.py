@@ -142,7 +142,14 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows and columns of documents whose language is determined with at least even odds."""
+    """The rows and columns of documents whose language is determined with at least even odds.
+
+    Null and empty texts and those without a letter go. If nothing was learned, no
+    language can be told from another and all texts with a letter stay. Repeated rows
+    are judged alike.
+    """
+    if not model.names:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -145,13 +145,14 @@ class Benchmark:
 TILE = T.StructType([T.StructField("doc_token", T.IntegerType(), False), T.StructField("item_token", T.IntegerType(), False), T.StructField("length", T.IntegerType(), False)])
 
 
-def parts_of(benchmark: DataFrame, min_match: int, item_col: str, text_col: str, part_chars: int) -> list[Benchmark]:
-    """The benchmark in parts small enough to broadcast, whatever its size."""
+def parts_of(benchmark: DataFrame, min_match: int, item_col: str, text_col: str, part_chars: int) -> Iterator[Benchmark]:
+    """The benchmark in parts small enough to broadcast, whatever its size: the driver holds one at a time."""
     rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-chars // part_chars)
     slot = F.pmod(F.xxhash64("item", "text"), F.lit(max(1, parts)))
-    return [Benchmark.build(sorted(map(tuple, rows.where(slot == k).collect()), key=lambda r: (str(r[0]), r[1])), min_match) for k in range(parts)]
+    for k in range(parts):
+        yield Benchmark.build(sorted(map(tuple, rows.where(slot == k).collect()), key=lambda r: (str(r[0]), r[1])), min_match)
 
 
 def find_leaks(
@@ -197,17 +198,19 @@ def find_leaks(
 
         return docs.select(id_col, text_col).mapInArrow(run, schema)
 
-    parts = parts_of(benchmark, min_match, item_col, item_text_col, part_chars)
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
-    return union_all([scan(part) for part in parts])
+    scans = [scan(part) for part in parts_of(benchmark, min_match, item_col, item_text_col, part_chars)]
+    return union_all(scans) if scans else docs.sparkSession.createDataFrame([], schema)
 
 
 def drop_leaks(
     docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.5,
     text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_chars: int = PART_CHARS,
 ) -> DataFrame:
-    """The rows and columns of documents that hold no benchmark item to the threshold."""
+    """The rows and columns of documents that hold no benchmark item to the threshold.
+
+    Null and empty texts hold none and stay; so do all documents if the benchmark is
+    empty or holds only nulls. Repeated rows are judged alike; nothing is shuffled.
+    """
     context = docs.sparkSession.sparkContext
 
     def clean(rows: DataFrame, part: Benchmark) -> DataFrame:

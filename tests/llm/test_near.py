@@ -375,6 +375,27 @@ def test_near_copies_have_the_exact_similarity(spark, documents):
     assert want <= {r.doc_id for r in simhash.drop_near_copies(documents(texts)).collect()}
 
 
+def test_near_copies_at_the_threshold_are_found(spark, documents):
+    """300 pairs of exactly 0.8: 200 shingles, of each side's 180 the other has 160."""
+    draw = random.Random(18)
+    texts = []
+    for _ in range(300):
+        base = [f"w{draw.randint(0, 10**6)}" for _ in range(184)]
+        other = list(base)
+        for k in draw.sample(range(20, 160, 8), 4):
+            other[k] = f"v{draw.randint(0, 10**6)}"
+        texts += [" ".join(base), " ".join(other)]
+    gone = {r.doc_id for r in documents(texts).join(simhash.drop_near_copies(documents(texts)), "doc_id", "left_anti").collect()}
+    assert len(gone) >= 297 and all(i % 2 for i in gone)
+
+
+def test_near_copies_take_repeats_and_short_texts(spark, documents):
+    """One row repeated very often stays once; eight and nine words that share four of five shingles link."""
+    texts = ["one two three four five six seven eight"] * 500 + ["one two three four five six seven eight nine", "quite another text of words here"]
+    kept = simhash.drop_near_copies(documents(texts, [0] * 500 + [1, 2]))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
 def repeats(spark, documents, texts):
     return {r.doc_id for r in passages.repeated_passages(documents(texts)).collect()}
 

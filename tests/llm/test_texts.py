@@ -124,6 +124,7 @@ def test_language_odd_rows(spark, odd_documents, no_documents, documents):
     kept = language.keep_identified(odd_documents, model, 0.0)
     assert kept.columns == odd_documents.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "3", "5", "6", "None"]
     nothing = language.train(no_documents)
+    assert sorted(str(r.doc_id) for r in language.keep_identified(odd_documents, nothing).collect()) == ["3", "3", "5", "6", "None"]
     assert nothing.names == [] and {r.lang_pred for r in language.identify(odd_documents, nothing).collect()} == {"und"}
 
 
