@@ -274,5 +274,5 @@ def test_pipeline_stages_follow_from_their_inputs(spark, sf, tmp_path):
 
 
 def test_every_dealt_operator_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
