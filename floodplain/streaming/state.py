@@ -4,12 +4,17 @@ The state objects are those of the batch folds; here they are stored as text per
 key, and event-time timers stand in for the as-of clock. Rows wait until the
 watermark has passed them and are then applied in the order of their times, so
 that neither micro-batches nor several inputs decide what goes first.
+
+What grows as long as a key lives, such as the detections of an incident, is no
+part of that text: each is an entry of a map, asked for by its key and written once
+a batch at most, so what a batch writes follows its rows and not the key's age.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,10 +28,16 @@ from ..operators.machine import Scope
 from ..operators.notify import Bucket, Delivery, Repeats
 
 STATE = T.StructType([T.StructField("text", T.StringType())])
+MEMBER = T.StructType([T.StructField("owner", T.StringType()), T.StructField("member", T.StringType())])
+REMOVED_AT_ONCE = 10_000
 
 
 class KeyedFold(StatefulProcessor):
-    """``adapter`` is picklable: COLUMNS, load, apply, due, expire, dump; see below."""
+    """``adapter`` is picklable: COLUMNS, load, apply, due, expire, dump; see below.
+
+    One with ``attach`` keeps sets apart from its text: ``attach(folder, known)`` lends it the test whether
+    (owner, member) is stored, ``members(folder)`` gives what to store and ``owners(folder)`` whose members stay.
+    """
 
     def __init__(self, adapter, names: list[str]):
         self.adapter, self.names = adapter, names
@@ -35,6 +46,7 @@ class KeyedFold(StatefulProcessor):
         self.handle = handle
         self.value = handle.getValueState("state", STATE)
         self.waiting = handle.getListState("waiting", STATE)
+        self.sets = handle.getMapState("sets", MEMBER, STATE) if hasattr(self.adapter, "attach") else None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fresh = []
@@ -47,7 +59,12 @@ class KeyedFold(StatefulProcessor):
         yield from self._step(key, [], timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
 
     def _step(self, key, fresh: list[dict], watermark: int, expired: int | None) -> Iterator[pd.DataFrame]:
-        folder = self.adapter.load(key, self.value.get()[0] if self.value.exists() else None)
+        stored = self.value.get()[0] if self.value.exists() else None
+        folder = self.adapter.load(key, stored)
+        owners = set()
+        if self.sets is not None:
+            owners = self.adapter.owners(folder)
+            self.adapter.attach(folder, lambda owner, member: self.sets.containsKey((owner, member)))
         held = [json.loads(row[0]) for row in self.waiting.get()] if self.waiting.exists() else []
         passed = lambda row: int(row["t"]) // 1000 <= watermark
         ready = [row for row in [*held, *fresh] if passed(row)]
@@ -60,9 +77,23 @@ class KeyedFold(StatefulProcessor):
             self.waiting.put([text(row) for row in later]) if later else self.waiting.clear()
         elif later[len(held):]:
             self.waiting.appendList([text(row) for row in later[len(held):]])
-        yield from self._done(key, folder, out, later)
-
-    def _done(self, key, folder, out, later):
+        if self.sets is not None:
+            self._keep_sets(folder, owners)
+        yield from self._done(key, folder, out, later, stored)
+
+    def _keep_sets(self, folder, before: set) -> None:
+        stay = self.adapter.owners(folder)
+        for owner, member in self.adapter.members(folder):
+            self.sets.updateValue((owner, member), ("",))
+        gone = before - stay
+        while gone:
+            part = list(islice((tuple(entry) for entry in self.sets.keys() if entry[0] in gone), REMOVED_AT_ONCE))
+            for entry in part:
+                self.sets.removeKey(entry)
+            if len(part) < REMOVED_AT_ONCE:
+                break
+
+    def _done(self, key, folder, out, later, stored):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         text = self.adapter.dump(folder)
@@ -70,7 +101,8 @@ class KeyedFold(StatefulProcessor):
         if text is None:
             self.value.clear()
         else:
-            self.value.update((text,))
+            if text != stored:
+                self.value.update((text,))
             due.append(self.adapter.due(folder))
         due = [moment for moment in due if moment is not None]
         if due:
@@ -127,8 +159,19 @@ class DetectAdapter:
         return None if getattr(scope, "forgotten", False) else scope.dump()
 
 
+class Known(dict):
+    """Detections of an incident: those of this batch, and a test for the stored ones."""
+
+    def __init__(self, stored: Callable[[str], bool], fresh=()):
+        super().__init__(fresh)
+        self.stored = stored
+
+    def __contains__(self, detection) -> bool:
+        return super().__contains__(detection) or self.stored(detection)
+
+
 class CaseAdapter:
-    """Correlation keys: rows of ``case_rows``."""
+    """Correlation keys: rows of ``case_rows``. The detections an incident knows are kept apart, by incident."""
 
     COLUMNS = ["t", "at_sequence", "at_id", "is_event", "repeat", "body"]
 
@@ -136,7 +179,21 @@ class CaseAdapter:
         self.policy = policy
 
     def load(self, key, text):
-        return Case.load(key[0], self.policy, text)
+        case = Case.load(key[0], self.policy, text)
+        for incident in case.incidents:
+            incident.setdefault("detections", {})
+        return case
+
+    def attach(self, case, known):
+        for incident in case.incidents:
+            owner = incident["incident_id"]
+            incident["detections"] = Known(lambda detection, owner=owner: known(owner, detection), incident["detections"])
+
+    def owners(self, case):
+        return {incident["incident_id"] for incident in case.incidents}
+
+    def members(self, case):
+        return [(incident["incident_id"], detection) for incident in case.incidents for detection in incident["detections"]]
 
     def apply(self, case, batch):
         batch["at_sequence"] = [-1 if s is None else int(s) for s in batch["at_sequence"]]
@@ -170,7 +227,9 @@ class CaseAdapter:
         return -(-timer[0] // 1000) if timer else None
 
     def dump(self, case):
-        return case.dump()
+        held = Case(case.key, case.policy, [{k: v for k, v in incident.items() if k != "detections"} for incident in case.incidents])
+        held.unlinked, held.order = case.unlinked, case.order
+        return held.dump()
 
 
 class RepeatAdapter:

@@ -218,3 +218,54 @@ def test_state_of_closed_incidents_and_idle_scopes_stays_flat():
     assert adapter.dump(scope) is not None
     adapter.expire(scope, adapter.due(scope))
     assert adapter.dump(scope) is None
+
+
+def test_what_a_batch_writes_does_not_grow_with_the_age_of_an_incident():
+    import json
+
+    import pandas as pd
+
+    from floodplain.operators.case import SECOND, CasePolicy
+    from floodplain.streaming.state import CaseAdapter
+
+    adapter, text, stored, sizes, writes = CaseAdapter(CasePolicy()), None, set(), [], []
+    for k in range(600):  # one incident, a new detection every second
+        body = {"event_id": f"e{k}", "dedup_key": f"k{k}", "detection_id": f"d{k}", "kind": "started", "sequence": 0, "policy_id": "p", "policy_version": 1,
+                "severity": "minor", "metrics": ["bps"], "summary": "s", "reason": None}
+        case = adapter.load(("key",), text)
+        adapter.attach(case, lambda owner, member: (owner, member) in stored)
+        adapter.apply(case, pd.DataFrame([{"t": k * SECOND, "at_sequence": 0, "at_id": f"e{k}", "body": json.dumps(body), "is_event": True, "repeat": False}]))
+        writes.append(len(adapter.members(case)))
+        stored |= set(adapter.members(case))
+        text = adapter.dump(case)
+        sizes.append(len(text))
+    assert len(adapter.owners(case)) == 1 and len(stored) == 600 and set(writes) == {1}
+    assert max(sizes) <= sizes[0] + 32  # counters and times only
+    case = adapter.load(("key",), text)
+    adapter.attach(case, lambda owner, member: (owner, member) in stored)
+    known = case.incidents[0]["detections"]
+    assert "d0" in known and "d599" in known and "d600" not in known
+
+
+def test_members_of_an_incident_that_left_are_removed(spark, sf, tmp_path):
+    """A key's later incidents push the earlier ones out; a late event of a stored detection still finds its incident."""
+    from checks import incident_checks as ic
+
+    events = ic.arrivals(spark, sf).limit(1).drop("observed_at", "dedup_key", "detection_id", "event_id", "kind")
+    rows = [(f"e{i}", f"k{i}", detection, kind, minute) for i, (detection, kind, minute) in enumerate(
+        [("d1", "started", 0), ("d2", "started", 1), ("d3", "started", 200), ("d2", "started", 201), ("d3", "ended", 202), ("d3", "updated", 300), ("d9", "started", 10_000)])]
+    made = spark.createDataFrame(rows, "event_id STRING, dedup_key STRING, detection_id STRING, kind STRING, minute INT")
+    made = made.withColumn("observed_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("minute") * 60)).drop("minute")
+    events = events.crossJoin(made).withColumn("schema_version", F.lit(1)).withColumn("executed", F.lit(False)).withColumn("action", F.lit("alerted")).persist()
+    source = split_by_time(events, str(tmp_path / "events"), "observed_at", 7)
+    out = str(tmp_path / "out")
+    run(jobs.stream_correlation(stream(spark, source, events.schema), out, str(tmp_path / "cp"), watermark="0 seconds"))
+    log = lambda df: sorted(map(str, df.where("record IN ('outcome', 'link')").select("record", "t", "incident_id", "ref", "body").collect()))
+    got = spark.read.parquet(out)
+    assert log(got) == log(inc.correlate(events, asof=None))
+    store = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "sets").load()
+    left = {(r.owner, r.member) for r in store.select("user_map_key.*").collect()}
+    links = {(r.incident_id, r.detection) for r in got.where("record = 'link'").select("incident_id", F.get_json_object("body", "$.detection_id").alias("detection")).collect()}
+    first = next(owner for owner, detection in links if detection == "d1")
+    assert {detection for owner, detection in links if owner == first} == {"d1", "d2"}
+    assert left == {(owner, detection) for owner, detection in links if owner != first} and len({owner for owner, _ in left}) == 2
