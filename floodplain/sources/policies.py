@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import net
 from ..functions.text import parse_duration_ms, parse_magnitude, render_duration
 from ..functions.vocab import literal_map
+from ..session import cut_lineage
 
 # Built-in defaults, used where neither the policy nor the document says.
 DEFAULTS = {"cooldown": "0s", "holdDown": "0s", "eventUpdateInterval": "60s", "severity": "major",
@@ -166,9 +167,21 @@ def to_documents(policies: DataFrame) -> DataFrame:
     return policies.select("policy_id", F.to_json(entry).alias("entry"))
 
 
-def write_policies(policies: DataFrame, path: str) -> None:
-    """One document; a policy set is a configuration file, so one row holds it."""
-    entries = to_documents(policies).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("policy_id", "entry"))),
-                                                                    lambda e: e["entry"]), ",").alias("list"))
-    head = F.lit('{"schemaVersion":%d,"policies":[' % SCHEMA_VERSION)
-    entries.select(F.concat(head, F.col("list"), F.lit("]}")).alias("value")).write.mode("overwrite").text(path)
+def write_policies(policies: DataFrame, path: str, per_document: int = 10_000) -> None:
+    """A folder of documents that ``read_policies`` reads as one set, ordered by policy id within and between its files.
+
+    Sets of up to ``per_document`` policies are one document; larger ones are cut into ranges of ids of about that
+    many, each written by a task of its own, one policy a line. No policies make one document without any.
+    """
+    entries = cut_lineage(to_documents(policies))
+    parts = -(-entries.count() // per_document)
+    head, tail = '{"schemaVersion":%d,"policies":[' % SCHEMA_VERSION, "]}"
+    if not parts:
+        entries.sparkSession.range(1).select(F.lit(head + tail).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+        return
+    ranged = cut_lineage(entries.repartitionByRange(parts, "policy_id").sortWithinPartitions("policy_id", "entry"))
+    number = F.monotonically_increasing_id()  # the partition, and below it the row's number in 33 bits
+    placed = ranged.select("entry", F.shiftright(number, 33).alias("part"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+    last = placed.groupBy("part").agg(F.max("row").alias("last"))  # one row a document
+    line = F.concat(F.when(F.col("row") == 0, head).otherwise(""), "entry", F.when(F.col("row") == F.col("last"), tail).otherwise(","))
+    placed.join(F.broadcast(last), "part").select(line.alias("value")).write.mode("overwrite").text(path)
