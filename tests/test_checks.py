@@ -15,7 +15,7 @@ from checks.compare import compare, connect
 NAMES = ["nrm1_resolve_sampling", "nrm7_exporter_restarts", "cls1_lpm_join", "cls1_lpm_large_registry", "cls4_validate_prefixes", "agg11_all_host",
          "agg13_active_entities", "rat1_rate_windows", "qry1_traffic_summary", "qry2_top_interface", "det3_snapshots", "pol1_validate", "pol5_select",
          "evl1_evaluate", "evt1_events", "inc2_gate", "inc4_created", "inc9_long_reopen_window", "inc12_numbers", "iq1_list", "iq6_notes", "mit1_guard",
-         "mit2_allowlist", "mit8_reconcile", "pol7_diff", "stm8_policy_timeline", "inc17_verbs", "inc21_manual_incidents", "src4_document_errors", "ntf1_route", "ntf2_dedup", "ntf3_rate_limit", "src1_read_flows_json", "src3_prefix_lists", "snk4_export"]
+         "mit2_allowlist", "mit8_reconcile", "pol7_diff", "stm8_policy_timeline", "inc17_verbs", "inc21_manual_incidents", "src4_document_errors", "ntf1_route", "ntf2_dedup", "ntf3_rate_limit", "src1_read_flows_json", "src3_prefix_lists", "snk4_export", "mit12_command_outcomes", "mit12_outbox"]
 
 
 @pytest.fixture(scope="module")
