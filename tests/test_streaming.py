@@ -251,12 +251,13 @@ def test_members_of_an_incident_that_left_are_removed(spark, sf, tmp_path):
     """A key's later incidents push the earlier ones out; a late event of a stored detection still finds its incident."""
     from checks import incident_checks as ic
 
-    events = ic.arrivals(spark, sf).limit(1).drop("observed_at", "dedup_key", "detection_id", "event_id", "kind")
+    shape = ic.arrivals(spark, sf).drop("observed_at", "dedup_key", "detection_id", "event_id", "kind")
+    one = shape.first()
     rows = [(f"e{i}", f"k{i}", detection, kind, minute) for i, (detection, kind, minute) in enumerate(
         [("d1", "started", 0), ("d2", "started", 1), ("d3", "started", 200), ("d2", "started", 201), ("d3", "ended", 202), ("d3", "updated", 300), ("d9", "started", 10_000)])]
     made = spark.createDataFrame(rows, "event_id STRING, dedup_key STRING, detection_id STRING, kind STRING, minute INT")
     made = made.withColumn("observed_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("minute") * 60)).drop("minute")
-    events = events.crossJoin(made).withColumn("schema_version", F.lit(1)).withColumn("executed", F.lit(False)).withColumn("action", F.lit("alerted")).persist()
+    events = made.select("*", *(F.lit(one[name]).cast(kind).alias(name) for name, kind in shape.dtypes)).withColumn("schema_version", F.lit(1)).withColumn("executed", F.lit(False)).withColumn("action", F.lit("alerted")).persist()
     source = split_by_time(events, str(tmp_path / "events"), "observed_at", 7)
     out = str(tmp_path / "out")
     run(jobs.stream_correlation(stream(spark, source, events.schema), out, str(tmp_path / "cp"), watermark="0 seconds"))
