@@ -98,8 +98,11 @@ def policies_of(documents: DataFrame) -> DataFrame:
     for name in ("source", "document_error"):
         if name not in documents.columns:
             documents = documents.withColumn(name, F.lit(None).cast("string"))
-    each = documents.select("defaults", "source", "document_error", F.col("raw").alias("_raw"), F.posexplode("policies").alias("position", "p"))
-    each = each.withColumn("raw", F.try_element_at("_raw", F.col("position") + 1)).withColumn("source_error", source_error()).drop("_raw", "raw")
+    # Each policy goes along with its own texts; a row that held those of the whole document would be as large as it.
+    paired = documents.select("defaults", "source", "document_error", "policies", F.coalesce("raw", F.array().cast("array<map<string,string>>")).alias("raw"))
+    each = paired.select("defaults", "source", "document_error", F.posexplode(F.arrays_zip("policies", "raw")).alias("position", "e"))
+    each = each.select("defaults", "source", "document_error", "position", F.col("e.policies").alias("p"), F.col("e.raw").alias("raw"))
+    each = each.withColumn("source_error", source_error()).drop("raw")
 
     def pick(field: str):
         return F.coalesce(F.col(f"p.{field}"), F.col(f"defaults.{field}"), F.lit(DEFAULTS[field]))
