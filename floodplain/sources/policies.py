@@ -170,21 +170,28 @@ def to_documents(policies: DataFrame) -> DataFrame:
     return policies.select("policy_id", F.to_json(entry).alias("entry"))
 
 
+ROWS_A_TASK, DOCUMENTS_A_TASK = 10_000, 250  # a task's files are told apart by three digits
+
+
 def write_policies(policies: DataFrame, path: str, per_document: int = 10_000) -> None:
     """A folder of documents that ``read_policies`` reads as one set, ordered by policy id within and between its files.
 
-    Sets of up to ``per_document`` policies are one document; larger ones are cut into ranges of ids of about that
-    many, each written by a task of its own, one policy a line. No policies make one document without any.
+    Sets of up to ``per_document`` policies are one document; larger ones are cut into documents of that many, also
+    between policies of one id, one policy a line. A task writes a range of ids: one large document or many small
+    ones, the last of which may be short. No policies make one document without any.
     """
     entries = cut_lineage(to_documents(policies))
-    parts = -(-entries.count() // per_document)
+    rows = entries.count()
+    a_task = per_document * min(max(ROWS_A_TASK // per_document, 1), DOCUMENTS_A_TASK)
     head, tail = '{"schemaVersion":%d,"policies":[' % SCHEMA_VERSION, "]}"
-    if not parts:
+    if not rows:
         entries.sparkSession.range(1).select(F.lit(head + tail).alias("value")).coalesce(1).write.mode("overwrite").text(path)
         return
-    ranged = cut_lineage(entries.repartitionByRange(parts, "policy_id").sortWithinPartitions("policy_id", "entry"))
+    tasks = 1 if rows <= per_document else -(-rows // a_task)
+    ranged = cut_lineage(entries.repartitionByRange(tasks, "policy_id", "entry").sortWithinPartitions("policy_id", "entry"))
     number = F.monotonically_increasing_id()  # the partition, and below it the row's number in 33 bits
     placed = ranged.select("entry", F.shiftright(number, 33).alias("part"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
-    last = placed.groupBy("part").agg(F.max("row").alias("last"))  # one row a document
-    line = F.concat(F.when(F.col("row") == 0, head).otherwise(""), "entry", F.when(F.col("row") == F.col("last"), tail).otherwise(","))
-    placed.join(F.broadcast(last), "part").select(line.alias("value")).write.mode("overwrite").text(path)
+    last = placed.groupBy("part").agg(F.max("row").alias("last"))  # one row a task
+    place = F.col("row") % per_document
+    line = F.concat(F.when(place == 0, head).otherwise(""), "entry", F.when((place == per_document - 1) | (F.col("row") == F.col("last")), tail).otherwise(","))
+    placed.join(F.broadcast(last), "part").select(line.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", per_document).text(path)
