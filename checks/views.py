@@ -37,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The same rows in as many tasks as a shuffle has: a table may be one small file, and the work on each row much."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
     if name in BASE:
