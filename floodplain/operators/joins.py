@@ -18,6 +18,7 @@ from ..session import cut_lineage
 BROADCAST_ROWS = 200_000  # dimension rows here are at most a few hundred bytes
 MAX_CHAINED_LENGTHS = 24
 SALTS = 32
+HOT_ROWS = 100_000  # of one key, past which its rows are dealt to several tasks
 BROADCAST_BYTES = 128 << 20
 BLOCK_BITS = 8  # prefix lengths of a block; its networks cut at most 256 intervals
 
@@ -29,21 +30,32 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
                 salt_from: list[str] | None = None, small: bool | None = None,
-                salts: int = SALTS) -> DataFrame:
+                salts: int = SALTS, hot: DataFrame | None = None) -> DataFrame:
     """Join a large ``left`` to a dimension ``right`` on equal columns.
 
-    ``salt_from`` names columns that differ between rows of one hot key.
+    Past the bound, rows of a hot key are dealt to ``salts`` parts, each with a copy of that key's
+    ``right`` rows; all other keys stand once. ``salt_from`` names columns that differ between rows
+    of one hot key. ``hot`` are the ``hot_keys`` of ``left`` if the caller has them.
     """
     if small is None:
         small = is_small(right)
     if small:
         return left.join(F.broadcast(right), on, how)
     source = salt_from or [c for c, t in left.dtypes if not t.startswith(("map", "struct", "array"))]
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*source), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    marked = F.broadcast((hot_keys(left, on) if hot is None else hot).withColumn("_hot", F.lit(True)))
+    keyless = F.greatest(*(F.col(c).isNull() for c in on), F.lit(False))  # they meet nothing, and may be many
+    part = F.pmod(F.xxhash64(*source), F.lit(salts)).cast("int")
+    salted = left.join(marked, on, "left").withColumn("_salt", F.when(F.col("_hot") | keyless, part).otherwise(0)).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = right.join(marked, on, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def hot_keys(df: DataFrame, on: list[str]) -> DataFrame:
+    """The keys with more than ``HOT_ROWS`` rows: as many as the rows allow, so few."""
+    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > HOT_ROWS).select(*on)
+
+
 def _registry(prefixes: DataFrame, value: list[str]) -> DataFrame:
     """Masked networks, one row each: the same network twice keeps the smallest value."""
     hi, lo = net.masked(F.col("family"), F.col("net_hi"), F.col("net_lo"), F.col("prefix_len"))

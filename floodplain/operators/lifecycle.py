@@ -18,7 +18,7 @@ from ..functions.vocab import MITIGATION_EDGES, MITIGATION_ENDED, by_case
 from ..session import cut_lineage
 from . import mitigation as rules
 from .folds import ordered_fold
-from .joins import lookup_join
+from .joins import hot_keys, lookup_join
 from .slices import before, by_range
 
 CREATED_AS = {"propose": "proposed", "request": "requested"}
@@ -158,12 +158,13 @@ def mitigation_log(commands: DataFrame, allowlist: DataFrame, allow_self_approva
         F.lit(None).cast("boolean").alias("dry_run"), F.lit(None).cast("string").alias("cause"), F.lit(None).cast("string").alias("route"))
     kept = state.columns
     moves = rows.where("sound").where(F.col("verb").isin(*LEADS_TO))
+    hot = cut_lineage(hot_keys(rows, ["mitigation_id"]))
     steps = state = cut_lineage(state)
     for _ in range(MOST_MOVES):
         live = state.where(~F.col("state").isin(*MITIGATION_ENDED))
         now = live.select("mitigation_id", "owner", "requested", "guard", "state", "version", F.col("place").alias("since"),
                           F.struct("dry_run", "cause", "route").alias("was"))
-        met = lookup_join(moves, now, ["mitigation_id"], "inner", salt_from=["command_id"]).where(F.col("place") > F.col("since"))
+        met = lookup_join(moves, now, ["mitigation_id"], "inner", salt_from=["command_id"], hot=hot).where(F.col("place") > F.col("since"))
         legal = met.where(_refusal(allow_self_approval).isNull())
         moved = legal.select(
             "mitigation_id", "place", "owner", "requested", "guard", _next_state().alias("state"), (F.col("version") + 1).alias("version"),
@@ -186,12 +187,12 @@ def mitigation_log(commands: DataFrame, allowlist: DataFrame, allow_self_approva
     known = outcome.join(lives.select("mitigation_id", "path", "requested"), "mitigation_id", "left").select(
         "mitigation_id", F.col("command_id").alias("first_command"), "refused", "guard", F.col("tenant_id").alias("owner"), "requested",
         F.when(F.col("refused").isNull(), F.col("path")).alias("path"), F.struct(*FACTS, F.trim("reason").alias("reason"), "duplicate_key").alias("request"))
-    return _outcomes(rows, cut_lineage(known), allow_self_approval)
+    return _outcomes(rows, cut_lineage(known), hot, allow_self_approval)
 
 
-def _outcomes(rows: DataFrame, known: DataFrame, allow_self_approval: bool) -> DataFrame:
+def _outcomes(rows: DataFrame, known: DataFrame, hot: DataFrame, allow_self_approval: bool) -> DataFrame:
     """Every command against the state just before it."""
-    df = lookup_join(rows, known, ["mitigation_id"], "left", salt_from=["command_id"])
+    df = lookup_join(rows, known, ["mitigation_id"], "left", salt_from=["command_id"], hot=hot)
     earlier = F.array_max(F.filter("path", lambda x: x["place"] < F.col("place")))
     df = df.withColumn("b", earlier).withColumn("state", F.col("b.state")).withColumn("version", F.col("b.version"))
     create = F.col("verb").isin(*CREATED_AS)

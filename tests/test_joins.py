@@ -3,6 +3,7 @@
 import ipaddress
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from checks import detection_checks as dc
@@ -114,3 +115,15 @@ def test_streamed_exporters_are_exact(spark, sf, tmp_path):
     got = spark.read.parquet(out).drop("batch_id").where(F.col("window_start") < newest)
     assert {str(r) for r in got.select(*want.columns).collect()} == {str(r) for r in want.collect()}
     assert want.agg(F.max("exporters_observed")).first()[0] > 64
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_only_hot_keys_are_copied_past_the_broadcast_bound(spark, monkeypatch, how):
+    monkeypatch.setattr(joins, "HOT_ROWS", 40)
+    left = spark.range(300).select(F.when(F.col("id") < 100, 7).when(F.col("id") < 120, F.lit(None)).otherwise(F.col("id")).alias("k"), "id")
+    right = spark.range(0, 280).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).drop(*([] if how in ("left", "inner") else ["v"]))
+    assert [r.k for r in joins.hot_keys(left.where("k IS NOT NULL"), ["k"]).collect()] == [7]
+    out = joins.lookup_join(left, right, ["k"], how, small=False)
+    assert sorted(out.collect(), key=repr) == sorted(left.join(right, ["k"], how).collect(), key=repr)
+    copies = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "explode(" in line]
+    assert copies and all("CASE WHEN" in line for line in copies)
