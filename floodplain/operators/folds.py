@@ -8,45 +8,50 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-FLUSH_ROWS = 20_000
+READ_ROWS, FLUSH_ROWS = 1_000, 5_000  # held as Python values at a time
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], make: Callable, schema: str) -> DataFrame:
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], make: Callable, schema: str,
+                 tasks: int | None = None) -> DataFrame:
     """Fold each key's rows in order.
 
     ``make(key)`` returns an object with ``row(tuple) -> list`` and
     ``finish() -> list``, whose items are output rows after the key columns.
+    ``tasks`` fixes the number of partitions, which is otherwise the session's.
     """
-    out_names = [part.split()[0] for part in schema.split(",")]
+    out = to_arrow_schema(StructType.fromDDL(schema))
     wanted = [*keys, *columns]
     width = len(keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, folder, rows = None, None, []
         for batch in batches:
-            # Plain Python values: NULLs stay None and integers stay integers.
-            lists = [[None if v is pd.NA or v != v else v for v in batch[c].astype(object).tolist()] for c in wanted]
-            for values in zip(*lists):
-                if values[:width] != key:
-                    if folder is not None:
-                        rows += [key + tuple(r) for r in folder.finish()]
-                    key = values[:width]
-                    folder = make(*key)
-                rows += [key + tuple(r) for r in folder.row(*values[width:])]
-                if len(rows) >= FLUSH_ROWS:
-                    yield _frame(rows, out_names)
-                    rows = []
+            for start in range(0, batch.num_rows, READ_ROWS):
+                part = batch.slice(start, READ_ROWS)
+                for values in zip(*(part.column(c).to_pylist() for c in wanted)):
+                    if values[:width] != key:
+                        if folder is not None:
+                            rows += [key + tuple(r) for r in folder.finish()]
+                        key = values[:width]
+                        folder = make(*key)
+                    rows += [key + tuple(r) for r in folder.row(*values[width:])]
+                    if len(rows) >= FLUSH_ROWS:
+                        yield _batch(rows, out)
+                        rows = []
         if folder is not None:
             rows += [key + tuple(r) for r in folder.finish()]
         if rows:
-            yield _frame(rows, out_names)
+            yield _batch(rows, out)
 
-    arranged = df.select(*wanted, *[c for c in order if c not in wanted]).repartition(*keys)
-    return arranged.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    arranged = df.select(*wanted, *[c for c in order if c not in wanted])
+    arranged = arranged.repartition(*keys) if tasks is None else arranged.repartition(tasks, *keys)
+    return arranged.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def _frame(rows, names):
-    return pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(names, zip(*rows))})
+def _batch(rows, schema):
+    return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
