@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import dataclass
+from json.encoder import encode_basestring_ascii
 
 from ..functions.vocab import (
     AUTOMATIC_EDGES, CATEGORY_FAMILIES, CATEGORY_LADDER, INCIDENT_ACTIVE, MANY_FAMILIES, NO_CATEGORY, OPERATOR_EDGES, PRIORITIES, SEVERITIES,
@@ -38,6 +39,20 @@ ARGUMENTS = {
 }
 
 
+def _as_json(value) -> str:
+    """What ``json.dumps`` gives, which sets up a whole encoder for each of the many small bodies."""
+    kind = type(value)
+    if kind is str:
+        return encode_basestring_ascii(value)
+    if kind is int:
+        return int.__repr__(value)
+    if kind is dict:
+        return "{" + ", ".join([f"{encode_basestring_ascii(name)}: {_as_json(inner)}" for name, inner in value.items()]) + "}"
+    if kind is list:
+        return "[" + ", ".join([_as_json(inner) for inner in value]) + "]"
+    return "null" if value is None else json.dumps(value)
+
+
 def _whole(value, least: int) -> bool:
     return isinstance(value, int) and not isinstance(value, bool) and least <= value <= 1 << 40
 
@@ -139,7 +154,8 @@ class Case:
     def _emit(self, record, t, incident, ref, **body):
         self.order += 1
         incident_id = incident["incident_id"] if incident else None
-        self.out.append((record, t, self.order, incident_id, ref, json.dumps(body)))
+        text = json.dumps(body) if record == "incident" else _as_json(body)
+        self.out.append((record, t, self.order, incident_id, ref, text))
 
     def _timeline(self, t, incident, entry, actor="system", **payload):
         incident["timeline_entries"] += 1

@@ -309,3 +309,10 @@ def test_no_command_ends_the_fold(commands):
         for incident in held.incidents:
             assert incident["severity"] in case.SEVERITIES and incident["priority"] in case.PRIORITIES.values()
             assert incident["suppressed_until"] is None or isinstance(incident["suppressed_until"], int)
+
+
+def test_small_bodies_are_written_as_json_dumps_writes_them():
+    from floodplain.operators.case import _as_json
+
+    for body in ({}, {"a": None, "b": True, "c": [1, "é\n\"", {"d": 1.5}], "e\\": {"f": False}, "n": -3}, {"metrics": []}):
+        assert _as_json(body) == json.dumps(body)
