@@ -12,7 +12,7 @@ from floodplain.operators.case import SECOND, CasePolicy
 from floodplain.plans import incident_queries as iq
 
 from .traffic_checks import ASOF, DAY, FROM, TO, v4_text
-from .views import ctes, table, view
+from .views import ctes, spread, table, view
 
 NOW = 996624000  # 2001-08-01, for incidents made from orders
 STAMP = "TIMESTAMP '2001-08-01'"
@@ -92,7 +92,7 @@ SCRIPT = [
 def scripted(spark, sf):
     """The script above for every customer, as a target that no detection names."""
     steps = F.posexplode(F.array(*[F.struct(F.lit(verb).alias("verb"), F.lit(args).alias("args")) for verb, args, _, _ in SCRIPT])).alias("step", "c")
-    each = table(spark, sf, "customer").select("c_custkey", steps)
+    each = spread(table(spark, sf, "customer"), "c_custkey").select("c_custkey", steps)
     return each.select(
         F.lit("acme").alias("tenant"), F.lit("host").alias("scope_type"), F.concat(F.lit("c"), "c_custkey").alias("target"), F.lit("incoming").alias("direction"),
         F.lit(4).alias("family"), F.timestamp_seconds(F.lit(ASOF) + F.col("step")).alias("at"), F.concat_ws("-", F.lpad(F.col("step").cast("string"), 2, "0"), "c_custkey").alias("command_id"),

@@ -82,9 +82,10 @@ def command_rows(commands: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 
 ORDER = ["t", "at_sequence", "at_id"]
+ROWS_A_TASK = 250_000
 
 
-def segments(rows: DataFrame, policy: CasePolicy) -> DataFrame:
+def segments(rows: DataFrame, policy: CasePolicy, tasks: int) -> DataFrame:
     """Cut a key's history where the next event must open a new incident.
 
     That is certain after a pause in which every earlier incident has been
@@ -99,11 +100,12 @@ def segments(rows: DataFrame, policy: CasePolicy) -> DataFrame:
     settled = policy.settled_after()
     whole = Window.partitionBy("correlation_key")
     slot = F.lit(0).cast("bigint") if settled is None else F.floor(F.col("t") / settled).cast("bigint")
-    df = rows.withColumn("_slot", slot)
+    # As many tasks as rows ask for: these rows are much smaller when shuffled than when sorted, so no size in bytes tells.
+    df = rows.withColumn("_slot", slot).repartition(tasks, "correlation_key", "_slot")
     head = F.struct(*ORDER, "is_event", "ended", "repeat")
     slots = df.groupBy("correlation_key", "_slot").agg(
         F.min(head).alias("_head"), F.max("t").alias("_last"), F.max(~F.col("is_event")).alias("_commands"))
-    slots = slots.withColumn("newest", F.max("_last").over(whole)).withColumn("any_commands", F.max("_commands").over(whole))
+    slots = slots.repartition(tasks, "correlation_key").withColumn("newest", F.max("_last").over(whole)).withColumn("any_commands", F.max("_commands").over(whole))
     if settled is None:
         cut = slots.withColumn("segment", F.lit(0).cast("bigint"))
     else:
@@ -154,8 +156,10 @@ def correlate(events: DataFrame, commands: DataFrame | None = None, asof: int |
     """
     rows = case_rows(events if gated else gate_events(events), commands)
     clock = None if asof is None else asof * 1_000_000
-    return ordered_fold(segments(rows, policy), ["correlation_key", "segment"], ORDER, FOLD_INPUT,
-                        lambda key, _: CaseFold(key, policy, clock), OUT_SCHEMA)
+    count = events.count() + (0 if commands is None else commands.count())
+    tasks = max(events.sparkSession.sparkContext.defaultParallelism, -(-count // ROWS_A_TASK))
+    return ordered_fold(segments(rows, policy, tasks), ["correlation_key", "segment"], ORDER, FOLD_INPUT,
+                        lambda key, _: CaseFold(key, policy, clock), OUT_SCHEMA, tasks)
 
 
 INCIDENT_BODY = (

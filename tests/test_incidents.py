@@ -316,3 +316,14 @@ def test_small_bodies_are_written_as_json_dumps_writes_them():
 
     for body in ({}, {"a": None, "b": True, "c": [1, "é\n\"", {"d": 1.5}], "e\\": {"f": False}, "n": -3}, {"metrics": []}):
         assert _as_json(body) == json.dumps(body)
+
+
+def test_rows_of_a_correlation_are_dealt_by_their_number(spark, sf, monkeypatch):
+    from checks.incident_checks import arrivals, scripted
+
+    monkeypatch.setattr(inc, "ROWS_A_TASK", 100)
+    count = arrivals(spark, sf).count() + scripted(spark, sf).count()
+    log = inc.correlate(arrivals(spark, sf), scripted(spark, sf))
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [correlation_key#" in plan and plan.count(f", {-(-count // 100)}") >= 3
+    assert scripted(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
